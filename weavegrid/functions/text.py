@@ -93,7 +93,7 @@ def shortened(text: Column, most: int, kept: int) -> Column:
 
 def without_fences(text: Column) -> Column:
     """Text whose outer code fences are taken off, content kept."""
-    return F.trim(F.regexp_replace(text, r"(?s)```[a-zA-Z]*\n(.*?)```", "$1"))
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)```[a-zA-Z]*\n(.*?)```", "$1"), r"^\s+|\s+$", "")
 
 
 def confidence(text: Column) -> Column:

@@ -290,7 +290,8 @@ def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
                     if w != s:
                         total[w] += share[w]
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"node": [names[i] for i in at], "part": total[at]})
+        if at.size:
+            yield pd.DataFrame({"node": [names[i] for i in at], "part": total[at]})
 
     n = len(names)
     scale = (n - 1) * (n - 2) or 1
