@@ -90,7 +90,8 @@ def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     n = docs.count()
     if not n:
-        return docs.select("*", *[F.lit(None).cast("string").alias(f"next_{c}") for c in carried])
+        rows = docs.withColumns(carried)
+        return rows.withColumns({f"next_{c}": F.col(c) for c in carried})
     ways = max(1, min(RANGES, n // RANGE_ROWS))
     least, cuts = docs.agg(F.min(key), F.percentile_approx(key, [i / ways for i in range(ways)], 10 * RANGES)).first()
     cuts = sorted({least, *cuts})
