@@ -154,19 +154,19 @@ def groups_of(edges: DataFrame, relations=GRAPH.peer) -> DataFrame:
     rounds are about the logarithm of the longest path; each is checkpointed.
     """
     moves = steps(edges, relations, "both").select("src", "dst").distinct()
-    moves = _kept(moves)
-    labels = _kept(moves.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    moves = kept(moves)
+    labels = kept(moves.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         near = moves.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        least = _kept(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
+        least = kept(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = _kept(least.join(jump, "label").select("node", F.col("further").alias("label"), "moved"))
+        labels = kept(least.join(jump, "label").select("node", F.col("further").alias("label"), "moved"))
         if not labels.where("moved").limit(1).count():
             return labels.select("node", F.col("label").alias("group"))
         labels = labels.drop("moved")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Checkpointed in the session's shared folder; a temporary one only on a local master."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weavegrid.functions import text as tx
 from weavegrid.functions.config import GRAPH
 from weavegrid.functions.scoring import abstraction_factor, cosine, normalized, usage_factor
-from weavegrid.operators import consensus, dense, evaluate, fusion, graph, sparse, usage
+from weavegrid.operators import consensus, dense, evaluate, fusion, graph, reports, retrieval, sparse, usage
 from weavegrid.plans import standins as st
 from weavegrid.plans.standins import ALL_EDGES_SQL, ENTRIES_SQL, GRAPH_SQL, HITS_SQL, KIND_SQL, USAGE_LOG_SQL, USAGE_SQL, VOTES_SQL
 from weavegrid.streaming import events as ev
@@ -733,3 +733,83 @@ def event_session(spark, sf_dir):
 def percent_of_total(spark, sf_dir):
     rows = _event_rows(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return rows.withColumn("pct", r6(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))))
+
+
+# -- retrieval over the graph, and reports
+
+@query(
+    f"""WITH {ALL_EDGES_SQL}, n AS (SELECT DISTINCT src AS node, 0 AS way, rel_type, dst AS other FROM edges UNION SELECT dst, 1, rel_type, src FROM edges)
+SELECT node, string_agg(CASE way WHEN 0 THEN '-> ' ELSE '<- ' END || rel_type || ' ' || other, chr(10) ORDER BY way, rel_type, other) AS neighbours FROM n GROUP BY node"""
+)
+def node_neighbourhood(spark, sf_dir):
+    return reports.node_neighbours(st.all_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {GRAPH_SQL}, r AS (SELECT src AS node, rel_type, dst AS other, row_number() OVER (PARTITION BY src ORDER BY rel_type, dst) AS n FROM hierarchy)
+SELECT node, string_agg('- ' || rel_type || ': ' || other || ' (' || coalesce(name, 'unknown') || ')', chr(10) ORDER BY n) AS relations FROM r LEFT JOIN nodes ON id = other WHERE n <= 5 GROUP BY node"""
+)
+def relationship_text(spark, sf_dir):
+    return reports.relationship_text(st.hierarchy(spark, sf_dir), st.nodes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {HITS_SQL}, best AS (SELECT query_id, entry_id, retriever, round(max(score), 6) AS score FROM hits GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, retriever ORDER BY score DESC, entry_id) AS n FROM best WHERE retriever IN ('dense', 'sparse'))
+SELECT DISTINCT query_id, entry_id FROM r WHERE n <= 2"""
+)
+def seed_injection(spark, sf_dir):
+    return retrieval.seeds_of_hits(st.hits(spark, sf_dir), 2)
+
+
+@query(
+    f"""WITH {HITS_SQL}, d AS (SELECT DISTINCT query_id, retriever, entry_id FROM hits), a AS (SELECT *, count(*) OVER (PARTITION BY query_id, entry_id) = 1 AS alone FROM d)
+SELECT query_id, retriever, count(*) AS found, count(*) FILTER (alone) AS "unique" FROM a GROUP BY query_id, retriever"""
+)
+def retriever_comparison(spark, sf_dir):
+    return reports.retriever_comparison(st.hits(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_FUSED}, f AS (SELECT w.*, abstraction, n_relations FROM wide w JOIN entries USING (entry_id))
+SELECT query_id, count(*) AS n_entries, count(*) FILTER (found_by LIKE '%+%') AS n_several, count(*) FILTER (found_by = 'graph' AND n_relations > 0) AS n_bonus, count(*) FILTER (abstraction IN ('Base', 'Variant')) AS n_specific FROM f GROUP BY query_id"""
+)
+def interpretation(spark, sf_dir):
+    return reports.interpretation(fusion.fuse(st.hits(spark, sf_dir), F.broadcast(st.entries(spark, sf_dir)))).drop("top_retriever")
+
+
+@query(
+    f"""WITH {_FUSED}, r AS (SELECT *, {_RANK} FROM fused)
+SELECT query_id, '| rank | id | name | score |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || rank || ' | ' || entry_id || ' | entry ' || entry_id || ' | ' || format('{{:.4f}}', score) || ' |', chr(10) ORDER BY rank) AS "table" FROM r WHERE rank <= 3 GROUP BY query_id"""
+)
+def results_table(spark, sf_dir):
+    rows = fusion.fuse(st.hits(spark, sf_dir), F.broadcast(st.entries(spark, sf_dir)), 3)
+    return reports.result_table(rows.withColumn("name", F.concat(F.lit("entry "), "entry_id")))
+
+
+def _nation_queries(spark, sf_dir) -> DataFrame:
+    return st.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("text"))
+
+
+@query(
+    f"""WITH {GRAPH_SQL}, {_bm25_sql('SELECT CAST(n_nationkey AS BIGINT) AS query_id, n_name AS text FROM nation').replace('FROM documents', 'FROM (SELECT id AS doc_id, name AS text FROM nodes)')},
+best AS (SELECT query_id, max(score) AS best FROM scores GROUP BY query_id),
+shares AS (SELECT query_id, doc_id AS node, round(least(score / best, 1.0), 6) AS score FROM scores JOIN best USING (query_id) WHERE score > 0 AND score / best > 0.3)
+SELECT query_id, node, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS INTEGER) AS rank FROM shares QUALIFY rank <= 20"""
+)
+def keyword_match(spark, sf_dir):
+    return retrieval.keyword_matches(st.nodes(spark, sf_dir), _nation_queries(spark, sf_dir)).select("query_id", "node", "score", "rank")
+
+
+@query("SELECT 'sparse' AS retriever, count(*) AS n FROM documents UNION ALL SELECT 'dense', count(*) FROM embeddings UNION ALL SELECT 'graph_nodes', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) UNION ALL " + f"(WITH {GRAPH_SQL} SELECT 'graph_edges', count(*) FROM hierarchy)")
+def retriever_metadata(spark, sf_dir):
+    return retrieval.metadata(st.table(spark, sf_dir, "documents"), st.table(spark, sf_dir, "embeddings"), st.nodes(spark, sf_dir), st.hierarchy(spark, sf_dir))
+
+
+@query(None)
+def hybrid_search(spark, sf_dir):
+    """Nation names against the nodes: text and graph retrieval, fused."""
+    nodes, edges = st.nodes(spark, sf_dir), st.hierarchy(spark, sf_dir)
+    hits = retrieval.search(_nation_queries(spark, sf_dir), retrieval.node_text(nodes), None, None, nodes, edges, 5)
+    entries = nodes.select(F.col("id").alias("entry_id"), F.col("type").alias("abstraction"), F.lit("Allowed").alias("usage"), F.lit(1).alias("n_relations"))
+    return fusion.fuse(hits, entries, 10).select("query_id", "entry_id", "score", "rank")
