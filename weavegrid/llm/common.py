@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that
+    their Python workers can import it wherever the driver found it."""
+    context = spark.sparkContext
+    if not getattr(context, "_weavegrid_sent", False):
+        package = Path(__file__).parents[1]
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="weavegrid-"))  # the driver's own: Spark serves the file from there
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/weavegrid.zip", "w") as out:
+            for f in sorted(package.rglob("*.py")):
+                out.write(f, f.relative_to(package.parent))
+        context.addPyFile(f"{folder}/weavegrid.zip")
+        context._weavegrid_sent = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
@@ -53,17 +76,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def chunks(texts: list[str], chars: int = 1 << 20):
-    """Consecutive (from, to) ranges of about ``chars`` characters, to bound
-    what a Python worker holds; one long text is one range."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batches, column: str | int = "text", size: int = 1 << 20):
+    """Record batches cut into parts of about ``size`` bytes of text, so that a
+    worker holds few texts as Python objects at once; one long text is a part."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < len(ends):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

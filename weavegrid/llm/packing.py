@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import chunks, stored, text_or_empty
+from weavegrid.llm.common import ship, slices, stored, text_or_empty
 
 CAPACITY = 1024
 END = 2
@@ -84,21 +84,20 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenized(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every piece."""
+    ship(docs.sparkSession)
     schema = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(schema + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
         encode = encoder(json_path, ranks_path, pattern)
-        for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in chunks(texts):
-                rows = []
-                for d, t in zip(doc_ids[a:b], texts[a:b]):
-                    ids = np.array([*encode(t), END], "<u4")
-                    for i, (start, n) in enumerate(cut(len(ids), capacity)):
-                        own = ids[start : start + n]
-                        rows.append((d, i, start, n, zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if with_ids else ()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for part in slices(batches):
+            rows = []
+            for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                ids = np.array([*encode(t), END], "<u4")
+                for i, (start, n) in enumerate(cut(len(ids), capacity)):
+                    own = ids[start : start + n]
+                    rows.append((d, i, start, n, zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if with_ids else ()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, ddl)

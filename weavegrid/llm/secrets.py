@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import chunks, text_or_empty
+from weavegrid.llm.common import ship, slices, text_or_empty
 
 REACH = 200
 BASE = ("assign", "access", "hex")
@@ -132,7 +132,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 
 
 def _scanned(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text")
         found = [all_spans(t) if hit else ([], []) for t, hit in zip(texts.to_pylist(), _flagged(texts))]
         lists = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found], _SPAN) for i in (0, 1)]
@@ -144,6 +144,7 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base (spans that the patterns find) and spans (with linked ones), one row per row of ``docs``."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
         _scanned, f"doc_id long, base {_SPANS}, spans {_SPANS}"
     )
@@ -174,10 +175,11 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span masked in ``text``; other columns, and texts without secrets, stay. n_chars follows the text where there is such a column."""
+    ship(docs.sparkSession)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = pc.fill_null(batch.column(at), "")
             if any(hits := _flagged(texts)):
                 old = batch.column(at).to_pylist()

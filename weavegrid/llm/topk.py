@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import stored
+from weavegrid.llm.common import ship, stored
 
 SCALE = 64
 K = 20
@@ -128,6 +128,7 @@ def _exact_large(q, q_ids, columns, c_ids, k):
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of every query; is_query: a condition on vec_id."""
     spark = vectors.sparkSession
+    ship(spark)
     whole = whole_vectors(vectors)
     n, dims = whole.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     queries = whole.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import discard, new_path, stored
+from weavegrid.llm.common import discard, new_path, ship, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -191,6 +191,7 @@ def _entries(exits: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, declared_digest of the records under ``path``."""
+    ship(spark)
     raw = _chunks(spark, path).withColumn("head", F.substring_index("value", END, 1))
     start = F.octet_length("head") + 4
     length = _field("Content-Length", "([0-9]{1,15})").cast("long")
