@@ -26,8 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weavegrid.llm.common import ship
+
 START, SEPARATOR, STOP = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Conversations that a worker holds as Python objects at once.
+AT_ONCE = 32
 
 _OPEN = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<(\\*)\\\|")
@@ -108,22 +112,24 @@ def conversations(rows: DataFrame) -> DataFrame:
 def formatted(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     """conv_id, formatted, ids, offsets (start and end of each token in turn, flat), loss_mask."""
 
+    ship(rows.sparkSession)
+
     def run(batches):
         t = _tokenizer(tokenizer_path)
         for batch in batches:
-            conv, turns = batch.column("conv_id"), batch.column("turns").to_pylist()
-            for a in range(0, len(turns), 64):
-                texts, spans = zip(*[render([(x["role"], x["text"]) for x in c]) for c in turns[a : a + 64]])
+            for a in range(0, batch.num_rows, AT_ONCE):
+                conv, turns = batch.column("conv_id").slice(a, AT_ONCE), batch.column("turns").slice(a, AT_ONCE).to_pylist()
+                texts, spans = zip(*[render([(x["role"], x["text"]) for x in c]) for c in turns])
                 encoded = t.encode_batch(list(texts), add_special_tokens=False)
                 offsets = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in encoded]
                 masks = [mask_tokens(o, s) for o, s in zip(offsets, spans)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        conv.slice(a, len(texts)),
+                        conv,
                         pa.array(texts),
                         pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
                         pa.array([o.ravel() for o in offsets], pa.list_(pa.int32())),
-                        pa.array([m.tolist() for m in masks], pa.list_(pa.bool_())),
+                        pa.array(masks, pa.list_(pa.bool_())),
                     ],
                     names=["conv_id", "formatted", "ids", "offsets", "loss_mask"],
                 )
@@ -133,16 +139,19 @@ def formatted(rows: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def read_back(output: DataFrame) -> DataFrame:
     """Digests of the turns and the masked texts that ``formatted`` put out."""
+    ship(output.sparkSession)
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for c, text, offsets, mask in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "offsets", "loss_mask"))):
-                turns = parse(text)
-                loss = masked_text(text, np.array(offsets, np.int32).reshape(-1, 2), np.array(mask, bool))
-                rows.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text), len(mask)))
-            if rows:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part, rows = batch.slice(a, AT_ONCE), []
+                offsets, masks = part.column("offsets"), part.column("loss_mask")
+                for i, (c, text) in enumerate(zip(part.column("conv_id").to_pylist(), part.column("formatted").to_pylist())):
+                    turns = parse(text)
+                    at, mask = offsets[i].values.to_numpy().reshape(-1, 2), masks[i].values.to_numpy(zero_copy_only=False)
+                    loss = masked_text(text, at, mask)
+                    rows.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text), len(mask)))
                 names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
