@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import chunks, text_or_empty
+from weavegrid.llm.common import ship, slices, text_or_empty
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of doc_id.
 TRAINING_ROWS = 20_000
 LEXICON_MOST = 3000
 STEMS = range(4, 7)
-LEAST_TOXIC = 4
+#: An entry stands in so many toxic texts of the sample at least, and in such a share of them; less may be one text's near copies.
+LEAST_TOXIC, LEAST_SHARE = 4, 0.015
 LEAST_RATIO = 12.0
 WINDOW = 6
 
@@ -225,7 +226,7 @@ def _term_counts(batches):
             names=["term", "stem", "toxic", "n"],
         )
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             counts.update((t, stem, toxic) for t, stem in terms_of(text))
             if len(counts) > 500_000:
@@ -257,6 +258,7 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """Fit on the labelled rows whose fold isn't 0: all of them, or those with the ``rows`` least hashes of doc_id."""
     spark = docs.sparkSession
+    ship(spark)
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(fold(F.col("doc_id")) != 0)
     # at most ``rows`` narrow rows, so they may be broadcast
@@ -266,15 +268,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model(constant=1.0 * bool(n1))
-    counts = sample.select("text", "toxic").mapInArrow(_term_counts, "term string, stem boolean, toxic int, n long")
+    # copies would make their every word look frequent
+    counts = sample.dropDuplicates(["text", "toxic"]).select("text", "toxic").mapInArrow(_term_counts, "term string, stem boolean, toxic int, n long")
     of = lambda t: F.coalesce(F.sum(F.when(F.col("toxic") == t, F.col("n"))), F.lit(0))
-    counts = counts.groupBy("term", "stem").agg(of(1).alias("n1"), of(0).alias("n0")).where(F.col("n1") >= min(LEAST_TOXIC, n1))
+    counts = counts.groupBy("term", "stem").agg(of(1).alias("n1"), of(0).alias("n0")).where(F.col("n1") >= min(max(LEAST_TOXIC, LEAST_SHARE * n1), n1))
     ratio = ((F.col("n1") + 0.1) / n1) / ((F.col("n0") + 0.5) / n0)
     best = counts.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc(F.log("ratio") * F.sqrt("n1")), "term", "stem").limit(LEXICON_MOST).collect()
     model = Model(entries=lexicon([(r["term"], r["stem"], math.log(r["ratio"]), r["n1"]) for r in best]), constant=None)
 
     def features(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([model.features(t)[0] for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in x.T]], names=["toxic", *FEATURES])
 
@@ -303,17 +306,16 @@ def lexicon(found: list[tuple[str, bool, float, int]]) -> list[tuple[str, bool,
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_hits, n_quoted, one row per row of ``docs``."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_MOST entries
 
     def run(batches):
-        for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").cast(pa.int64())
-            for a, b in chunks(texts):
-                found = [held.value.features(t) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([held.value.score(f[0]) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())],
-                    names=["doc_id", "score", "n_hits", "n_quoted"],
-                )
+        for part in slices(batches):
+            found = [held.value.features(t) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array([held.value.score(f[0]) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())],
+                names=["doc_id", "score", "n_hits", "n_quoted"],
+            )
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double, n_hits long, n_quoted long")
 
@@ -331,7 +333,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, at):
             keep = [held.value.score(held.value.features(t or "")[0]) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
