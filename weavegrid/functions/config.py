@@ -79,3 +79,28 @@ def shifted_weights(weights: dict[str, float], has_phrases: bool, shift: float =
     sparse = min(weights["sparse"] + shift, 1.0)
     rest = 1 - weights["sparse"]
     return {k: sparse if k == "sparse" else w * (1 - sparse) / rest for k, w in weights.items()}
+
+
+def configured(values: dict, scoring: Scoring = SCORING, retrieval: Retrieval = RETRIEVAL) -> tuple[Scoring, Retrieval]:
+    """Scoring and retrieval constants with the given values in place of the defaults; unknown names are an error.
+
+    values may have the sections scoring and retrieval; the older name
+    ``weights`` stands for ``scoring.retriever_weights``.
+    """
+    from dataclasses import replace
+
+    own = dict(values.get("scoring", {}))
+    if "weights" in values:
+        own.setdefault("retriever_weights", values["weights"])
+    unknown = set(values) - {"scoring", "retrieval", "weights"}
+    if unknown:
+        raise ValueError(f"unknown sections: {', '.join(sorted(unknown))}")
+    scoring, retrieval = replace(scoring, **own), replace(retrieval, **values.get("retrieval", {}))
+    checked_weights(scoring.retriever_weights)
+    return scoring, retrieval
+
+
+def template(path: str) -> str:
+    """The text of a prompt template."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()

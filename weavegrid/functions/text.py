@@ -131,3 +131,21 @@ def searchable_text(entry: dict[str, Column]) -> Column:
         listed("Top examples: ", e("top"), pair("Reference", "Description")),
         listed("Related: ", e("related"), lambda x: F.concat(F.lit("CWE-"), x["CweID"], F.lit(" ("), x["Nature"], F.lit(")"))),
     )
+
+
+def embedding_document(entry: Column) -> Column:
+    """The nested document of an entry that is embedded; missing lists are empty."""
+    listed = lambda name, kind: F.coalesce(entry[name], F.array().cast(kind)).alias(name)
+    return F.struct(
+        entry["entry_id"].alias("id"),
+        entry["Name"].alias("name"),
+        entry["Abstraction"].alias("type"),
+        entry["Description"].alias("description"),
+        listed("AlternateTerms", "array<struct<Term:string,Description:string>>"),
+        listed("RelatedWeaknesses", "array<struct<Nature:string,CweID:string,ViewID:string,Ordinal:string>>"),
+    )
+
+
+def validity(text: Column, most: int = 100_000) -> Column:
+    """Why an input text can't be used; null if it can."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(F.length(text) > most, "too long")

@@ -137,3 +137,38 @@ def comparison_report(rows: DataFrame) -> DataFrame:
     """record_id, report: a Markdown section for each record."""
     listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none")
     return rows.select("record_id", F.concat_ws("\n", F.concat(F.lit("## "), F.col("record_id")), F.concat(F.lit("- matched: **"), listed("matched"), F.lit("**")), F.concat(F.lit("- benchmark only: "), listed("truth_only")), F.concat(F.lit("- results only: "), listed("results_only"))).alias("report"))
+
+
+def top_as_primary(ranked: DataFrame, k: int = 3) -> DataFrame:
+    """Answers made of a ranking's first k entries, all primary; ranked: record_id, rank, entry_id."""
+    return ranked.where(F.col("rank") <= k).select("record_id", F.lit(0).alias("file"), F.col("rank").alias("pos"), F.lit("primary").alias("class"), "entry_id")
+
+
+def prior_ids(analysis: DataFrame, criticism: DataFrame) -> DataFrame:
+    """record_id, ids: what either role named, in order of first mention."""
+    a, c = analysis.select("record_id", F.col("ids").alias("a")), criticism.select("record_id", F.col("ids").alias("c"))
+    none = F.array().cast("array<string>")
+    return a.join(c, "record_id", "full_outer").select("record_id", F.array_union(F.coalesce("a", none), F.coalesce("c", none)).alias("ids"))
+
+
+def detected_ids(hits: DataFrame) -> DataFrame:
+    """query_id, ids of hits that have an entry, best first."""
+    rows = hits.where(F.col("entry_id").isNotNull()).groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
+    return rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "entry_id"))), lambda x: x["entry_id"].cast("string")).alias("ids"))
+
+
+def summary_rows(merged: DataFrame, similar: DataFrame, fused: DataFrame, agents: DataFrame) -> DataFrame:
+    """One nested row a record from three sources: classes, consensus, ranked entries with their class, and what each agent said.
+
+    merged: record_id and a column for each class; similar: record_id,
+    consensus; fused: query_id, entry_id, rank, score; agents: record_id,
+    agent, entry_id, confidence.
+    """
+    from weavegrid.operators.reports import class_of
+
+    ranked = fused.withColumnRenamed("query_id", "record_id").join(merged, "record_id", "left")
+    ranked = ranked.select("record_id", "rank", F.col("entry_id").cast("string").alias("entry_id"), "score", F.coalesce(class_of(F.col("entry_id").cast("string")), F.lit("unknown")).alias("class"))
+    entries = ranked.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("rank", "entry_id", "score", "class"))).alias("entries"))
+    said = agents.groupBy("record_id", "agent").agg(F.sort_array(F.collect_list(F.struct("entry_id", "confidence"))).alias("said"))
+    said = said.groupBy("record_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("agent", "said")))).alias("agents"))
+    return three_sources(merged, similar, entries).join(said, "record_id", "left")

@@ -126,3 +126,40 @@ def enriched_response(responses: DataFrame, advice: DataFrame, chains: DataFrame
     chain = lines(first(chains, 2, [F.asc("pos")]), "record_id", ["n"], F.concat(F.lit("- chain: "), "chain"), "chain")
     rows = responses.join(specific, "record_id", "left").join(other, "record_id", "left").join(chain, "record_id", "left")
     return rows.select("record_id", F.concat_ws("\n", "response", "specific", "alternative", "chain").alias("response"))
+
+
+def reasoning(advice: DataFrame) -> DataFrame:
+    """record_id, text that says how many entries of each role there are; advice: record_id, role."""
+    counts = advice.groupBy("record_id", "role").agg(F.count("*").alias("n"))
+    return lines(counts, "record_id", ["role"], F.concat(F.col("n"), F.when(F.col("n") == 1, F.lit(" entry is a ")).otherwise(" entries are each a "), "role"), "text")
+
+
+def summary_report(rows: DataFrame, k: int = 10) -> DataFrame:
+    """One row: a Markdown summary of records (record_id, primary, consensus): how many, and the most common ids.
+
+    Only counts reach the one row, never the records.
+    """
+    n = rows.agg(F.count("*").alias("n"), F.count("consensus").alias("n_consensus"))
+    common = lambda ids, title: ids.groupBy("entry_id").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "entry_id").limit(k).agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "entry_id"))).alias("l")).select(F.concat_ws("\n", F.lit(f"## {title}"), F.transform("l", lambda x: F.concat(F.lit("- "), x["entry_id"], F.lit(": "), -x["c"]))).alias(title))
+    primary = common(rows.select(F.explode("primary").alias("entry_id")), "primary")
+    consensus = common(rows.where("consensus is not null").select(F.col("consensus").alias("entry_id")), "consensus")
+    head = F.concat(F.lit("# Summary\n"), "n", F.lit(" records, "), "n_consensus", F.lit(" with a consensus"))
+    return n.join(F.broadcast(primary)).join(F.broadcast(consensus)).select(F.concat_ws("\n\n", head, "primary", "consensus").alias("report"))
+
+
+def usage_report(stages: DataFrame) -> DataFrame:
+    """A Markdown table row for each stage (stage, n and rounded averages), and a header, in order."""
+    cells = F.concat_ws(" | ", "stage", F.col("n").cast("string"), F.format_number("avg_input_words", 2), F.format_number("avg_output_words", 2))
+    head = stages.sparkSession.createDataFrame([(0, "", "| stage | n | input words | output words |"), (1, "", "|---|---|---|---|")], "part int, stage string, line string")
+    return head.union(stages.select(F.lit(2), "stage", F.concat(F.lit("| "), cells, F.lit(" |")))).orderBy("part", "stage").select("line")
+
+
+def bundle(records: DataFrame, references: DataFrame, insight: DataFrame) -> DataFrame:
+    """Everything known of a record in one row: description, phrases, reference text and consensus; missing parts are null or empty."""
+    rows = records.join(references.select("record_id", F.col("text").alias("reference")), "record_id", "left")
+    return rows.join(insight.select("record_id", "consensus", "votes"), "record_id", "left")
+
+
+def as_json(rows: DataFrame, key: str = "record_id") -> DataFrame:
+    """key, json: each row as text, nulls left out; ``from_json`` with the row's schema reads it back."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("json"))
