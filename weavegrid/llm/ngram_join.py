@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import chunks, connected_components, stored, text_or_empty
+from weavegrid.llm.common import connected_components, ship, slices, stored, text_or_empty
 from weavegrid.llm.shingles import hash_family, minhashes, mix, shingle_sets
 
 THRESHOLD = 0.8
@@ -44,7 +44,10 @@ COORDINATES = 128
 BRANCH = 2
 LEVELS = 3
 SMALL = 256
-BLOCK_LEAST, BLOCK_MOST, BLOCKS = 64, 4096, 16
+#: Rows of a block at least, and blocks of a group while blocks are below BLOCK_MOST rows. Sketches are cheap to
+#: compare, so their blocks are larger and fewer: each block is one more copy of every row of its group.
+BLOCK_MOST = 4096
+SKETCH_BLOCKS, TEXT_BLOCKS = (256, 6), (64, 16)
 #: Sketch estimates have a standard deviation of 0.035 at the threshold; four of them lie between.
 SKETCH_FLOOR = THRESHOLD - 0.15
 
@@ -67,19 +70,17 @@ def set_key(s: np.ndarray) -> int:
 
 def _signed(batches):
     a, b = hash_family(COORDINATES, 1)
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for x, y in chunks(texts):
-            sets = shingle_sets(texts[x:y])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(x, y - x).cast(pa.int64()),
-                    pa.array([set_key(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([minhashes(s, a, b).tobytes() for s in sets], pa.binary()),
-                ],
-                names=["doc_id", "key", "n", "sig"],
-            )
+    for part in slices(batches):
+        sets = shingle_sets(part.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id").cast(pa.int64()),
+                pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([minhashes(s, a, b).tobytes() for s in sets], pa.binary()),
+            ],
+            names=["doc_id", "key", "n", "sig"],
+        )
 
 
 def _children(with_root: int):
@@ -103,13 +104,14 @@ def _children(with_root: int):
     return run
 
 
-def _cells(members: DataFrame, sizes: DataFrame, of: str, small: int) -> DataFrame:
+def _cells(members: DataFrame, sizes: DataFrame, of: str, small: int, blocks: tuple[int, int]) -> DataFrame:
     """Give each member of a group its cells: one for a small group, else one for each other block.
 
     A cell holds one block or two; with blocks numbered 0 to n - 1, cell
     (i, j) compares i with j, and (i, i) a block with itself.
     """
-    block = F.least(F.greatest(F.ceil(F.col("size") / BLOCKS), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
+    least, most = blocks
+    block = F.least(F.greatest(F.ceil(F.col("size") / most), F.lit(least)), F.lit(BLOCK_MOST))
     n = F.when(F.col("size") <= small, F.lit(1)).otherwise(F.ceil(F.col("size") / block))
     rows = members.join(sizes, of).withColumn("n_blocks", n.cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
@@ -182,10 +184,10 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 def _compared(batches):
     """Exact links within each cell: counts of linked documents and a spanning forest."""
     for t in _by_cell(batches):
-        key, own, copies, texts = (t.column(c).to_pylist() for c in ("key", "own", "copies", "text"))
         found: dict[int, tuple[np.ndarray, int, int]] = {}
-        for x, y in chunks(texts):
-            for i, s in enumerate(shingle_sets(texts[x:y]), x):
+        for part in slices(t.to_batches()):
+            key, own, copies, texts = (part.column(c).to_pylist() for c in ("key", "own", "copies", "text"))
+            for i, s in enumerate(shingle_sets(texts)):
                 if set_key(s) == key[i]:  # else another row with the same doc_id
                     found[key[i]] = (s, own[i], copies[i])
         if len(found) < 2:
@@ -211,6 +213,7 @@ def _compared(batches):
 
 def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group of linked documents), n_links (documents linked with it), one row per row of ``docs``."""
+    ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     signed = stored(source.mapInArrow(_signed, "doc_id long, key long, n long, sig binary"), "signatures")
     classes = stored(
@@ -225,7 +228,7 @@ def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
         level = stored(level, "paths")
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         last = depth == LEVELS - 1
-        done = _cells(level, sizes if last else sizes.where(F.col("size") <= SMALL), "node", SMALL)
+        done = _cells(level, sizes if last else sizes.where(F.col("size") <= SMALL), "node", SMALL, SKETCH_BLOCKS)
         buckets = done if buckets is None else buckets.union(done)
         if last:
             break
@@ -241,7 +244,7 @@ def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
     )
     near = stored(connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("near")), "near")
 
-    cells = _cells(near, near.groupBy("near").agg(F.count("*").alias("size")), "near", BLOCK_LEAST * 2)
+    cells = _cells(near, near.groupBy("near").agg(F.count("*").alias("size")), "near", 2 * TEXT_BLOCKS[0], TEXT_BLOCKS)
     placed = cells.join(classes.select("key", "rep", "copies"), "key")
     compared = stored(
         placed.join(source.withColumnRenamed("doc_id", "rep_id"), F.col("rep").eqNullSafe(F.col("rep_id")))
