@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import chunks, text_or_empty
+from weavegrid.llm.common import ship, slices, text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 LONG_WORD = 48
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -229,14 +229,22 @@ class Unigram:
                 better = score > best[r, end]
                 r, end = r[better], end[better]
                 best[r, end], back[r, end], piece[r, end] = score[better], s, -1
-        out: list[list] = [[] for _ in words]
+        # from the ends back, all words a piece at a time; then each word's pieces in order
         rows, e = np.arange(n), size.copy()
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
         while rows.size:
-            i, s = piece[rows, e], back[rows, e]
-            for r, x, a, b in zip(rows.tolist(), i.tolist(), s.tolist(), e.tolist()):
-                out[r].append((x, a, b))
-            rows, e = rows[s > 0], s[s > 0]
-        return [self._ids(spans[::-1], w) for spans, w in zip(out, words)]
+            steps.append((rows, piece[rows, e]))
+            e = back[rows, e]
+            rows, e = rows[e > 0], e[e > 0]
+        of = np.concatenate([r for r, _ in steps])
+        ids = np.concatenate([i for _, i in steps])
+        order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(r) for r, _ in steps]), of))
+        data = ids[order].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(of, minlength=n))).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends], ends)]
+        for r in np.unique(of[ids < 0]).tolist():  # unknown characters become bytes
+            out[r] = self._scalar(words[r])
+        return out
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -270,20 +278,20 @@ def _width(lead: int) -> int:
 
 def encoded(docs: DataFrame, model: Unigram) -> DataFrame:
     """doc_id and ids of every text."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                ids = [np.frombuffer(x, "<i4") for x in held.value.encode_bytes(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for part in slices(batches):
+            ids = [np.frombuffer(x, "<i4") for x in held.value.encode_bytes(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, model: Unigram) -> DataFrame:
     """doc_id and text of every row of ids."""
+    ship(rows.sparkSession)
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -296,21 +304,20 @@ def decoded(rows: DataFrame, model: Unigram) -> DataFrame:
 
 def round_trips(docs: DataFrame, model: Unigram) -> DataFrame:
     """Digests of each text's ids and of what they decode to, in one pass."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         first, last = (min(m.byte_ids.values()), max(m.byte_ids.values())) if m.byte_ids else (0, -1)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                rows = []
-                for t, coded in zip(texts[a:b], m.encode_bytes(texts[a:b])):
-                    ids = np.frombuffer(coded, "<i4")
-                    back = m.decode(ids.tolist())
-                    rows.append((len(ids), zlib.crc32(coded), int(((ids >= first) & (ids <= last)).sum()), hashlib.sha256(back.encode()).hexdigest(), back == t.replace(MARK, " ")))
-                names, kinds = ["n_ids", "ids_crc32", "n_byte_ids", "decoded_sha256", "round_trip"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], names=["doc_id", *names])
+        for part in slices(batches):
+            texts, rows = part.column("text").to_pylist(), []
+            for t, coded in zip(texts, m.encode_bytes(texts)):
+                ids = np.frombuffer(coded, "<i4")
+                back = m.decode(ids.tolist())
+                rows.append((len(ids), zlib.crc32(coded), int(((ids >= first) & (ids <= last)).sum()), hashlib.sha256(back.encode()).hexdigest(), back == t.replace(MARK, " ")))
+            names, kinds = ["n_ids", "ids_crc32", "n_byte_ids", "decoded_sha256", "round_trip"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], names=["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
         run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, decoded_sha256 string, round_trip boolean"
