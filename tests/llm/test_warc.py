@@ -38,6 +38,12 @@ def test_defined_cases(spark):
     assert got(spark, []) == []
 
 
+def test_many_repeats_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(i, "u", f"page {i % 3}" if i % 2 else "hot", "x") for i in range(60)]
+    assert got(spark, rows) == expected(rows)
+
+
 def test_small_splits(spark):
     """Chains over many splits, with payloads full of magic lines."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
