@@ -6,7 +6,7 @@ from hypothesis import strategies as s
 
 from weavegrid.llm import chat_format as cf
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+FILES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TEXT = s.lists(s.sampled_from(["<|im_end|>", "<|im_start|>", "<|im_sep|>", "<|endoftext|>", "<", "\\", "|", "<\\|", "\n", " ", "é", "日本", "😀", "a", "ok ", "  x"]), max_size=12).map("".join)
 SCHEMA = "conv_id long, turn long, role string, text string, offsets string"
 
@@ -21,23 +21,39 @@ def test_escaping_is_reversible(text):
 @settings(max_examples=200, deadline=None)
 @given(s.lists(s.tuples(s.sampled_from(["user", "assistant", "system", "<|im_sep|>", ""]), TEXT), max_size=6))
 def test_masks_say_the_trained_texts(turns):
-    import numpy as np
-
     text, spans = cf.render(turns)
     assert cf.parse(text) == turns
-    t = cf._tokenizer(PATH)
-    offsets = np.array(t.encode(text, add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
+    ids, offsets = cf.encoder(*FILES)(text)
+    assert cf.encoder(*FILES).bpe.decode(ids.tolist()) == text
     mask = cf.mask_tokens(offsets, spans)
     assert cf.masked_text(text, offsets, mask) == "".join(x for r, x in turns if r == "assistant")
 
 
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "hello <|im_end|>", "x"), (1, 0, "user", None, "x"), (2, 0, None, "a", "x"), (None, 3, "assistant", "ü" * 60_000, "x"), (3, 0, "assistant", "b", "x"), (3, 0, "assistant", "a", "x"), (3, 0, "assistant", "a", "x")]
-    out = cf.formatted(spark.createDataFrame(rows, SCHEMA), PATH)
+    out = cf.formatted(spark.createDataFrame(rows, SCHEMA), *FILES)
     got = {r["conv_id"]: r for r in cf.read_back(out).collect()}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got[1]["turns_sha256"] == sha("user\n\nassistant\nhello <|im_end|>\n") and got[1]["loss_sha256"] == sha("hello <|im_end|>")
     assert got[2]["loss_chars"] == 0 and got[2]["loss_sha256"] == sha("")
     assert got[None]["loss_chars"] == 60_000
     assert got[3]["n_turns"] == 3 and got[3]["loss_sha256"] == sha("aab")
-    assert cf.read_back(cf.formatted(spark.createDataFrame([], SCHEMA), PATH)).count() == 0
+    assert cf.read_back(cf.formatted(spark.createDataFrame([], SCHEMA), *FILES)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXT)
+def test_offsets_are_those_of_the_tokenizers_library(text):
+    from tokenizers import Tokenizer, processors
+
+    if not _held:
+        _held.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+        _held[0].post_processor = processors.ByteLevel(trim_offsets=False)
+        _held[0].add_special_tokens([cf.START, cf.SEPARATOR, cf.STOP])
+    text = cf.render([("user", text), ("assistant", text)])[0]
+    wanted = _held[0].encode(text, add_special_tokens=False)
+    ids, offsets = cf.encoder(*FILES)(text)
+    assert ids.tolist() == wanted.ids and [tuple(o) for o in offsets.tolist()] == wanted.offsets
+
+
+_held = []

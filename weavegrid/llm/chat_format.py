@@ -86,21 +86,38 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
     return "".join(unescape(formatted[offsets[r[0], 0] : offsets[r[-1], 1]]) for r in runs)
 
 
-_tokenizers: dict[str, object] = {}
+class Encoder:
+    """A byte-level BPE with the three marks as special tokens, and the place of each token in the text."""
 
+    def __init__(self, ranks_path: str, pattern: str):
+        import base64
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, processors
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        marks = {m: max(ranks.values()) + 2 + i for i, m in enumerate((START, SEPARATOR, STOP))}
+        self.bpe = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens=marks)
+        self.sizes = np.zeros(max(marks.values()) + 1, np.int64)
+        for token, i in [*ranks.items(), *((m.encode(), i) for m, i in marks.items())]:
+            self.sizes[i] = len(token)
 
-        t = Tokenizer.from_file(path)
-        t.post_processor = processors.ByteLevel(trim_offsets=False)
-        t.add_special_tokens([START, SEPARATOR, STOP])
-        _tokenizers[path] = t
-    return _tokenizers[path]
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and rows of start and end in code points. Tokens that share a character's bytes have the same place."""
+        ids = np.array(self.bpe.encode(text, allowed_special="all"), np.int32)
+        ends = np.cumsum(self.sizes[ids])
+        character = np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80) - 1
+        return ids, np.column_stack([character[ends - self.sizes[ids]], character[ends - 1] + 1]).astype(np.int32).reshape(-1, 2)
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(ranks_path: str, pattern: str) -> Encoder:
+    """One for each worker process."""
+    if (ranks_path, pattern) not in _encoders:
+        _encoders[ranks_path, pattern] = Encoder(ranks_path, pattern)
+    return _encoders[ranks_path, pattern]
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -109,25 +126,23 @@ def conversations(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
-def formatted(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+def formatted(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """conv_id, formatted, ids, offsets (start and end of each token in turn, flat), loss_mask."""
-
     ship(rows.sparkSession)
 
     def run(batches):
-        t = _tokenizer(tokenizer_path)
+        encode = encoder(ranks_path, pattern)
         for batch in batches:
             for a in range(0, batch.num_rows, AT_ONCE):
-                conv, turns = batch.column("conv_id").slice(a, AT_ONCE), batch.column("turns").slice(a, AT_ONCE).to_pylist()
-                texts, spans = zip(*[render([(x["role"], x["text"]) for x in c]) for c in turns])
-                encoded = t.encode_batch(list(texts), add_special_tokens=False)
-                offsets = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in encoded]
+                part = batch.slice(a, AT_ONCE)
+                texts, spans = zip(*[render([(x["role"], x["text"]) for x in c]) for c in part.column("turns").to_pylist()])
+                ids, offsets = zip(*map(encode, texts))
                 masks = [mask_tokens(o, s) for o, s in zip(offsets, spans)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        conv,
+                        part.column("conv_id"),
                         pa.array(texts),
-                        pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
+                        pa.array(ids, pa.list_(pa.int32())),
                         pa.array([o.ravel() for o in offsets], pa.list_(pa.int32())),
                         pa.array(masks, pa.list_(pa.bool_())),
                     ],
