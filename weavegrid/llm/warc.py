@@ -35,6 +35,7 @@ from weavegrid.llm.common import discard, new_path, ship, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+LENGTH = "([0-9]{1,15})"
 #: Rows of (digest, page_id) that may be broadcast: about 10 MB.
 BROADCAST_ROWS = 200_000
 # RFC 4648's alphabet for groups of five bits in order.
@@ -103,10 +104,16 @@ def _field(name: str, value: str = "([^\r\n]*)") -> Column:
     return F.when(found != "", found)
 
 
+def _with_length(rows: DataFrame) -> DataFrame:
+    """``rows`` with the place where the block starts and its stated length; no record here is 2 GiB long, so a longer one is none."""
+    length = _field("Content-Length", LENGTH).cast("long")
+    return rows.withColumn("start", F.octet_length("head") + len(END)).withColumn("length", F.when(length < 2**31 - 2**20, length).cast("int"))
+
+
 def _payload(chunk: Column, start: Column, length: Column) -> Column:
     """The block without its HTTP header."""
     block = F.substring(chunk, start + 1, length)
-    header = F.octet_length(F.substring_index(block.cast("string"), END, 1)) + 4
+    header = F.octet_length(F.substring_index(block.cast("string"), END, 1)) + len(END)
     return F.substring(block, header + 1, F.greatest(length - header, F.lit(0)))
 
 
@@ -192,27 +199,26 @@ def _entries(exits: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, declared_digest of the records under ``path``."""
     ship(spark)
-    raw = _chunks(spark, path).withColumn("head", F.substring_index("value", END, 1))
-    start = F.octet_length("head") + 4
-    length = _field("Content-Length", "([0-9]{1,15})").cast("long")
-    size = F.octet_length("value")
-    closed = size == start + length + 4
+    raw = _with_length(_chunks(spark, path).withColumn("head", F.substring_index("value", END, 1)))
+    size = F.octet_length("value").cast("long")
+    record = (F.col("start") + F.col("length") + len(END)).cast("long")
+    closed = F.col("length").isNotNull() & (size == record)  # else the payload holds the magic, or this isn't a record
     payload = _payload(F.col("chunk"), F.col("start"), F.col("length"))
-    parsed = raw.withColumn("start", start).withColumn("length", length).select(
+    parsed = raw.select(
         "file",
         "split",
         "seq",
-        size.cast("long").alias("size"),
-        (len(MAGIC) + F.col("start") + F.col("length") + 4).cast("long").alias("record"),
-        (F.col("length").isNotNull() & (size == F.col("start") + F.col("length") + 4)).alias("closed"),
+        size.alias("size"),
+        (len(MAGIC) + record).alias("record"),
+        closed.alias("closed"),
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
         _field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
         _field("WARC-Target-URI").alias("url"),
         _field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("declared_digest"),
-        _field("X-Payload-Length", "([0-9]{1,15})").cast("long").alias("declared_bytes"),
-        F.when(F.col("length").isNotNull() & closed, F.octet_length(payload)).cast("long").alias("payload_bytes"),
-        F.when(F.col("length").isNotNull() & closed, base32_sha1(payload)).alias("payload_digest"),
+        _field("X-Payload-Length", LENGTH).cast("long").alias("declared_bytes"),
+        F.when(closed, F.octet_length(payload)).cast("long").alias("payload_bytes"),
+        F.when(closed, base32_sha1(payload)).alias("payload_digest"),
     )
     found = stored(parsed, "candidates")
     splits = found.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"), F.min("seq").alias("first"))
@@ -275,8 +281,8 @@ def _put_together(spark: SparkSession, path: str, parted: DataFrame, exits: Data
         .agg(F.sort_array(F.collect_list(F.struct("at", "chunk"))).alias("chunks"))
         .select("file", F.col("record_at").alias("at"), F.expr(f"aggregate(slice(chunks, 2, size(chunks)), chunks[0].chunk, (a, c) -> concat(a, cast('{MAGIC[:-2]}\\r\\n' as binary), c.chunk))").alias("chunk"))
     )
-    whole = whole.withColumn("head", F.substring_index(F.col("chunk").cast("string"), END, 1)).withColumn("start", F.octet_length("head") + 4).withColumn("length", _field("Content-Length", "([0-9]{1,15})").cast("long"))
-    payload = _payload(F.col("chunk"), F.col("start"), F.col("length").cast("int"))
+    whole = _with_length(whole.withColumn("head", F.substring_index(F.col("chunk").cast("string"), END, 1)))
+    payload = _payload(F.col("chunk"), F.col("start"), F.col("length"))
     whole = whole.select("file", "at", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
     return parted.drop("payload_bytes", "payload_digest").join(whole, ["file", "at"])
 
