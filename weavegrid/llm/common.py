@@ -48,7 +48,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/weavegrid/{name}-{uuid.uuid4().hex}"
+    """A path of the application's own in the shared folder; what is left there goes when the driver's JVM ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/weavegrid-{context.applicationId}"
+    if getattr(context, "_weavegrid_folder", None) != folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._weavegrid_folder = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -98,18 +107,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every
     round is a few joins and minimum aggregates over the links, which never
     outnumber those given, and O(log^2) rounds suffice. Each round is written
-    as a table, so lineage stays short.
+    as a table, so lineage stays short. They end when each node has one link,
+    to a node that has none: then the links are stars around the smallest.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = stored(links, "links")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = mark
+    while not _are_stars(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -126,3 +129,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(now)
         discard(large)
         now = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each u has one link and no v is a u; both in one pass over the nodes."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).union(links.select("v", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v"))
+    return not counts.where("as_u > 1 or as_u = 1 and as_v = 1").limit(1).count()

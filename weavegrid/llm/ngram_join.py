@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import connected_components, ship, slices, stored, text_or_empty
+from weavegrid.llm.common import connected_components, discard, ship, slices, stored, text_or_empty
 from weavegrid.llm.shingles import hash_family, minhashes, mix, shingle_sets
 
 THRESHOLD = 0.8
@@ -223,9 +223,10 @@ def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
     able = classes.where("n > 0")
 
     level = able.select("key", "sig").mapInArrow(_children(runs_for(target_recall)), "key long, node long")
-    buckets = None
+    buckets, spent = None, []
     for depth in range(LEVELS):
         level = stored(level, "paths")
+        spent.append(level)
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         last = depth == LEVELS - 1
         done = _cells(level, sizes if last else sizes.where(F.col("size") <= SMALL), "node", SMALL, SKETCH_BLOCKS)
@@ -265,6 +266,8 @@ def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
         .select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "classes",
     )
+    for table in (*spent, classes, near, compared):
+        discard(table)
     return signed.select("doc_id", "key").join(result, "key").select("doc_id", "class_id", "n_links")
 
 
