@@ -31,6 +31,7 @@ K = 20
 DIMENSION_BLOCK = 16
 CANDIDATES_MOST, QUERIES_MOST = 32768, 4096
 CANDIDATES_LEAST, QUERIES_LEAST = 2048, 256
+BLOCK_BYTES = 1 << 24
 SCORES_AT_ONCE = 1 << 21
 
 
@@ -42,31 +43,38 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _blocked(dims: int, vertical: bool):
-    """Rows dealt to blocks, sorted by block, to one row for each block of a batch run."""
+    """Rows sorted by block to one row for each block."""
 
-    def pack(block, ids, rows):
-        m = np.zeros((len(rows), dims))
-        for i, r in enumerate(rows):
-            m[i, : len(r)] = r
+    def packed(block: int, ids: list[np.ndarray], rows: list[np.ndarray]):
+        m = np.concatenate(rows)
         data = np.ascontiguousarray(m.T if vertical else m)
         small = np.abs(data).max(initial=0) < 2**15
-        return block, np.array(ids, "<i8").tobytes(), data.astype("<i2" if small else "<f8").tobytes()
+        data = data.astype("<i2" if small else "<f8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([data])], names=["block", "ids", "data"])
+
+    def padded(vectors: pa.ListArray) -> np.ndarray:
+        size = vectors.value_lengths().to_numpy()
+        m = np.zeros((len(size), dims))
+        row = np.repeat(np.arange(len(size)), size)
+        m[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = vectors.flatten().to_numpy()
+        return m
 
     def run(batches):
-        block, ids, rows = None, [], []
+        last, ids, rows = None, [], []
         for batch in batches:
-            for b, i, v in zip(batch.column("block").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                if b != block:
-                    if ids:
-                        yield _one(pack(block, ids, rows))
-                    block, ids, rows = b, [], []
-                ids.append(i)
-                rows.append(v)
+            if not batch.num_rows:
+                continue
+            block, own, m = batch.column("block").to_numpy(), batch.column("vec_id").to_numpy(), padded(batch.column("v"))
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:]):
+                if ids and block[a] != last:
+                    yield packed(last, ids, rows)
+                    ids, rows = [], []
+                last = block[a]
+                ids.append(own[a:b])
+                rows.append(m[a:b])
         if ids:
-            yield _one(pack(block, ids, rows))
-
-    def _one(row):
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]]), pa.array([row[2]])], names=["block", "ids", "data"])
+            yield packed(last, ids, rows)
 
     return run
 
@@ -136,6 +144,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     ways = max(2, spark.sparkContext.defaultParallelism)
 
     def blocks(rows, count, least, most, vertical, name):
+        most = max(least // 8, min(most, BLOCK_BYTES // (8 * max(dims, 1))))
         n_blocks = max(1, math.ceil(count / most), min(ways, math.ceil(count / least)))
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int"))
         return stored(dealt.repartition(n_blocks, "block").sortWithinPartitions("block").select("block", "vec_id", "v").mapInArrow(_blocked(dims, vertical), "block int, ids binary, data binary"), name), n_blocks
