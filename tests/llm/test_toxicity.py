@@ -102,3 +102,18 @@ def test_rejected_documents_go(spark, sf):
 @pytest.mark.parametrize("word, k", [("scum", 0), ("idiot", 1), ("disgusting", 2)])
 def test_edits(word, k):
     assert edits_for(word) == k
+
+
+def test_copies_of_a_text_neither_raise_the_bar_nor_enter(spark):
+    rng = random.Random(2)
+    filler = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    copied = ["zquux", *filler(60).split()]
+    toxic = [f"vilest {filler(20)}" for _ in range(6)] + [" ".join(copied)] * 600 + [" ".join([*copied, f"end{i}"]) for i in range(20)]
+    clean = [filler(20) for _ in range(200)] + [filler(20)] * 300
+    texts = toxic + clean
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(texts))], "doc_id long, toxic int")
+    assert sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(6)) >= toxicity.LEAST_TOXIC
+    found = {t for t, _, _ in toxicity.train(docs, labels).entries}
+    assert "vile" in {t[:4] for t in found}
+    assert not any(t.startswith("zquu") for t in found)

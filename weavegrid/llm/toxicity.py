@@ -35,15 +35,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import ship, slices, text_or_empty
+from weavegrid.llm.common import discard, ship, slices, stored, text_or_empty
+from weavegrid.llm.shingles import hash_family, minhashes, shingle_sets
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of doc_id.
 TRAINING_ROWS = 20_000
 LEXICON_MOST = 3000
 STEMS = range(4, 7)
-#: An entry stands in so many toxic texts of the sample at least, and in such a share of them; less may be one text's near copies.
-LEAST_TOXIC, LEAST_SHARE = 4, 0.015
+#: An entry stands in so many toxic texts of the sample at least, near copies counted once, and chance would
+#: put it into so many of them, rather than into others, with at most this probability (of 3e-2 to 1e-6 the best log loss among training folds).
+LEAST_TOXIC, CHANCE = 4, 3e-3
 LEAST_RATIO = 12.0
+#: Texts are near copies if half of their minwise coordinates agree; they are looked for where a band of these does.
+COORDINATES, BAND = 64, 4
 WINDOW = 6
 
 # Words that report speech, and words that address someone, in the corpus' languages.
@@ -236,6 +240,39 @@ def _term_counts(batches):
         yield flush()
 
 
+def _signed(batches):
+    a, b = hash_family(COORDINATES, 2)
+    for part in slices(batches):
+        sigs = [minhashes(s, a, b).tobytes() for s in shingle_sets(part.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), pa.array(sigs, pa.binary())], names=["id", "toxic", "sig"])
+
+
+def without_near_copies(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """(id, toxic) of the first text, by id, of each group of near copies with one label; rows: id, toxic, minwise coordinates."""
+    kept: list[tuple[int, int]] = []
+    sigs: list[np.ndarray] = []
+    buckets: dict[tuple, list[int]] = {}
+    for i, toxic, data in sorted(rows):
+        sig = np.frombuffer(data, np.uint32)
+        bands = [(toxic, j, data[4 * j : 4 * (j + BAND)]) for j in range(0, COORDINATES, BAND)]
+        if any(2 * np.count_nonzero(sigs[k] == sig) >= COORDINATES for k in {k for b in bands for k in buckets.get(b, ())}):
+            continue
+        for b in bands:
+            buckets.setdefault(b, []).append(len(kept))
+        kept.append((i, toxic))
+        sigs.append(sig)
+    return kept
+
+
+def unlikely(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Whether a term of ``a`` among n1 toxic and ``b`` among n0 other texts has a probability of CHANCE or less to
+    stand in so many toxic ones, by the Chernoff bound; a term of all toxic texts and no other always has."""
+    q = n1 / (n1 + n0)
+    share = a / (a + b)
+    bound = a * F.log(share / q) + F.when(b > 0, b * F.log((1 - share) / (1 - q))).otherwise(0.0)
+    return (share > q) & (bound >= min(-math.log(CHANCE), -n1 * math.log(q) * (1 - 1e-9)))
+
+
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton's method."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -264,16 +301,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     # at most ``rows`` narrow rows, so they may be broadcast
     chosen = spark.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow())
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    # copies and near copies would make their every word look frequent, so each group counts once, in sizes too
+    texts = stored(sample.select("text", "toxic").dropDuplicates(["text", "toxic"]).withColumn("id", F.xxhash64("text")), "sample")
+    signed = texts.mapInArrow(_signed, "id long, toxic int, sig binary").toArrow()  # at most ``rows`` short rows
+    single = without_near_copies(list(zip(*(signed.column(c).to_pylist() for c in ("id", "toxic", "sig")))))
+    n1 = sum(toxic for _, toxic in single)
+    n0 = len(single) - n1
     if not n1 or not n0:
         return Model(constant=1.0 * bool(n1))
-    # copies would make their every word look frequent
-    counts = sample.dropDuplicates(["text", "toxic"]).select("text", "toxic").mapInArrow(_term_counts, "term string, stem boolean, toxic int, n long")
+    chosen = spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in single], pa.int64()), "toxic": pa.array([t for _, t in single], pa.int32())}))
+    counts = texts.join(F.broadcast(chosen), ["id", "toxic"]).select("text", "toxic").mapInArrow(_term_counts, "term string, stem boolean, toxic int, n long")
     of = lambda t: F.coalesce(F.sum(F.when(F.col("toxic") == t, F.col("n"))), F.lit(0))
-    counts = counts.groupBy("term", "stem").agg(of(1).alias("n1"), of(0).alias("n0")).where(F.col("n1") >= min(max(LEAST_TOXIC, LEAST_SHARE * n1), n1))
+    counts = counts.groupBy("term", "stem").agg(of(1).alias("n1"), of(0).alias("n0"))
+    counts = counts.where((F.col("n1") >= min(LEAST_TOXIC, n1)) & unlikely(F.col("n1"), F.col("n0"), n1, n0))
     ratio = ((F.col("n1") + 0.1) / n1) / ((F.col("n0") + 0.5) / n0)
     best = counts.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc(F.log("ratio") * F.sqrt("n1")), "term", "stem").limit(LEXICON_MOST).collect()
+    discard(texts)
     model = Model(entries=lexicon([(r["term"], r["stem"], math.log(r["ratio"]), r["n1"]) for r in best]), constant=None)
 
     def features(batches):
