@@ -117,3 +117,10 @@ def test_copies_of_a_text_neither_raise_the_bar_nor_enter(spark):
     found = {t for t, _, _ in toxicity.train(docs, labels).entries}
     assert "vile" in {t[:4] for t in found}
     assert not any(t.startswith("zquu") for t in found)
+
+
+def test_words_of_a_stem_keep_their_misspellings():
+    entries = toxicity.lexicon([("idio", True, 2.0, 80), ("idiot", False, 2.0, 40), ("idiots", False, 2.0, 40), ("idiot", True, 2.0, 40)])
+    assert ("idio", True, 2.0) in entries and ("idiot", True, 2.0) not in entries
+    matcher = Matcher(entries)
+    assert [matcher.find(w)[0] for w in ("idi0t", "ideot", "1diots", "idiotic", "idiot")] == ["fuzzy", "fuzzy", "fuzzy", "stem", "exact"]

@@ -332,7 +332,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
 
 
 def lexicon(found: list[tuple[str, bool, float, int]]) -> list[tuple[str, bool, float]]:
-    """Entries without those that a kept stem covers: a stem must be seen well more often than any one word or stem with it."""
+    """All words, and the stems that no shorter kept stem covers: a stem must be seen well more often than any one word or stem with it.
+
+    Words that a stem covers stay, so that their misspellings are found; a word of a text is one hit whatever it agrees with.
+    """
     stems = {t: n for t, stem, _, n in found if stem}
     longest: dict[str, int] = {}
     for t, _, _, n in found:
@@ -340,11 +343,7 @@ def lexicon(found: list[tuple[str, bool, float, int]]) -> list[tuple[str, bool,
             if len(t) > k:
                 longest[t[:k]] = max(longest.get(t[:k], 0), n)
     kept = {t for t, n in stems.items() if n >= 1.5 * longest.get(t, 0)}
-
-    def covered(t: str) -> bool:
-        return any(t[:k] in kept for k in STEMS if k < len(t))
-
-    return [(t, stem, w) for t, stem, w, _ in found if (t in kept if stem else True) and not covered(t)]
+    return [(t, stem, w) for t, stem, w, _ in found if not stem or (t in kept and not any(t[:k] in kept for k in STEMS if k < len(t)))]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
