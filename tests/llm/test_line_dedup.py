@@ -91,3 +91,30 @@ def test_large_leaves_go_deeper(spark, monkeypatch):
     other = lambda i: "a b c " + " ".join(f"{chr(97 + (i * k) % 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for k in range(1, 8))
     rows = [(i, f"{other(i)}\na b c the line that all of these share") for i in range(40)]
     assert [g[3] for g in run(spark, rows)] == [0] + [1] * 39
+
+
+def test_large_leaves_merge_lines_that_vary_early(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART", 2)
+    monkeypatch.setattr(line_dedup, "LEAF_MOST", 3)
+    other = lambda i: "a b c " + " ".join(f"{chr(97 + (i * k) % 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for k in range(1, 9))
+    alike = {0: "red", 20: "green", 40: "blue", 59: "grey"}
+    rows = [(i, other(i) + (f"\na b c {alike[i]} the line that all of these share" if i in alike else "")) for i in range(60)]
+    assert [g[3] for g in run(spark, rows)] == [int(i in (20, 40, 59)) for i in range(60)]
+
+
+def test_index_gives_what_comparing_all_gives(monkeypatch):
+    rng = np.random.default_rng(5)
+    for places in (4, 7, 12):
+        vectors = [v.astype(np.uint16) for v in rng.integers(0, 4, (400, places))]
+        monkeypatch.setattr(line_dedup, "LEAF_MOST", 10**9)
+        whole = cluster(vectors)
+        monkeypatch.setattr(line_dedup, "LEAF_MOST", 2)
+        joined, templates = cluster(vectors)
+        assert joined == whole[0] and [t.tolist() for t in templates] == [t.tolist() for t in whole[1]]
+
+
+def test_one_leaf_of_many_templates():
+    rng = np.random.default_rng(6)
+    vectors = list(rng.integers(1, 65536, (30_000, 12)).astype(np.uint16))
+    joined, templates = cluster([*vectors, vectors[7]])
+    assert len(templates) == 30_000 and joined[-1] == 7

@@ -10,8 +10,9 @@ and its lines are dropped from all others.
 
 A leaf is not one task's work: its distinct lines are first clustered in
 salted parts of about ``PART`` lines, then the parts' templates, far fewer,
-are clustered together. Where more than ``LEAF_MOST`` templates are left, the
-tree goes ``DEEPER`` tokens further down for that leaf.
+are all clustered together, however many there are. Among more than
+``LEAF_MOST`` templates those that can agree with a line are found by an index
+of tokens at places, which gives what comparing all of them gives.
 Lines are known by 64-bit hashes and tokens by 16-bit ones, so a template's
 agreement may be overstated by one place in 65,536.
 
@@ -23,6 +24,7 @@ document; rows without a doc_id pass unchanged and aren't counted.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,7 @@ MIN_TOKENS = 3
 LEADING = 3
 AGREEMENT = 0.75
 PART = 2000
-LEAF_MOST, DEEPER = 20_000, 3
+LEAF_MOST = 500
 VARIABLE = 0  # of 16-bit token hashes; others lie above
 
 _DIGIT = re.compile(r"\d")
@@ -98,25 +100,57 @@ def _parsed(batches):
         )
 
 
+class _Index:
+    """Templates by their tokens at places; a place that turns variable later keeps its entry, so more may be found, never fewer."""
+
+    def __init__(self):
+        self.at: dict[int, array] = {}
+
+    @staticmethod
+    def _keys(v: np.ndarray) -> list[int]:
+        places = np.flatnonzero(v != VARIABLE)
+        return (places * 65536 + v[places]).tolist()
+
+    def add(self, v: np.ndarray, number: int) -> None:
+        for k in self._keys(v):
+            self.at.setdefault(k, array("q")).append(number)
+
+    def near(self, v: np.ndarray) -> np.ndarray:
+        """In order, all templates that equal ``v`` in half of its places: they do so in one of any (fixed places - half + 1), here the rarest."""
+        found = sorted((self.at.get(k, ()) for k in self._keys(v)), key=len)
+        found = [np.frombuffer(x, np.int64) for x in found[: max(0, len(found) - (len(v) + 1) // 2 + 1)] if len(x)]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 def cluster(vectors: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
     """The template that each token vector of a leaf joins, in order, and the templates; all vectors have one length."""
     joined: list[int] = []
     table = np.zeros((8, len(vectors[0])), np.uint16) if vectors else np.zeros((0, 0), np.uint16)
+    index = None
     n = 0
     for v in vectors:
-        if n:
-            t = table[:n]
+        if index is None and n > LEAF_MOST:
+            index = _Index()
+            for i in range(n):
+                index.add(table[i], i)
+        numbers = index.near(v) if index else None
+        t = table[:n] if numbers is None else table[numbers]
+        if len(t):
             # variable places agree with anything, but don't count as evidence
             same = ((t == v) & (t != VARIABLE)).sum(axis=1)
             fixed = np.maximum(((t != VARIABLE) & (v != VARIABLE)[None, :]).sum(axis=1), 1)
-            best = int((same / fixed).argmax())
-            if same[best] >= AGREEMENT * fixed[best] and same[best] * 2 >= len(v):
+            share = np.where(same * 2 >= len(v), same / fixed, 0.0)
+            best = int(share.argmax())
+            if share[best] >= AGREEMENT:
+                best = best if numbers is None else int(numbers[best])
                 table[best][table[best] != v] = VARIABLE
                 joined.append(best)
                 continue
         if n == len(table):
             table = np.concatenate([table, np.zeros_like(table)])
         table[n] = v
+        if index:
+            index.add(v, n)
         joined.append(n)
         n += 1
     return joined, [table[i] for i in range(n)]
@@ -172,9 +206,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("leaf_lines") / PART))
     parts = stored(_cluster_by(distinct, F.xxhash64("leaf", salt)), "parts")
     templates = parts.groupBy("leaf", F.col("template").alias("member")).agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
-    large = templates.groupBy("leaf").count().where(F.col("count") > LEAF_MOST).select("leaf", F.lit(True).alias("large"))
-    below = F.substring("tokens", 2 * LEADING + 1, 2 * DEEPER)
-    merged = _cluster_by(templates.join(large, "leaf", "left"), F.when(F.col("large"), F.xxhash64("leaf", below)).otherwise(F.col("leaf")))
+    merged = _cluster_by(templates, F.col("leaf"))
     of_line = parts.select(F.col("member").alias("line"), F.col("template").alias("part")).join(merged.select(F.col("member").alias("part"), "template"), "part").select("line", "template")
     of_line = stored(of_line, "templates")
     seen = lines.select("doc_id", "line").join(of_line, "line").select("template", "doc_id").distinct()
