@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without recurring lines; a document that held nothing else goes."""
-    kept = line_dedup.deduplicated(docs)
+    kept = line_dedup.deduplicated(docs, min_tokens=1)
     return kept.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).select(docs.columns)
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 
-from weavegrid.llm import line_dedup
+import corpus_pipeline
+from weavegrid.llm import line_dedup, queries
 from weavegrid.llm.line_dedup import Lines, cluster, deduplicated
 
 SCHEMA = "doc_id long, text string, n_chars int, dropped string"
@@ -118,3 +119,12 @@ def test_one_leaf_of_many_templates():
     vectors = list(rng.integers(1, 65536, (30_000, 12)).astype(np.uint16))
     joined, templates = cluster([*vectors, vectors[7]])
     assert len(templates) == 30_000 and joined[-1] == 7
+
+
+def test_short_lines_recur_in_queries(spark, tmp_path):
+    texts = ["Les.\nAnd ornd.\nalpha of one", "Les.\nbeta of two\nAnd ornd.", "gamma\nLes.", "Les.\nAnd ornd.\ndelta", ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["kept_text"] for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "beta of two", 2: "gamma", 3: "delta", 4: ""}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["text"] for r in corpus_pipeline.drop_recurring_lines(spark, docs, "").collect()} == {*got.values()}

@@ -16,8 +16,9 @@ of tokens at places, which gives what comparing all of them gives.
 Lines are known by 64-bit hashes and tokens by 16-bit ones, so a template's
 agreement may be overstated by one place in 65,536.
 
-Defined cases: a null text counts as empty; blank lines and those of fewer
-than ``MIN_TOKENS`` tokens always stay; rows that repeat a doc_id count as one
+Defined cases: a null text counts as empty; blank lines always stay, and so do
+those of fewer than ``min_tokens`` tokens (``MIN_TOKENS`` unless the caller
+says otherwise; op4 and the pipeline parse lines of one token too); rows that repeat a doc_id count as one
 document; rows without a doc_id pass unchanged and aren't counted.
 """
 
@@ -58,13 +59,13 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class Lines:
     """The lines of some texts that count, as arrays: text and line number, leaf, line hash and token hashes (flat, from start on)."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], min_tokens: int = MIN_TOKENS):
         words: list[str] = []
         doc, number, size = [], [], []
         for i, t in enumerate(texts):
             for j, line in enumerate(t.split("\n")):
                 w = line.split()
-                if len(w) >= MIN_TOKENS:
+                if len(w) >= max(min_tokens, 1):
                     doc.append(i)
                     number.append(j)
                     size.append(len(w))
@@ -83,7 +84,8 @@ class Lines:
         self.hash = _scramble(np.add.reduceat(place, self.start)).view(np.int64)
         leaf = self.size.astype(np.uint64)
         for k in range(LEADING):
-            leaf = _scramble(leaf * np.uint64(0x9E3779B97F4A7C15) + h[self.start + k])
+            token = np.where(self.size > k, h[self.start + np.minimum(k, self.size - 1)], np.uint64(0))
+            leaf = _scramble(leaf * np.uint64(0x9E3779B97F4A7C15) + token)
         self.leaf = leaf.view(np.int64)
 
     def vectors(self) -> list[bytes]:
@@ -91,13 +93,16 @@ class Lines:
         return [data[2 * a : 2 * (a + n)] for a, n in zip(self.start.tolist(), self.size.tolist())]
 
 
-def _parsed(batches):
-    for part in slices(batches):
-        lines = Lines(part.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.leaf), pa.array(lines.hash), pa.array(lines.vectors(), pa.binary())],
-            names=["doc_id", "leaf", "line", "tokens"],
-        )
+def _parsed(min_tokens: int):
+    def run(batches):
+        for part in slices(batches):
+            lines = Lines(part.column("text").to_pylist(), min_tokens)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.leaf), pa.array(lines.hash), pa.array(lines.vectors(), pa.binary())],
+                names=["doc_id", "leaf", "line", "tokens"],
+            )
+
+    return run
 
 
 class _Index:
@@ -194,11 +199,11 @@ def _cluster_by(rows: DataFrame, key) -> DataFrame:
     )
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id and dropped, the hashes of its lines that go, of every document that loses lines."""
     ship(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = stored(rows.mapInArrow(_parsed, "doc_id long, leaf long, line long, tokens binary"), "lines")
+    lines = stored(rows.mapInArrow(_parsed(min_tokens), "doc_id long, leaf long, line long, tokens binary"), "lines")
     # only leaves with enough lines can hold a recurring template
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("leaf_lines")).where(F.col("leaf_lines") >= min_docs)
     held = lines.join(leaves, "leaf")
@@ -216,9 +221,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return dropped.groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
 
 
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, and n_lines, n_dropped (which replace columns of these names); n_chars follows the text where there is such a column."""
-    dropped = dropped_lines(docs, min_docs).select(F.col("doc_id").alias("_dropped_of"), F.col("dropped").alias("_dropped"))
+    dropped = dropped_lines(docs, min_docs, min_tokens).select(F.col("doc_id").alias("_dropped_of"), F.col("dropped").alias("_dropped"))
     base = docs.drop("n_lines", "n_dropped")
     joined = base.join(dropped, F.col("doc_id") == F.col("_dropped_of"), "left").drop("_dropped_of")
     at = base.columns.index("text")
@@ -231,7 +236,7 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             n_dropped = [0] * len(texts)
             for i, (t, d) in enumerate(zip(texts, gone)):
                 if d and t:
-                    own = Lines([t])
+                    own = Lines([t], min_tokens)
                     lost = set(own.number[np.isin(own.hash, np.array(d, np.int64))].tolist())
                     n_dropped[i] = len(lost)
                     texts[i] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in lost)

@@ -45,7 +45,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
 
 
