@@ -128,3 +128,10 @@ def test_short_lines_recur_in_queries(spark, tmp_path):
     assert got == {0: texts[0], 1: "beta of two", 2: "gamma", 3: "delta", 4: ""}
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert {r["text"] for r in corpus_pipeline.drop_recurring_lines(spark, docs, "").collect()} == {*got.values()}
+
+
+def test_lines_of_numbers_recur_only_as_they_stand(spark):
+    rows = [(i, f"{i} {i * 7} {i + 30}\nrow {i} {i * 3} {i + 9}\nsame 1 2 3") for i in range(1, 6)]
+    got = run(spark, rows)
+    assert [g[3] for g in got] == [0, 1, 1, 1, 1]
+    assert all(g[2].startswith(t.rsplit("\n", 1)[0]) for g, (_, t) in zip(got, rows))

@@ -2,7 +2,8 @@
 
 Lines are parsed like log messages (after Drain): a tree of fixed depth leads
 by token count, then by the leading tokens, where tokens with digits count as
-variable. In a leaf, a line joins the template that agrees with it in most
+variable; a line with such tokens in more than half of its places recurs only
+as it stands, in a leaf of its own. In a leaf, a line joins the template that agrees with it in most
 places, and places that differ become variable; so lines that vary in numbers,
 names or a few words share a template. A template found in ``MIN_DOCS``
 documents or more recurs: it stays in the document with the smallest doc_id
@@ -57,7 +58,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """The lines of some texts that count, as arrays: text and line number, leaf, line hash and token hashes (flat, from start on)."""
+    """The lines of some texts that count, as arrays: text and line number, leaf, line hash (and that of the exact tokens) and token hashes (flat, from start on)."""
 
     def __init__(self, texts: list[str], min_tokens: int = MIN_TOKENS):
         words: list[str] = []
@@ -74,19 +75,26 @@ class Lines:
         h = _hashes(words)
         self.start = np.cumsum(self.size) - self.size
         if not len(h):
-            self.tokens, self.leaf, self.hash = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.tokens, self.leaf, self.hash, self.exact = np.zeros(0, np.uint16), *(np.zeros(0, np.int64) for _ in range(3))
             return
         joined = "\n".join(words)
+        self.exact = self._line_hashes(h)
+        few = np.zeros(len(self.size), bool)
         if _DIGIT.search(joined):
             h[np.fromiter((_DIGIT.search(w) is not None for w in words), bool, len(words))] = VARIABLE
+            few = np.add.reduceat((h != VARIABLE).astype(np.int64), self.start) * 2 < self.size
         self.tokens = np.where(h == VARIABLE, 0, 1 + h % np.uint64(65535)).astype(np.uint16)
-        place = _scramble(h + (np.arange(len(h)) - np.repeat(self.start, self.size)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.hash = _scramble(np.add.reduceat(place, self.start)).view(np.int64)
+        # a line of mostly variable tokens says too little to stand for others: it is known by all its tokens
+        self.hash = np.where(few, self.exact, self._line_hashes(h))
         leaf = self.size.astype(np.uint64)
         for k in range(LEADING):
             token = np.where(self.size > k, h[self.start + np.minimum(k, self.size - 1)], np.uint64(0))
             leaf = _scramble(leaf * np.uint64(0x9E3779B97F4A7C15) + token)
-        self.leaf = leaf.view(np.int64)
+        self.leaf = np.where(few, _scramble(self.exact.view(np.uint64)), leaf).view(np.int64)
+
+    def _line_hashes(self, h: np.ndarray) -> np.ndarray:
+        place = _scramble(h + (np.arange(len(h)) - np.repeat(self.start, self.size)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return _scramble(np.add.reduceat(place, self.start)).view(np.int64)
 
     def vectors(self) -> list[bytes]:
         data = self.tokens.tobytes()
