@@ -116,20 +116,27 @@ def tfidf_relevance(pairs: DataFrame, floor: float = RETRIEVAL.relevance_floor,
 
 
 def phrase_matches(docs: DataFrame, queries: DataFrame, anchor: int = 5) -> DataFrame:
-    """query_id, doc_id of documents that hold a query's whole text, case folded.
+    """query_id, doc_id of documents that hold a query's whole text, case folded; nulls match nothing, an empty query all.
 
     Words 2 to 6 of a query stand whole in any text that holds it, so an
     equi-join on runs of five words finds the candidates and only those are
-    searched. Queries of fewer words than that need ``contains`` on all rows.
+    searched. Queries of fewer words than that have no such run: they are
+    looked for in all rows.
     """
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    text = F.lower("text")
     words = F.array_remove(F.split(text, r"\s+"), "")
     run = lambda w, i: F.xxhash64(F.slice(w, i, anchor))
-    asked = queries.select("query_id", text.alias("q"), words.alias("w")).where(F.size("w") > anchor + 1).select("query_id", "q", run(F.col("w"), F.lit(2)).alias("run"))
-    held = docs.select("doc_id", text.alias("text"), words.alias("w")).where(F.size("w") >= anchor)
+    n = queries.count()
+    every = queries.where("text is not null").select("query_id", text.alias("q"), words.alias("w"))
+    long = every.where(F.size("w") > anchor + 1).select("query_id", "q", run(F.col("w"), F.lit(2)).alias("run"))
+    short = every.where(F.size("w") <= anchor + 1).select("query_id", "q")
+    rows = docs.where("text is not null").select("doc_id", text.alias("text"), words.alias("w"))
+    held = rows.where(F.size("w") >= anchor)
     runs = held.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - anchor + 1), lambda i: run(F.col("w"), i)))).alias("run"))
-    asked = small(asked, queries.count(), 4096)
-    return runs.join(asked, "run").where(F.contains("text", "q")).select("query_id", "doc_id").distinct()
+    found = runs.join(small(long, n, 4096), "run").where(F.contains("text", "q")).select("query_id", "doc_id")
+    if short.limit(1).count():
+        found = found.union(rows.select("doc_id", "text").join(small(short, n, 4096), F.contains("text", "q")).select("query_id", "doc_id"))
+    return found.distinct()
 
 
 def contains_folded(text: Column, part: Column) -> Column:
