@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without recurring lines; a document that held nothing else goes."""
-    kept = line_dedup.deduplicated(docs, min_tokens=1)
+    """Without recurring lines; a document that held nothing else goes, and what is half a copy of another is left to the next stage."""
+    kept = line_dedup.deduplicated(docs, min_tokens=1, leave_copies=True)
     return kept.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).select(docs.columns)
 
 

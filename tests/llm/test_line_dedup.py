@@ -135,3 +135,13 @@ def test_lines_of_numbers_recur_only_as_they_stand(spark):
     got = run(spark, rows)
     assert [g[3] for g in got] == [0, 1, 1, 1, 1]
     assert all(g[2].startswith(t.rsplit("\n", 1)[0]) for g, (_, t) in zip(got, rows))
+
+
+def test_long_lines_recur_in_two_documents(spark):
+    words = [f"w{chr(97 + i)}" for i in range(25)]
+    long, own = " ".join(words), [" ".join(f"{c}{chr(97 + i)}" for i in range(25)) for c in "xyz"]
+    rows = [(1, f"{own[0]}\n{long}"), (2, f"{own[1]}\n{long}\nab cd ef"), (3, f"{own[2]} 1\nab cd ef"), (4, f"{own[2]} 2"), (5, own[0] + "\n" + long)]
+    assert [g[3] for g in run(spark, rows)] == [0, 1, 0, 0, 2]
+    docs = spark.createDataFrame(rows[:2] + [(6, own[1] + "\nzz yy")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in deduplicated(docs, leave_copies=True).collect()}
+    assert got == {1: 0, 2: 1, 6: 0}

@@ -7,7 +7,8 @@ as it stands, in a leaf of its own. In a leaf, a line joins the template that ag
 places, and places that differ become variable; so lines that vary in numbers,
 names or a few words share a template. A template found in ``MIN_DOCS``
 documents or more recurs: it stays in the document with the smallest doc_id
-and its lines are dropped from all others.
+and its lines are dropped from all others. A line of ``LONG_TOKENS`` or more that
+stands as it is in two documents recurs too.
 
 A leaf is not one task's work: its distinct lines are first clustered in
 salted parts of about ``PART`` lines, then the parts' templates, far fewer,
@@ -39,6 +40,7 @@ from weavegrid.llm.common import ship, slices, stored
 
 MIN_DOCS = 3
 MIN_TOKENS = 3
+LONG_TOKENS = 20
 LEADING = 3
 AGREEMENT = 0.75
 PART = 2000
@@ -106,8 +108,8 @@ def _parsed(min_tokens: int):
         for part in slices(batches):
             lines = Lines(part.column("text").to_pylist(), min_tokens)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.leaf), pa.array(lines.hash), pa.array(lines.vectors(), pa.binary())],
-                names=["doc_id", "leaf", "line", "tokens"],
+                [part.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.leaf), pa.array(lines.hash), pa.array(lines.exact), pa.array(lines.vectors(), pa.binary())],
+                names=["doc_id", "leaf", "line", "exact", "tokens"],
             )
 
     return run
@@ -207,11 +209,14 @@ def _cluster_by(rows: DataFrame, key) -> DataFrame:
     )
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id and dropped, the hashes of its lines that go, of every document that loses lines."""
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leave_copies: bool = False) -> DataFrame:
+    """doc_id and dropped, the hashes (as parsed, or exact) of its lines that go, of every document that loses lines.
+
+    With ``leave_copies`` long lines stay in a document that would lose half of its tokens or more by them.
+    """
     ship(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = stored(rows.mapInArrow(_parsed(min_tokens), "doc_id long, leaf long, line long, tokens binary"), "lines")
+    lines = stored(rows.mapInArrow(_parsed(min_tokens), "doc_id long, leaf long, line long, exact long, tokens binary"), "lines")
     # only leaves with enough lines can hold a recurring template
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("leaf_lines")).where(F.col("leaf_lines") >= min_docs)
     held = lines.join(leaves, "leaf")
@@ -226,12 +231,25 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     counts = seen.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
     found = of_line.join(counts, "template")
     dropped = lines.select("doc_id", "line").join(found, "line").where("doc_id <> first_doc")
-    return dropped.groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
+    return dropped.select("doc_id", "line").union(_long_lines(lines, leave_copies)).groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
+
+
+def _long_lines(lines: DataFrame, leave_copies: bool) -> DataFrame:
+    """doc_id and exact hash of the long lines that another document with a smaller doc_id holds as they are."""
+    size = F.octet_length("tokens") / 2
+    long = lines.where(size >= LONG_TOKENS).select("doc_id", "exact", size.alias("size"))
+    twice = long.groupBy("exact").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
+    found = long.join(twice, "exact").where("doc_id <> first_doc")
+    if leave_copies:
+        lost = found.groupBy("doc_id").agg(F.sum("size").alias("lost"))
+        whole = lines.groupBy("doc_id").agg(F.sum(size).alias("size"))
+        found = found.join(lost.join(whole, "doc_id").where(F.col("lost") * 2 < F.col("size")).select("doc_id"), "doc_id")
+    return found.select("doc_id", F.col("exact").alias("line"))
 
 
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leave_copies: bool = False) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, and n_lines, n_dropped (which replace columns of these names); n_chars follows the text where there is such a column."""
-    dropped = dropped_lines(docs, min_docs, min_tokens).select(F.col("doc_id").alias("_dropped_of"), F.col("dropped").alias("_dropped"))
+    dropped = dropped_lines(docs, min_docs, min_tokens, leave_copies).select(F.col("doc_id").alias("_dropped_of"), F.col("dropped").alias("_dropped"))
     base = docs.drop("n_lines", "n_dropped")
     joined = base.join(dropped, F.col("doc_id") == F.col("_dropped_of"), "left").drop("_dropped_of")
     at = base.columns.index("text")
@@ -245,7 +263,8 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MI
             for i, (t, d) in enumerate(zip(texts, gone)):
                 if d and t:
                     own = Lines([t], min_tokens)
-                    lost = set(own.number[np.isin(own.hash, np.array(d, np.int64))].tolist())
+                    gone_here = np.array(d, np.int64)
+                    lost = set(own.number[np.isin(own.hash, gone_here) | np.isin(own.exact, gone_here)].tolist())
                     n_dropped[i] = len(lost)
                     texts[i] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in lost)
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(batch.columns) - 1)]
