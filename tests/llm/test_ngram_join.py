@@ -116,3 +116,12 @@ def test_forest(n):
     for i in range(n - 1):
         linked[i, i + 1] = linked[i + 1, i] = True
     assert (ngram_join._forest(linked) == 0).all()
+
+
+def test_groups_that_share_a_doc_id_keep_one_row_each(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, "one text of its own"), (1, "quite another text here"), (3, "a third text stands here"), (4, "a fourth text stands there"), (4, "a third text stands here"), (5, near), (5, near + " end"), (5, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in one_of_each(docs).collect())
+    assert [r for r in kept if r[0] < 5] == sorted(rows[:4])
+    assert [r[0] for r in kept].count(5) == 1

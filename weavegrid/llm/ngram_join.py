@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weavegrid.llm.common import connected_components, discard, ship, slices, stored, text_or_empty
 from weavegrid.llm.shingles import hash_family, minhashes, mix, shingle_sets
@@ -213,6 +214,11 @@ def _compared(batches):
 
 def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group of linked documents), n_links (documents linked with it), one row per row of ``docs``."""
+    return _grouped(docs, target_recall).select("doc_id", "class_id", "n_links")
+
+
+def _grouped(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """``jaccard_classes`` with key, of the shingle set, and component, which tells groups apart that share a class_id."""
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     signed = stored(source.mapInArrow(_signed, "doc_id long, key long, n long, sig binary"), "signatures")
@@ -258,17 +264,17 @@ def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
     groups = connected_components(compared.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = compared.groupBy("key").agg(F.sum("links").alias("links"))
     grouped = classes.select("key", "rep", "copies").join(groups.withColumnRenamed("node", "key"), "key")
-    named = grouped.join(grouped.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("key", "class_id")
+    named = grouped.join(grouped.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("key", "component", "class_id")
     result = stored(
         classes.select("key", "rep", "copies")
         .join(links, "key", "left")
         .join(named, "key", "left")
-        .select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        .select("key", F.coalesce("component", "key").alias("component"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "classes",
     )
     for table in (*spent, classes, near, compared):
         discard(table)
-    return signed.select("doc_id", "key").join(result, "key").select("doc_id", "class_id", "n_links")
+    return signed.select("doc_id", "key").join(result, "key")
 
 
 def _sketches(batches):
@@ -278,13 +284,28 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x.tobytes() for x in low], pa.binary())], names=["key", "sketch"])
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())])
+
+    def run(batches):
+        for part in slices(batches, at):
+            keys = [set_key(s) for s in shingle_sets([t or "" for t in part.column(at).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=[*part.schema.names, "_key"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest doc_id.
 
-    Rows without a doc_id stay; of rows that repeat the kept doc_id one stays.
+    Rows without a doc_id stay; of rows of a group that repeat the kept doc_id
+    one stays, and rows of other groups with that doc_id don't count.
     """
-    found = jaccard_classes(docs).where("doc_id = class_id").select("doc_id")
-    kept = docs.join(found.distinct(), "doc_id", "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = _grouped(docs)
+    found = rows.where("doc_id = class_id").groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("_key"))
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    if repeated:
+        kept = _with_key(kept).join(found.select("doc_id", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
