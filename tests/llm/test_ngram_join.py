@@ -58,12 +58,52 @@ def test_equals_brute_force(spark):
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 16)
-    monkeypatch.setattr(ngram_join, "SKETCH_BLOCKS", (8, 6))
-    monkeypatch.setattr(ngram_join, "TEXT_BLOCKS", (8, 16))
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 40)
     rows = corpus(2)
     assert found(spark, rows) == brute(rows)
 
 
+def test_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
+    rows = corpus(4)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_5000_near_copies_stay_linear(spark):
+    """A loose group: links between about half of its pairs; no operator makes more than a few rows for each."""
+    rng = random.Random(8)
+    first = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        w = list(first)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+        rows.append((i, " ".join(w), ""))
+    got = {r[0]: (r[1], r[2]) for r in found(spark, rows)}
+    bits = {}
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(56)) for _, t, _ in rows]
+    masks = [sum(1 << bits.setdefault(x, len(bits)) for x in s) for s in sets]
+    for i in rng.sample(range(5000), 60):
+        near = lambda j: 5 * (both := (masks[i] & masks[j]).bit_count()) >= 4 * (112 - both) if len(sets[i]) == len(sets[j]) == 56 else 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])  # noqa: B023, E731
+        assert got[i] == (0, sum(near(j) for j in range(5000)) - 1)
+
+
+def test_many_rows_without_or_with_one_doc_id(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    few = [text() for _ in range(20)]
+    rows = [(None, rng.choice(few), "") for _ in range(300)] + [(7, rng.choice(few) + " z", "") for _ in range(300)] + [(None, text(), "") for _ in range(100)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_shared_tokens_are_counted_either_way():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(1, 60, 90)]
+    wanted = [[len(np.intersect1d(x, y)) for y in sets[40:]] for x in sets[:40]]
+    assert ngram_join._shared(sets[:40], sets[40:]).tolist() == wanted
+
+
 def test_defined_cases(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None, None), (2, "", "en"), (3, " \n ", "en"), (4, "one two", "en"), (5, "one  two", "en"), (6, "one two three", "en"), (7, long, "en"), (8, long + " end", "en"), (9, "same text here", "en"), (9, "same text here", "en"), (None, "one two", "en"), (None, "lonely words", None)]
@@ -115,7 +155,8 @@ def test_forest(n):
     linked = np.zeros((n, n), bool)
     for i in range(n - 1):
         linked[i, i + 1] = linked[i + 1, i] = True
-    assert (ngram_join._forest(linked) == 0).all()
+    side = np.arange(n)
+    assert (ngram_join._forest(linked, side, side) == 0).all()
 
 
 def test_groups_that_share_a_doc_id_keep_one_row_each(spark):

@@ -12,17 +12,22 @@ belongs to and how many documents it is linked with.
    token. A child larger than ``SMALL`` is split again, down to ``LEVELS``.
    A pair at the threshold shares a final bucket of one run with probability
    ``path_recall()``; ``runs_for`` repeats runs up to the target recall.
-3. Buckets are compared by brute force on 128-byte sketches, in block pairs
-   when large, which gives candidate links (a spanning forest each).
-4. The components of these links are compared exactly, each text being sent
-   once, or to each block pair when the component is large. Only the counts
-   and a spanning forest of the true links leave a block pair, so a group of n
-   near copies never becomes n * n rows. No bucket or component is capped.
+3. Small buckets are compared by brute force on 128-byte sketches. The classes
+   of a larger one are packed into blocks, one row each, and every pair of
+   blocks is compared once. Only a spanning forest of the candidate links
+   leaves a bucket or pair.
+4. The components of these links are compared exactly, in the same way: a text
+   is sent once, to its component or, where that is large, to its block. Only
+   the counts and a spanning forest of the true links leave. So rows stay in
+   proportion to the input: a group of n near copies never becomes n * n rows,
+   and its blocks pair as n * n / 2048 / 2048. No bucket or component is
+   capped.
 
 Defined cases: a null text counts as empty; texts without words are copies of
-each other and of nothing else; repeated rows count as documents of their own;
-a null doc_id stays null in the result. Copies are found by a 64-bit hash of
-the shingle set.
+each other and of nothing else; very long texts are sets like any other, and a
+block holds few of them; repeated rows count as documents of their own; a null
+doc_id stays null in the result; other columns are ignored; no rows give no
+rows. Copies are found by a 128-bit hash of the shingle set.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weavegrid.llm.common import connected_components, discard, ship, slices, stored, text_or_empty
+from weavegrid.llm.common import connected_components, discard, few_rows_a_batch, ship, slices, stored, text_or_empty
 from weavegrid.llm.shingles import hash_family, minhashes, mix, shingle_sets
 
 THRESHOLD = 0.8
@@ -45,10 +50,10 @@ COORDINATES = 128
 BRANCH = 2
 LEVELS = 3
 SMALL = 256
-#: Rows of a block at least, and blocks of a group while blocks are below BLOCK_MOST rows. Sketches are cheap to
-#: compare, so their blocks are larger and fewer: each block is one more copy of every row of its group.
-BLOCK_MOST = 4096
-SKETCH_BLOCKS, TEXT_BLOCKS = (256, 6), (64, 16)
+#: A block holds about so many classes, and about so many bytes of shingle hashes, at most.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 1 << 23
+#: Tokens in at least so many sets of a comparison become bits; rarer ones are counted pair by pair.
+FREQUENT = 32
 #: Sketch estimates have a standard deviation of 0.035 at the threshold; four of them lie between.
 SKETCH_FLOOR = THRESHOLD - 0.15
 
@@ -65,22 +70,26 @@ def runs_for(target: float = TARGET_RECALL, threshold: float = THRESHOLD) -> int
     return max(1, math.ceil(math.log(1 - target) / math.log(1 - path_recall(threshold))))
 
 
-def set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit halves of a hash of each set, in rows."""
+    return np.frombuffer(b"".join(hashlib.md5(s.tobytes()).digest() for s in sets), "<i8").reshape(-1, 2)
 
 
 def _signed(batches):
     a, b = hash_family(COORDINATES, 1)
     for part in slices(batches):
         sets = shingle_sets(part.column("text").to_pylist())
+        keys = set_keys(sets)
         yield pa.RecordBatch.from_arrays(
             [
-                part.column("doc_id").cast(pa.int64()),
-                pa.array([set_key(s) for s in sets], pa.int64()),
+                part.column("doc_id"),
+                part.column("row"),
+                pa.array(keys[:, 0]),
+                pa.array(keys[:, 1]),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([minhashes(s, a, b).tobytes() for s in sets], pa.binary()),
             ],
-            names=["doc_id", "key", "n", "sig"],
+            names=["doc_id", "row", "key", "key2", "n", "sig"],
         )
 
 
@@ -105,111 +114,181 @@ def _children(with_root: int):
     return run
 
 
-def _cells(members: DataFrame, sizes: DataFrame, of: str, small: int, blocks: tuple[int, int]) -> DataFrame:
-    """Give each member of a group its cells: one for a small group, else one for each other block.
-
-    A cell holds one block or two; with blocks numbered 0 to n - 1, cell
-    (i, j) compares i with j, and (i, i) a block with itself.
-    """
-    least, most = blocks
-    block = F.least(F.greatest(F.ceil(F.col("size") / most), F.lit(least)), F.lit(BLOCK_MOST))
-    n = F.when(F.col("size") <= small, F.lit(1)).otherwise(F.ceil(F.col("size") / block))
-    rows = members.join(sizes, of).withColumn("n_blocks", n.cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return rows.select("key", F.xxhash64(of, low, high).alias("cell"), F.col("own"), (F.col("own") != F.col("other")).alias("across"))
-
-
-def _by_cell(batches):
-    """Rows sorted by cell, in batches, to one dict of columns for each cell."""
+def _runs(batches, *columns: str):
+    """Rows sorted by whole-number columns, in batches, to one table for each run of equal values."""
     kept: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cell = batch.column("cell").to_numpy()
-        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        values = np.column_stack([batch.column(c).to_numpy() for c in columns])
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
         for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
-            if kept and kept[-1].column("cell")[0].as_py() != cell[a]:
+            own = values[a].tolist()
+            if kept and own != last:
                 yield pa.Table.from_batches(kept)
                 kept = []
-            kept.append(part)
+            last = own
+            kept.append(batch.slice(a, b - a))
     if kept:
         yield pa.Table.from_batches(kept)
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric link matrix the smallest row it is connected to."""
-    label = np.arange(len(linked))
+def _least_linked(linked: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row of a link matrix the least label of its columns, or a larger number than any."""
+    beyond = np.iinfo(np.int64).max
+    step = max(1, (1 << 19) // max(linked.shape[1], 1))
+    return np.concatenate([np.where(linked[i : i + step], label[None, :], beyond).min(axis=1, initial=beyond) for i in range(0, len(linked), step)])
+
+
+def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """For each member the smallest one it is connected to; rows, columns: the members of the matrix's sides."""
+    label = np.arange(1 + max(rows.max(initial=-1), columns.max(initial=-1)))
+    turned = linked.T
     while True:
-        best = np.where(linked, label[None, :], len(linked)).min(axis=1)
-        best = np.minimum(best, label)
+        best = label.copy()
+        best[rows] = np.minimum(best[rows], _least_linked(linked, best[columns]))
+        best[columns] = np.minimum(best[columns], _least_linked(turned, best[rows]))
         best = best[best]
         if (best == label).all():
             return label
         label = best
 
 
+def _sides(blocks: list):
+    """Members of one block, or of two: rows and columns of their link matrix."""
+    first = np.arange(len(blocks[0]))
+    return (first, first) if len(blocks) == 1 else (first, len(first) + np.arange(len(blocks[1])))
+
+
+def _sketch_links(blocks: list[tuple[np.ndarray, np.ndarray]]):
+    """A spanning forest of the candidate links within one block of (keys, sketches), or between two."""
+    (key, sig), (other_key, other) = blocks[0], blocks[-1]
+    need = int(np.ceil((SKETCH_FLOOR * 255 / 256 + 1 / 256) * sig.shape[1]))
+    linked = np.zeros((len(key), len(other_key)), bool)
+    step = max(1, (1 << 22) // (len(other_key) * sig.shape[1]))
+    for i in range(0, len(key), step):
+        linked[i : i + step] = np.count_nonzero(sig[i : i + step, None, :] == other[None, :, :], axis=2) >= need
+    root = _forest(linked, *_sides([b[0] for b in blocks]))
+    keys = np.concatenate([b[0] for b in blocks])
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[root[moved]])], names=["a", "b"])
+
+
 def _sketched(batches):
-    for t in _by_cell(batches):
-        if t.num_rows < 2:
-            continue
-        key, own = t.column("key").to_numpy(), t.column("own").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
-        need = int(np.ceil((SKETCH_FLOOR * 255 / 256 + 1 / 256) * sig.shape[1]))
-        linked = np.zeros((len(key), len(key)), bool)
-        step = max(1, (1 << 24) // (len(key) * sig.shape[1]))
-        for i in range(0, len(key), step):
-            linked[i : i + step] = np.count_nonzero(sig[i : i + step, None, :] == sig[None, :, :], axis=2) >= need
-        if t.column("across")[0].as_py():
-            linked &= own[:, None] != own[None, :]
-        root = _forest(linked)
-        if (moved := root != np.arange(len(root))).any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[moved]), pa.array(key[root[moved]])], names=["a", "b"])
-
-
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of bits, one for each token that more than one set holds."""
-    tokens, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(n > 1) - 1
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keep = n[at] > 1
-    width = (int((n > 1).sum()) + 63) // 64 or 1
-    out = np.zeros((len(sets), width), np.uint64)
-    col = shared[at[keep]]
-    np.bitwise_or.at(out, (row[keep], col // 64), np.uint64(1) << (col % 64).astype(np.uint64))
-    return out
+    for t in _runs(batches, "node"):
+        if t.num_rows > 1:
+            yield _sketch_links([(t.column("key").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1))])
+
+
+def _sketches_packed(batches):
+    for t in _runs(batches, "node", "block"):
+        first = [t.column(c)[:1].combine_chunks() for c in ("node", "block", "n_blocks")]
+        yield pa.RecordBatch.from_arrays([*first, pa.array([t.column("key").to_numpy().tobytes()]), pa.array([b"".join(t.column("sketch").to_pylist())])], names=["node", "block", "n_blocks", "keys", "sketches"])
+
+
+def _sketched_pairs(batches):
+    for t in _runs(batches, "node", "low", "high"):
+        keys = [np.frombuffer(k, np.int64) for k in t.column("keys").to_pylist()]
+        yield _sketch_links([(k, np.frombuffer(s, np.uint8).reshape(len(k), -1)) for k, s in zip(keys, t.column("sketches").to_pylist())])
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``a`` shares with each of ``b``."""
+    both = np.zeros((len(a), len(b)), np.int32)
+    tokens, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    cut = sum(map(len, a))
+    sides = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), at[y]) for x, y in ((a, slice(0, cut)), (b, slice(cut, None)))]
+    na, nb = (np.bincount(x, minlength=len(tokens)) for _, x in sides)
+    frequent = (na > 0) & (nb > 0) & (na + nb >= FREQUENT)
+    column = np.cumsum(frequent) - 1
+    width = (int(frequent.sum()) + 63) // 64
+    maps = []
+    for (row, x), n in zip(sides, (len(a), len(b))):
+        bits = np.zeros((n, width), np.uint64)
+        keep = frequent[x]
+        c = column[x[keep]]
+        np.bitwise_or.at(bits, (row[keep], c // 64), np.uint64(1) << (c % 64).astype(np.uint64))
+        maps.append(bits)
+    step = max(1, (1 << 20) // (len(b) * max(width, 1)))
+    if width:
+        for i in range(0, len(a), step):
+            both[i : i + step] = np.bitwise_count(maps[0][i : i + step, None, :] & maps[1][None, :, :]).sum(axis=2, dtype=np.int32)
+    # of rarer tokens: each row of a that holds one, with each row of b that does
+    rare = (na > 0) & (nb > 0) & ~frequent
+    (row_a, x), (row_b, y) = ((row[rare[t]], t[rare[t]]) for row, t in sides)
+    order = np.argsort(y, kind="stable")
+    row_b, first = row_b[order], np.cumsum(nb * rare) - nb * rare
+    for i in range(0, len(x), 1 << 16):
+        own, r = x[i : i + (1 << 16)], row_a[i : i + (1 << 16)]
+        n = nb[own]
+        place = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        np.add.at(both, (np.repeat(r, n), row_b[place]), 1)
+    return both
+
+
+def _exact_links(blocks: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]):
+    """Links within one block of (keys, copies, sets), or between two: counts of linked documents and a spanning forest."""
+    (_, weight, sets), (_, other_weight, others) = blocks[0], blocks[-1]
+    both = _shared(sets, others)
+    size, other_size = (np.array([len(s) for s in x], np.int64) for x in (sets, others))
+    linked = np.zeros(both.shape, bool)
+    links, other_links = np.zeros(len(sets), np.int64), np.zeros(len(others), np.int64)
+    step = max(1, (1 << 19) // len(others))
+    for i in range(0, len(sets), step):
+        part = both[i : i + step].astype(np.int64)
+        own = part * 5 >= 4 * (size[i : i + step, None] + other_size[None, :] - part)
+        if len(blocks) == 1:
+            own[np.arange(len(own)), i + np.arange(len(own))] = False
+        linked[i : i + step] = own
+        links[i : i + step] = np.where(own, other_weight[None, :], 0).sum(axis=1)
+        if len(blocks) == 2:
+            other_links += np.where(own, weight[i : i + step, None], 0).sum(axis=0)
+    root = _forest(linked, *_sides([b[0] for b in blocks]))
+    keys = np.concatenate([b[0] for b in blocks])
+    counts = links if len(blocks) == 1 else np.concatenate([links, other_links])
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(keys[root])], names=["key", "links", "root"])
+
+
+def _sets_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    sets = [s for part in slices(t.to_batches()) for s in shingle_sets(part.column("text").to_pylist())]
+    return t.column("key").to_numpy(), t.column("copies").to_numpy(), sets
 
 
 def _compared(batches):
-    """Exact links within each cell: counts of linked documents and a spanning forest."""
-    for t in _by_cell(batches):
-        found: dict[int, tuple[np.ndarray, int, int]] = {}
-        for part in slices(t.to_batches()):
-            key, own, copies, texts = (part.column(c).to_pylist() for c in ("key", "own", "copies", "text"))
-            for i, s in enumerate(shingle_sets(texts)):
-                if set_key(s) == key[i]:  # else another row with the same doc_id
-                    found[key[i]] = (s, own[i], copies[i])
-        if len(found) < 2:
-            continue
-        keys = np.array(list(found), np.int64)
-        sets = [f[0] for f in found.values()]
-        blocks, weight = np.array([f[1] for f in found.values()]), np.array([f[2] for f in found.values()], np.int64)
-        size = np.array([len(s) for s in sets], np.int64)
-        bits = _bitmaps(sets)
-        linked = np.zeros((len(keys), len(keys)), bool)
-        step = max(1, (1 << 22) // (len(keys) * bits.shape[1]))
-        for i in range(0, len(keys), step):
-            both = np.bitwise_count(bits[i : i + step, None, :] & bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            linked[i : i + step] = both * 5 >= 4 * (size[i : i + step, None] + size[None, :] - both)
-        np.fill_diagonal(linked, False)
-        if t.column("across")[0].as_py():
-            linked &= blocks[:, None] != blocks[None, :]
-        root = _forest(linked)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array((linked * weight[None, :]).sum(axis=1)), pa.array(keys[root])], names=["key", "links", "root"]
-        )
+    for t in _runs(batches, "near"):
+        if t.num_rows > 1:
+            yield _exact_links([_sets_of(t)])
+
+
+def _sets_packed(batches):
+    for t in _runs(batches, "near", "block"):
+        keys, copies, sets = _sets_of(t)
+        first = [t.column(c)[:1].combine_chunks() for c in ("near", "block", "n_blocks")]
+        data = [keys.tobytes(), copies.tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), np.concatenate(sets).tobytes()]
+        yield pa.RecordBatch.from_arrays([*first, *[pa.array([d], pa.binary()) for d in data]], names=["near", "block", "n_blocks", "keys", "copies", "sizes", "sets"])
+
+
+def _compared_pairs(batches):
+    for t in _runs(batches, "near", "low", "high"):
+        blocks = []
+        for row in t.to_pylist():
+            ends = np.cumsum(np.frombuffer(row["sizes"], np.int64))[:-1]
+            blocks.append((np.frombuffer(row["keys"], np.int64), np.frombuffer(row["copies"], np.int64), np.split(np.frombuffer(row["sets"], np.uint64), ends)))
+        yield _exact_links(blocks)
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame, of: str) -> DataFrame:
+    """Members of a group with its n_blocks and, by their key, their block; members of groups that aren't in ``sizes`` go."""
+    return members.join(sizes, of).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+
+
+def _by_pairs(blocks: DataFrame, of: str, run, schema: str, name: str) -> DataFrame:
+    """Each pair of blocks of one group, and each block by itself, through ``run``. Blocks are few and large, so a batch holds few of them."""
+    other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    pairs = other.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "n_blocks")
+    with few_rows_a_batch(blocks.sparkSession, 4):
+        return stored(pairs.repartition(of, "low", "high").sortWithinPartitions(of, "low", "high", "block").mapInArrow(run, schema), name)
 
 
 def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -218,63 +297,70 @@ def jaccard_classes(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
 
 
 def _grouped(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """``jaccard_classes`` with key, of the shingle set, and component, which tells groups apart that share a class_id."""
+    """``jaccard_classes`` with key, key2 of the shingle set, and component, which tells groups apart that share a class_id."""
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    signed = stored(source.mapInArrow(_signed, "doc_id long, key long, n long, sig binary"), "signatures")
-    classes = stored(
-        signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sig").alias("sig")),
-        "classes",
-    )
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    signed = stored(source.mapInArrow(_signed, "doc_id long, row long, key long, key2 long, n long, sig binary"), "signatures")
+    grouped = signed.groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(grouped.withColumnRenamed("key", "half").withColumn("key", F.col("half")), "classes")
+    if (same := classes.groupBy("key").count().where("count > 1").select("key")).limit(1).count():  # of 2 ** 32 classes one pair, on average
+        same = classes.join(same, "key", "left_semi").select("half", "key2", F.xxhash64("half", "key2").alias("other"))
+        classes = stored(classes.join(same, ["half", "key2"], "left").withColumn("key", F.coalesce("other", "key")).drop("other"), "classes")
     able = classes.where("n > 0")
+    sketches = able.select("key", "sig").mapInArrow(_sketches, "key long, sketch binary")
 
     level = able.select("key", "sig").mapInArrow(_children(runs_for(target_recall)), "key long, node long")
-    buckets, spent = None, []
+    small, large, spent = None, None, []
     for depth in range(LEVELS):
         level = stored(level, "paths")
         spent.append(level)
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        last = depth == LEVELS - 1
-        done = _cells(level, sizes if last else sizes.where(F.col("size") <= SMALL), "node", SMALL, SKETCH_BLOCKS)
-        buckets = done if buckets is None else buckets.union(done)
-        if last:
+        done = level.join(sizes.where(F.col("size") <= SMALL), "node").select("key", "node")
+        small = done if small is None else small.union(done)
+        sizes = sizes.where(F.col("size") > SMALL)
+        if depth == LEVELS - 1:
+            large = _in_blocks(level, sizes.select("node", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("n_blocks")), "node")
             break
-        large = level.join(sizes.where(F.col("size") > SMALL).select("node"), "node")
+        large = level.join(sizes.select("node"), "node")
         level = large.join(able.select("key", "sig"), "key").select("key", "node", "sig").mapInArrow(_children(0), "key long, node long").distinct()
-    sketches = able.select("key", F.col("sig")).mapInArrow(_sketches, "key long, sketch binary")
-    links = (
-        buckets.join(sketches, "key")
-        .repartition("cell")
-        .sortWithinPartitions("cell")
-        .select("cell", "key", "own", "across", "sketch")
-        .mapInArrow(_sketched, "a long, b long")
-    )
-    near = stored(connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("near")), "near")
-
-    cells = _cells(near, near.groupBy("near").agg(F.count("*").alias("size")), "near", 2 * TEXT_BLOCKS[0], TEXT_BLOCKS)
-    placed = cells.join(classes.select("key", "rep", "copies"), "key")
-    compared = stored(
-        placed.join(source.withColumnRenamed("doc_id", "rep_id"), F.col("rep").eqNullSafe(F.col("rep_id")))
-        .select("cell", "key", "own", "across", "copies", "text")
-        .repartition("cell")
-        .sortWithinPartitions("cell")
-        .mapInArrow(_compared, "key long, links long, root long"),
-        "compared",
-    )
-    groups = connected_components(compared.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    links = compared.groupBy("key").agg(F.sum("links").alias("links"))
+    links = stored(small.join(sketches, "key").repartition("node").sortWithinPartitions("node").select("node", "key", "sketch").mapInArrow(_sketched, "a long, b long"), "candidates")
+    packed = large.join(sketches, "key").repartition("node", "block").sortWithinPartitions("node", "block").select("node", "block", "n_blocks", "key", "sketch")
+    packed = stored(packed.mapInArrow(_sketches_packed, "node long, block int, n_blocks int, keys binary, sketches binary"), "sketches")
+    pairs = _by_pairs(packed, "node", _sketched_pairs, "a long, b long", "candidates")
+    near = stored(connected_components(links.union(pairs)).select(F.col("node").alias("key"), F.col("component").alias("near")), "near")
+    spent += [links, packed, pairs, near]
+
+    placed = near.join(classes.select("key", "row", "copies", "n"), "key")
+    sizes = stored(placed.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("n_blocks")), "sizes")
+    placed = _in_blocks(placed, sizes, "near").join(source.select("row", "text"), "row").select("near", "block", "n_blocks", "key", "copies", "text")
+    placed = stored(placed.distinct(), "texts")  # distinct: rows may repeat as a whole
+    alone = placed.where("n_blocks = 1").repartition("near").sortWithinPartitions("near").mapInArrow(_compared, "key long, links long, root long")
+    compared = stored(alone, "compared")
+    packed = placed.where("n_blocks > 1").repartition("near", "block").sortWithinPartitions("near", "block")
+    packed = stored(packed.mapInArrow(_sets_packed, "near long, block int, n_blocks int, keys binary, copies binary, sizes binary, sets binary"), "sets")
+    pairs = _by_pairs(packed, "near", _compared_pairs, "key long, links long, root long", "compared")
+    spent += [sizes, placed, compared, packed, pairs]
+    links = compared.union(pairs)
+    groups = connected_components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    links = links.groupBy("key").agg(F.sum("links").alias("links"))
     grouped = classes.select("key", "rep", "copies").join(groups.withColumnRenamed("node", "key"), "key")
     named = grouped.join(grouped.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("key", "component", "class_id")
     result = stored(
-        classes.select("key", "rep", "copies")
+        classes.select("key", "half", "key2", "rep", "copies")
         .join(links, "key", "left")
         .join(named, "key", "left")
-        .select("key", F.coalesce("component", "key").alias("component"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        .select(
+            F.col("half").alias("key"),
+            "key2",
+            F.coalesce("component", "key").alias("component"),
+            F.coalesce("class_id", "rep").alias("class_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        ),
         "classes",
     )
-    for table in (*spent, classes, near, compared):
+    for table in (*spent, classes):
         discard(table)
-    return signed.select("doc_id", "key").join(result, "key")
+    return signed.select("doc_id", "key", "key2").join(result, ["key", "key2"])
 
 
 def _sketches(batches):
@@ -286,12 +372,12 @@ def _sketches(batches):
 
 def _with_key(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType()), T.StructField("_key2", T.LongType())])
 
     def run(batches):
         for part in slices(batches, at):
-            keys = [set_key(s) for s in shingle_sets([t or "" for t in part.column(at).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=[*part.schema.names, "_key"])
+            keys = set_keys(shingle_sets([t or "" for t in part.column(at).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=[*part.schema.names, "_key", "_key2"])
 
     return docs.mapInArrow(run, schema)
 
@@ -303,9 +389,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     one stays, and rows of other groups with that doc_id don't count.
     """
     rows = _grouped(docs)
-    found = rows.where("doc_id = class_id").groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("_key"))
+    first = F.min(F.struct("doc_id", "key", "key2")).alias("first")
+    found = rows.where("doc_id = class_id").groupBy("component").agg(first).select("first.doc_id", F.col("first.key").alias("_key"), F.col("first.key2").alias("_key2"))
     repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     if repeated:
-        kept = _with_key(kept).join(found.select("doc_id", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+        keys = ["doc_id", "_key", "_key2"]
+        kept = _with_key(kept).join(found, keys, "left_semi").dropDuplicates(keys).drop("_key", "_key2")
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
