@@ -124,3 +124,18 @@ def test_words_of_a_stem_keep_their_misspellings():
     assert ("idio", True, 2.0) in entries and ("idiot", True, 2.0) not in entries
     matcher = Matcher(entries)
     assert [matcher.find(w)[0] for w in ("idi0t", "ideot", "1diots", "idiotic", "idiot")] == ["fuzzy", "fuzzy", "fuzzy", "stem", "exact"]
+
+
+def test_forgetting_states_changes_nothing(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(4, 12))) for _ in range(60)]
+    other = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 12))) for _ in range(400)] + words
+    wanted = [toxicity.Matcher([(w, False, 1.0) for w in words]).find(w) for w in other]
+    monkeypatch.setattr(toxicity, "STATE_ITEMS", 50)
+    small = toxicity.Matcher([(w, False, 1.0) for w in words])
+    assert [small.find(w) for w in other] == wanted
+    monkeypatch.setattr(toxicity, "KEPT_LETTERS", 30)
+    model = toxicity.Model(entries=[(w, False, 1.0) for w in words])
+    for i in range(0, len(other), 7):
+        assert model.lookup(other[i : i + 7]) == {w: h for w, h in zip(other[i : i + 7], wanted[i : i + 7]) if h}
+        assert model._letters <= 30 + 7 * 30

@@ -8,7 +8,9 @@
 
 ``Matcher`` intersects the Levenshtein automaton of the lexicon's words with
 their trie: a state is a set of (trie node, edits so far), determinised as
-words are read, so each distinct transition is computed once. A word is exact,
+words are read, so a distinct transition is computed once as long as the states
+found hold no more than ``STATE_ITEMS`` such pairs in all; then they are found
+anew, which changes no result. A word is exact,
 a stem (the word begins with a lexicon stem), or misspelled (one edit from a
 lexicon word of five letters or more, two from ten letters on).
 
@@ -49,8 +51,10 @@ LEAST_RATIO = 12.0
 #: Texts are near copies if half of their minwise coordinates agree; they are looked for where a band of these does.
 COORDINATES, BAND = 64, 4
 WINDOW = 6
+#: Pairs (of 8 to 40 bytes) in all states of an automaton, and letters of all words whose hits are kept, at most.
+STATE_ITEMS, KEPT_LETTERS = 400_000, 4_000_000
 
-# Words that report speech, and words that address someone, in the corpus' languages.
+#: Words that report speech, and words that address someone, in the corpus' languages.
 REPORTING = frozenset(
     "said says say wrote writes called calls quote quoted quotes reported reports according word term phrase "
     "dit écrit appelé selon mot cite sagte schrieb nannte laut wort zitat dijo escribió llamó según palabra cita".split()
@@ -86,10 +90,14 @@ class Matcher:
                 self.most[node] = max(self.most[node], k)
             self.ends[node] = (w, x)
         self.letters = {c for own in self.children for c in own}
-        self._states: dict[frozenset, int] = {}
-        self._sets: list[frozenset] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self._states: dict[tuple[int, ...], int] = {}
+        self._sets: list[tuple[int, ...]] = []
         self._moves: list[dict[str, int]] = []
         self._accepts: list[tuple[str, float, int] | None] = []
+        self._items = 0
         self._start = self._state({(0, 0)})
         self._dead = self._state(set())
 
@@ -103,12 +111,13 @@ class Matcher:
                 continue
             least[node] = e
             work += [(child, e + 1) for child in self.children[node].values()]
-        key = frozenset(least.items())
+        key = tuple(sorted(node * 4 + e for node, e in least.items()))
         if key not in self._states:
             self._states[key] = len(self._sets)
             self._sets.append(key)
             self._moves.append({})
-            ends = [(e, w, x) for node, e in key if node in self.ends for w, x in [self.ends[node]] if e <= edits_for(w)]
+            self._items += 1 + len(key)
+            ends = [(e, w, x) for node, e in least.items() if node in self.ends for w, x in [self.ends[node]] if e <= edits_for(w)]
             self._accepts.append(min(((w, x, e) for e, w, x in ends), key=lambda a: (a[2], -a[1], a[0]), default=None))
         return self._states[key]
 
@@ -116,7 +125,7 @@ class Matcher:
         c = c if c in self.letters else "\0"  # all other letters act alike
         if c not in self._moves[state]:
             items = set()
-            for node, e in self._sets[state]:
+            for node, e in (divmod(x, 4) for x in self._sets[state]):
                 items.add((node, e + 1))  # a letter too many
                 for label, child in self.children[node].items():
                     items.add((child, e + (label != c)))
@@ -125,6 +134,8 @@ class Matcher:
 
     def misspelled(self, word: str) -> tuple[str, float, int] | None:
         """(entry, weight, edits) of the lexicon word nearest to ``word``, if it is near enough."""
+        if self._items > STATE_ITEMS:
+            self._forget()
         state = self._start
         for c in word:
             state = self._move(state, c)
@@ -157,7 +168,7 @@ class Model:
 
     def matcher(self) -> Matcher:
         if "_matcher" not in self.__dict__:
-            self._matcher, self._seen = Matcher(self.entries), {}
+            self._matcher, self._seen, self._letters = Matcher(self.entries), {}, 0
         return self._matcher
 
     def __getstate__(self):
@@ -166,14 +177,15 @@ class Model:
     def lookup(self, words) -> dict[str, tuple[str, float]]:
         """The hits among ``words``."""
         matcher = self.matcher()
-        if len(self._seen) > 300_000:
-            self._seen = {}
+        if self._letters > KEPT_LETTERS:
+            self._seen, self._letters = {}, 0
         out = {}
         for w in words:
             try:
                 hit = self._seen[w]
             except KeyError:
                 hit = self._seen[w] = matcher.find(w)
+                self._letters += len(w) + 10
             if hit:
                 out[w] = hit
         return out
