@@ -87,3 +87,48 @@ def test_whole_table(spark, sf):
     for r in secrets.digest(secrets.scan(docs)).collect():
         wanted = ",".join(f"{k}:{a}:{b}" for k, a, b in base_of(texts[r["doc_id"]]))
         assert r["base_sha256"] == hashlib.sha256(wanted.encode()).hexdigest()
+
+
+def test_partners_are_disjoint():
+    for text in ("see https://example.org/AbCdEf1234567890GhIjKl for more", "user=Abcdef1234567890AbCd", "host: AbCdEf1234567890GhIjKl"):
+        assert secrets.all_spans(text)[1] == []
+        assert secrets.masked(text, secrets.all_spans(text)[1]) == text
+    both = "user=bob AbCdEf1234567890GhIjKl"
+    assert [both[a:b] for _, a, b in secrets.all_spans(both)[1]] == ["user=bob", "AbCdEf1234567890GhIjKl"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(s.lists(s.sampled_from(PIECES), max_size=25).map("".join))
+def test_weak_spans_by_brute_force(text):
+    """Matches of the stated patterns; the longest of those that overlap; a disjoint partner of the other sort in reach, no blank line between."""
+    base = base_of(text)
+    raw = [(m.end() - m.start(), -m.start(), "secret", m.end()) for m in re.finditer(secrets.ASSIGN, text, re.I | re.A) if 6 <= len(m[2]) < 12]
+    raw += [(m.end() - m.start(), -m.start(), "secret", m.end()) for m in secrets._LONG_TOKEN.finditer(text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    for kind, pattern in (("identifier", secrets._IDENTIFIER), ("identifier", secrets._SHORT_ACCESS), ("endpoint", secrets._ENDPOINT)):
+        raw += [(m.end() - m.start(), -m.start(), kind, m.end()) for m in pattern.finditer(text)]
+    weak = []
+    for _, a, kind, b in sorted(raw, key=lambda x: (-x[0], -x[1], secrets.LINKED.index(x[2]))):
+        taken = [(x, y) for _, x, y in base + weak]
+        if all(b <= x or y <= -a for x, y in taken):
+            weak.append((kind, -a, b))
+    secret = lambda k: k in ("secret", "assign", "hex")
+    wanted = []
+    for k, a, b in weak:
+        for other, x, y in base + weak:
+            gap = x - b if x >= b else a - y
+            between = text[min(a, x) : max(a, x)]
+            if secret(k) != secret(other) and 0 <= gap <= secrets.REACH and not any(m.start() + min(a, x) <= max(a, x) for m in re.finditer(r"\n[ \t]*\n", text[min(a, x) : max(a, x) + 2]) if m.start() + min(a, x) < max(a, x)):
+                wanted.append((k, a, b))
+                break
+    assert sorted(secrets.linked_spans(text, base)) == sorted(wanted)
+
+
+def test_scan_of_odd_rows(spark):
+    long = "password = abcdefghijkl " * 30_000 + "user: bob"
+    docs = spark.createDataFrame([(1, "token: abcdefghijkl", 5), (1, "token: abcdefghijkl", 5), (None, None, 1), (2, long, 2), (3, "", 3)], "doc_id long, text string, spans int")
+    rows = {(r["doc_id"], r["n_assign"]): r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert set(rows) == {(1, 1), (None, 0), (2, 30_000), (3, 0)}
+    assert rows[2, 30_000]["spans"].endswith(f"identifier:{len(long) - 9}:{len(long)}")
+    assert secrets.redact(docs).columns == docs.columns
+    empty = docs.where("doc_id = 99")
+    assert secrets.digest(secrets.scan(empty)).count() == secrets.redact(empty).count() == 0

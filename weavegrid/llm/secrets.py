@@ -19,9 +19,13 @@ mixed tokens of 20 or more), ``identifier`` (user or client names, short access
 ids) and ``endpoint`` (URLs with a scheme, host assignments). A secret is
 reported beside an identifier or endpoint, an identifier or endpoint beside a
 secret, weak or base. Weak candidates that overlap a base span are part of it.
+Partners are disjoint spans: what overlaps is one part, not two. Of weak
+candidates one of which holds another, or which overlap, the longest counts
+(then the first, then the kind as listed), so a token within a URL is part of
+the URL, and the value of ``user=`` is no secret.
 
 Defined cases: a null text counts as empty; rows may repeat or lack a doc_id;
-other columns are ignored.
+other columns are ignored; very long texts are scanned whole, in time of n log n.
 """
 
 from __future__ import annotations
@@ -85,7 +89,18 @@ def _candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int,
         i = bisect.bisect_left(starts, b)
         return i > 0 and reach[i - 1] > a
 
-    return sorted({x for x in out if not overlaps(x[0], x[1])})
+    free = {x for x in out if not overlaps(x[0], x[1])}
+    return _disjoint(free)
+
+
+def _disjoint(spans: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans by start, without those that overlap a longer one (then an earlier one, then a kind listed before)."""
+    kept: list[tuple[int, int, str]] = []
+    for x in sorted(spans, key=lambda s: (s[0] - s[1], s[0], LINKED.index(s[2]))):
+        i = bisect.bisect_left(kept, x)
+        if (i == 0 or kept[i - 1][1] <= x[0]) and (i == len(kept) or kept[i][0] >= x[1]):
+            kept.insert(i, x)
+    return kept
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
