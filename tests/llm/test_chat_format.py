@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as s
 
 from weavegrid.llm import chat_format as cf
+from weavegrid.llm import queries
 
 FILES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TEXT = s.lists(s.sampled_from(["<|im_end|>", "<|im_start|>", "<|im_sep|>", "<|endoftext|>", "<", "\\", "|", "<\\|", "\n", " ", "é", "日本", "😀", "a", "ok ", "  x"]), max_size=12).map("".join)
@@ -57,3 +58,20 @@ def test_offsets_are_those_of_the_tokenizers_library(text):
 
 
 _held = []
+
+
+def test_very_long_blanks_keep_offsets():
+    encode = cf.encoder(*queries.byte_bpe()[1:])
+    for end in ("", "x", cf.STOP):
+        text = cf.START + "a" + "\n" * 1_200_000 + end
+        ids, offsets = encode(text)
+        assert encode.bpe.decode(ids.tolist()) == text
+        assert offsets[0, 0] == 0 and offsets[-1, 1] == len(text) and (offsets[1:, 0] <= offsets[:-1, 1]).all()
+    short = "a" + " " * 11_000 + "b"
+    assert encode(short)[0].tolist() == encode.bpe.encode(short)
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "a", 1), (None, 0, "user", "a", 1), (3, 1, "assistant", "b", 2), (3, 0, None, None, 3)], "conv_id long, turn long, role string, text string, turns int")
+    out = sorted((r["conv_id"] or 0, [(t["role"], t["text"]) for t in r["turns"]]) for r in cf.conversations(rows).collect())
+    assert out == [(0, [("user", "a")]), (0, [("user", "a")]), (3, [("", ""), ("assistant", "b")])]

@@ -104,3 +104,25 @@ def test_whole_table(spark, sf):
 def test_with_ids(spark):
     row = packing.tokenized(spark.createDataFrame([(1, "hello world")], "doc_id long, text string"), byte_bpe()[0], with_ids=True).first()
     assert row["ids"] == [*_slow().encode("hello world", add_special_tokens=False).ids, 2]
+
+
+@pytest.mark.parametrize("text", ["\n" * 2_000_000 + "x", " " * 2_000_000 + "x", " " * 2_000_000, "y" + "\t" * 1_500_000 + "<|endoftext|>", "ab" * 1_000_000, "日" + " " * 2_000_000 + "本"], ids=repr)
+def test_very_long_runs(text):
+    encode = packing.encoder(*byte_bpe())
+    ids = encode(text)
+    assert encode.slow.decode(ids, skip_special_tokens=False) == text
+
+
+@pytest.mark.parametrize("end", ["", "x", " y", "<|endoftext|>", "é", "\n日"])
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "\u3000"])
+def test_long_blanks_are_cut_as_the_pattern_does(blank, end):
+    text = "a" + blank * 12_000 + end + blank * 10_500 + "b"
+    assert packing.encoder(*byte_bpe())(text) == _slow().encode(text, add_special_tokens=False).ids
+
+
+def test_one_key_and_one_text_for_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    docs = spark.createDataFrame([(None, "same", "")] * 400, SCHEMA).repartition(2)
+    rows = packing.pack(packing.tokenized(docs, *byte_bpe())).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(rows) == len(places) == 400

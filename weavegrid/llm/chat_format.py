@@ -12,8 +12,9 @@ Escaping: in roles and texts every ``<``, backslashes, ``|`` gets one more
 backslash, so ``<|`` occurs only in marks; unescaping takes one away.
 
 Defined cases: null roles and texts count as empty; rows that share a turn
-are ordered by role, then text; repeated rows are turns of their own; rows
-without a conv_id form one conversation.
+are ordered by role, then text; repeated rows are turns of their own; a row
+without a conv_id is a conversation of its own, so no task collects them all;
+very long texts are encoded whole; columns besides the four are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import ship
+from weavegrid.llm.common import ship, without_long_blanks
 
 START, SEPARATOR, STOP = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -104,7 +105,12 @@ class Encoder:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and rows of start and end in code points. Tokens that share a character's bytes have the same place."""
-        ids = np.array(self.bpe.encode(text, allowed_special="all"), np.int32)
+        if len(text) < 10_000:
+            ids = self.bpe.encode(text, allowed_special="all")
+        else:
+            marks = (START, SEPARATOR, STOP)
+            ids = [i for part, is_piece in without_long_blanks(text, marks) for i in (self.bpe._encode_single_piece(part) if is_piece else self.bpe.encode(part, allowed_special="all"))]
+        ids = np.array(ids, np.int32)
         ends = np.cumsum(self.sizes[ids])
         character = np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80) - 1
         return ids, np.column_stack([character[ends - self.sizes[ids]], character[ends - 1] + 1]).astype(np.int32).reshape(-1, 2)
@@ -123,7 +129,9 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
 def conversations(rows: DataFrame) -> DataFrame:
     """conv_id, turns: the rows of each conversation by turn."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"))
+    known = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    return known.union(rows.where("conv_id is null").select("conv_id", F.array("turn").alias("turns")))
 
 
 def formatted(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -98,6 +99,33 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Runs of white space (Unicode's White_Space) on which the tokenizers' patterns may exhaust their stack.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def without_long_blanks(text: str, marks: tuple[str, ...] = ()):
+    """(part, is_piece) of a text for a byte-level BPE: pieces are what its pattern takes of very long runs of white space.
+
+    That is all of a run but its last character, which goes with what follows,
+    or the whole run before the end of the text or one of the special tokens ``marks``.
+    """
+    at = 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) or text.startswith(marks, m.end()) else m.end() - 1
+        yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    yield text[at:], False
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as make it none of ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches, column: str | int = "text", size: int = 1 << 20):
     """Record batches cut into parts of about ``size`` bytes of text, so that a
     worker holds few texts as Python objects at once; one long text is a part."""

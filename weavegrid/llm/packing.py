@@ -12,7 +12,9 @@ therefore has a few thousand rows at most. The pieces of each length are then
 numbered within Spark and matched with the places that the plan gives them.
 
 Defined cases: a null text counts as empty (one piece, the end mark); rows
-that repeat a doc_id are packed as documents of their own.
+that repeat a doc_id, or repeat as a whole, are packed as documents of their
+own; very long texts are encoded whole, very long runs of white space as the
+single pieces that the tokenizer's pattern makes of them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import ship, slices, stored, text_or_empty
+from weavegrid.llm.common import ship, slices, stored, text_or_empty, without_long_blanks
 
 CAPACITY = 1024
 END = 2
@@ -44,9 +46,12 @@ class Encoder:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.slow = Tokenizer.from_file(json_path)
+        # without the pattern: all of a text is one piece
+        self.piece = Tokenizer.from_file(json_path)
+        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.fast = None
         if ranks_path:
             import base64
@@ -58,6 +63,11 @@ class Encoder:
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
+        if len(text) < 10_000:
+            return self._part(text)
+        return [i for part, is_piece in without_long_blanks(text, (_MARK,)) for i in (self.piece.encode(part, add_special_tokens=False).ids if is_piece else self._part(part))]
+
+    def _part(self, text: str) -> list[int]:
         if self.fast and _MARK not in text and _USUAL.fullmatch(text):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
@@ -178,25 +188,27 @@ GROUP, GROUPS, LARGE_GROUP = 500, 256, 1_000_000
 
 
 def numbered(pieces: DataFrame) -> DataFrame:
-    """``pieces`` (with n_groups for their length) with ``number``, counting from 0 within each length.
+    """``pieces`` (with n_groups for their length, and an id ``row`` of each) with ``number``, counting from 0 within each length.
 
-    No length is numbered in one task: its pieces are dealt over groups, each
-    numbered by itself, and the groups' sizes give each its first number.
+    No length is numbered in one task: its pieces are dealt over groups by
+    ``row``, each numbered by itself, and the groups' sizes give each its first
+    number.
     """
-    rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("n_groups")))
+    rows = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.col("n_groups")))
     counts = rows.groupBy("length", "part").count()
     first = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # at most capacity * GROUPS narrow rows, and one more for every million pieces
     starts = F.broadcast(counts.select("length", "part", F.coalesce(first, F.lit(0)).alias("first")))
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "part").orderBy("row")
     rows = rows.withColumn("rank", F.row_number().over(order)).join(starts, ["length", "part"])
-    return rows.withColumn("number", F.col("first") + F.col("rank") - 1).drop("part", "rank", "first", "n_groups")
+    return rows.withColumn("number", F.col("first") + F.col("rank") - 1).drop("part", "rank", "first", "n_groups", "row")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32 ...) with sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces = stored(pieces, "pieces")
+    names = pieces.columns
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     by_length: dict[int, list] = {}
     for length, *run in places(plan(counts, capacity)):
@@ -208,7 +220,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
     rows = numbered(pieces.join(F.broadcast(table.drop("runs")), "length"))
     rows = rows.join(F.broadcast(table.drop("n_groups")), "length").withColumn("run", _run_of(F.col("runs"), F.col("number")))
-    return rows.select(*pieces.columns, (F.col("run.sequence") + F.col("number") - F.col("run.number")).alias("sequence_id"), F.col("run.offset").alias("offset"))
+    return rows.select(*names, (F.col("run.sequence") + F.col("number") - F.col("run.number")).alias("sequence_id"), F.col("run.offset").alias("offset"))
 
 
 def _run_of(runs, number):
