@@ -59,3 +59,23 @@ def test_kernel(k):
     for i, d, s in topk.best_of_block(q, ids[:7], c, ids, k):
         want = sorted((-int(q[i] @ c[:, j]), int(ids[j])) for j in range(90) if ids[j] != ids[i])[:k]
         assert [(-x, y) for x, y in want] == list(zip(s.tolist(), d.tolist()))
+
+
+def test_bounds_save_work_and_change_nothing():
+    rng = np.random.default_rng(2)
+    n, dims, k = 9000, 64, 20
+    c = np.floor(64 * rng.normal(size=(n, dims)) * 0.9 ** np.arange(dims)[rng.permutation(dims)])
+    q, ids = c[::60].copy(), np.arange(n)
+    work = topk.Work()
+    found = {i: (d.tolist(), s.tolist()) for i, d, s in topk.best_of_block(q, ids[::60], np.ascontiguousarray(c.T), ids, k, work)}
+    scores = q @ c.T
+    for i in range(len(q)):
+        order = [j for j in np.lexsort((ids, -scores[i])) if j != 60 * i][:k]
+        assert found[i] == (order, scores[i][order].astype(int).tolist())
+    assert work.all == q.size * n and work.made < 0.5 * work.all
+
+
+def test_rows_that_repeat_as_a_whole(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 1)] * 50 + [(2, [1.0, 1.0], 1), (20, [2.0, 0.0], 0)], "vec_id long, embedding array<double>, rank int")
+    found = topk.top_k(rows, "vec_id % 20 = 0", 30).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(found)] == [(i + 1, 1) for i in range(30)]
