@@ -110,3 +110,15 @@ def test_vocabulary_that_needs_whole_texts():
     model = sp.Unigram(pieces)
     assert not model.by_word
     assert model.encode("a b") == [3] and model.encode("ac b") == [1, 4, 2] and model.encode("z") == [0, 0]
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    from weavegrid.llm.queries import _tokenizer
+
+    model = piece_model(_tokenizer("piece_bpe_32k.model"))
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) + " " + "long" * i for i in range(60)]
+    wanted = model.encode_bytes(texts)
+    monkeypatch.setattr(sp, "CACHED_BYTES", 20_000)
+    model.cache, model.cached_bytes = {}, 0
+    assert [x for t in texts for x in model.encode_bytes([t])] == wanted
+    assert model.cached_bytes <= 20_000 + 40 * 400 and all(len(w) <= sp.CACHED_WORD for w in model.cache)

@@ -8,7 +8,7 @@ covers costs ten less than the lowest score and becomes byte pieces.
 No piece of such a vocabulary has the marker behind another character, so the
 best segmentation of a text is that of its words, each with the markers before
 it. Distinct words of a batch are segmented together, column by column over
-the trie's arrays; a word seen before comes from a bounded cache. A vocabulary
+the trie's arrays; a word seen before comes from a cache bounded by bytes. A vocabulary
 without that property, and words of many bytes, take a scalar Viterbi over
 the same arrays.
 
@@ -36,7 +36,8 @@ from weavegrid.llm.common import ship, slices, text_or_empty
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 LONG_WORD = 48
-CACHED_WORDS = 300_000
+#: Words of up to so many bytes are kept, while those kept take about so many bytes.
+CACHED_WORD, CACHED_BYTES = 96, 48 << 20
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -139,6 +140,7 @@ class Unigram:
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in pieces)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.by_word else "(?s).+")
         self.cache: dict[str, bytes] = {}
+        self.cached_bytes = 0
         self._lists = None
 
     def __getstate__(self):
@@ -250,17 +252,22 @@ class Unigram:
         """The ids of each text as little-endian 32-bit integers."""
         words = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = list({w for own in words for w in own if w not in self.cache})
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            new = list({w for own in words for w in own})
-            self.cache = {}
+        held = {}
         by_size: dict[int, list[str]] = {}
         for w in new:
             by_size.setdefault(len(w.encode()) // 4, []).append(w)
         for group in by_size.values():
             coded = [w.encode() for w in group]
             long = len(coded[0]) >= LONG_WORD
-            self.cache.update(zip(group, map(self._scalar, coded) if long else self._columns(coded)))
-        return [b"".join(map(self.cache.__getitem__, own)) for own in words]
+            held.update(zip(group, map(self._scalar, coded) if long else self._columns(coded)))
+        out = [b"".join([self.cache[w] if w in self.cache else held[w] for w in own]) for own in words]
+        short = {w: ids for w, ids in held.items() if len(w) + len(ids) <= CACHED_WORD}
+        size = sum(200 + len(w) + len(ids) for w, ids in short.items())
+        if self.cached_bytes + size > CACHED_BYTES:
+            self.cache, self.cached_bytes = {}, 0
+        self.cache.update(short)
+        self.cached_bytes += size
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes([text])[0], "<i4").tolist()
