@@ -36,7 +36,7 @@ from weavegrid.llm.common import discard, new_path, ship, stored
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 LENGTH = "([0-9]{1,15})"
-#: Rows of (digest, page_id) that may be broadcast: about 10 MB.
+#: Rows of (digest, page_id), or of (file, split, first), that may be broadcast: 10 to 40 MB.
 BROADCAST_ROWS = 200_000
 # RFC 4648's alphabet for groups of five bits in order.
 HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -274,7 +274,8 @@ def _put_together(spark: SparkSession, path: str, parted: DataFrame, exits: Data
     wanted = inside.join(splits, ["file", "split"]).select("file", "split", order.alias("place"), "at", "record_at")
     again = _chunks(spark, path)
     firsts = again.groupBy("file", "split").agg(F.min("seq").alias("first"))
-    chunks = again.join(F.broadcast(firsts), ["file", "split"]).select("file", "split", (F.col("seq") - F.col("first")).alias("place"), "chunk")
+    firsts = F.broadcast(firsts) if splits.count() <= BROADCAST_ROWS else firsts  # a row a split
+    chunks = again.join(firsts, ["file", "split"]).select("file", "split", (F.col("seq") - F.col("first")).alias("place"), "chunk")
     whole = (
         wanted.join(chunks, ["file", "split", "place"])
         .groupBy("file", "record_at")
