@@ -20,8 +20,10 @@ agreement may be overstated by one place in 65,536.
 
 Defined cases: a null text counts as empty; blank lines always stay, and so do
 those of fewer than ``min_tokens`` tokens (``MIN_TOKENS`` unless the caller
-says otherwise; op4 and the pipeline parse lines of one token too); rows that repeat a doc_id count as one
-document; rows without a doc_id pass unchanged and aren't counted.
+says otherwise; op4 and the pipeline parse lines of one token too); very long
+texts are parsed whole; rows that repeat a doc_id count as one document; rows
+without a doc_id pass unchanged and aren't counted; other columns stay, but for
+n_lines and n_dropped, or what the caller names the counts.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weavegrid.llm.common import ship, slices, stored
+from weavegrid.llm.common import free_name, ship, slices, stored
 
 MIN_DOCS = 3
 MIN_TOKENS = 3
@@ -217,20 +219,21 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     ship(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = stored(rows.mapInArrow(_parsed(min_tokens), "doc_id long, leaf long, line long, exact long, tokens binary"), "lines")
+    # repeats of a line are counted where they are read, so a frequent line is a few rows from here on
+    distinct = stored(lines.groupBy("leaf", "line", "tokens").agg(F.count("*").alias("n")).withColumnRenamed("line", "member"), "distinct")
     # only leaves with enough lines can hold a recurring template
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("leaf_lines")).where(F.col("leaf_lines") >= min_docs)
-    held = lines.join(leaves, "leaf")
-    distinct = held.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.max("leaf_lines").alias("leaf_lines")).withColumnRenamed("line", "member")
+    leaves = stored(distinct.groupBy("leaf").agg(F.sum("n").alias("leaf_lines")).where(F.col("leaf_lines") >= min_docs), "leaves")
+    distinct = distinct.join(leaves, "leaf")
     salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("leaf_lines") / PART))
     parts = stored(_cluster_by(distinct, F.xxhash64("leaf", salt)), "parts")
     templates = parts.groupBy("leaf", F.col("template").alias("member")).agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
     merged = _cluster_by(templates, F.col("leaf"))
-    of_line = parts.select(F.col("member").alias("line"), F.col("template").alias("part")).join(merged.select(F.col("member").alias("part"), "template"), "part").select("line", "template")
-    of_line = stored(of_line, "templates")
-    seen = lines.select("doc_id", "line").join(of_line, "line").select("template", "doc_id").distinct()
+    of_line = parts.select("leaf", F.col("member").alias("line"), F.col("template").alias("part")).join(merged.select("leaf", F.col("member").alias("part"), "template"), ["leaf", "part"])
+    of_line = stored(of_line.select("leaf", "line", "template"), "templates")
+    seen = lines.select("doc_id", "leaf", "line").join(of_line, ["leaf", "line"]).select("template", "doc_id").distinct()
     counts = seen.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    found = of_line.join(counts, "template")
-    dropped = lines.select("doc_id", "line").join(found, "line").where("doc_id <> first_doc")
+    found = stored(of_line.join(counts, "template").select("leaf", "line", "first_doc"), "recurring")
+    dropped = lines.select("doc_id", "leaf", "line").join(found, ["leaf", "line"]).where("doc_id <> first_doc")
     return dropped.select("doc_id", "line").union(_long_lines(lines, leave_copies)).groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
 
 
@@ -247,17 +250,18 @@ def _long_lines(lines: DataFrame, leave_copies: bool) -> DataFrame:
     return found.select("doc_id", F.col("exact").alias("line"))
 
 
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leave_copies: bool = False) -> DataFrame:
-    """``docs`` with recurring lines dropped from ``text``, and n_lines, n_dropped (which replace columns of these names); n_chars follows the text where there is such a column."""
-    dropped = dropped_lines(docs, min_docs, min_tokens, leave_copies).select(F.col("doc_id").alias("_dropped_of"), F.col("dropped").alias("_dropped"))
-    base = docs.drop("n_lines", "n_dropped")
-    joined = base.join(dropped, F.col("doc_id") == F.col("_dropped_of"), "left").drop("_dropped_of")
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leave_copies: bool = False, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with recurring lines dropped from ``text``, and the ``counts`` of its lines and of those dropped (which replace columns of these names); n_chars follows the text where there is such a column."""
+    of, gone_name = (free_name(c, [*docs.columns, *counts]) for c in ("dropped_of", "dropped"))
+    dropped = dropped_lines(docs, min_docs, min_tokens, leave_copies).select(F.col("doc_id").alias(of), F.col("dropped").alias(gone_name))
+    base = docs.drop(*counts)
+    joined = base.join(dropped, F.col("doc_id") == F.col(of), "left").drop(of)
     at = base.columns.index("text")
-    schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*base.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
 
     def run(batches):
         for batch in slices(batches, at):
-            texts, gone = batch.column(at).to_pylist(), batch.column("_dropped").to_pylist()
+            texts, gone = batch.column(at).to_pylist(), batch.column(gone_name).to_pylist()
             n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
             n_dropped = [0] * len(texts)
             for i, (t, d) in enumerate(zip(texts, gone)):
@@ -269,7 +273,7 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MI
                     texts[i] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in lost)
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(batch.columns) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*batch.schema.names[:-1], "n_lines", "n_dropped"]
+                [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*batch.schema.names[:-1], *counts]
             )
 
     kept = joined.mapInArrow(run, schema)
