@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns the columns of documents; the last returns packed pieces. Results
-are written as Parquet and read again between stages.
+are written as Parquet and read again between stages; each goes once the next
+is written.
+
+Defined cases, in every stage: a null text counts as empty, and an empty one is
+not toxic, holds no line or secret and is one piece, the end mark; texts
+without words are copies of each other, so one of them stays; a document
+without a doc_id stays (no stage can say which one it is); rows that repeat are
+copies, one of which stays; very long texts are worked on whole; columns
+besides doc_id, text and n_chars pass unchanged, whatever their names; no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weavegrid.llm import line_dedup, ngram_join, packing, secrets, toxicity
-from weavegrid.llm.common import stored
+from weavegrid.llm.common import discard, free_name, stored
 from weavegrid.llm.queries import byte_bpe
 
 
@@ -22,8 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without recurring lines; a document that held nothing else goes, and what is half a copy of another is left to the next stage."""
-    kept = line_dedup.deduplicated(docs, min_tokens=1, leave_copies=True)
-    return kept.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).select(docs.columns)
+    counts = free_name("n_lines", docs.columns), free_name("n_dropped", docs.columns)
+    kept = line_dedup.deduplicated(docs, min_tokens=1, leave_copies=True, counts=counts)
+    return kept.where((F.col(counts[1]) == 0) | F.col("text").rlike(r"\S")).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +62,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
