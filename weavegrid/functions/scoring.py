@@ -39,10 +39,18 @@ def relationship_bonus(graph_only: Column, n_relations: Column, s: Scoring = SCO
     return F.when(graph_only & (n_relations > 0), bonus).otherwise(F.lit(1.0))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays, in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return dot(a, b) / (norm(a) * norm(b))
 
 
 def shared_factor(n_retrievers: Column, average: Column) -> Column:

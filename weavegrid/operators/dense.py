@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weavegrid.functions.config import RETRIEVAL
-from weavegrid.functions.scoring import cosine
+from weavegrid.functions.scoring import dot, norm
 from weavegrid.operators.sparse import ranked, small
 
 
@@ -19,13 +19,17 @@ def augmented(query: Column, phrases: Column) -> Column:
 def cosine_scores(vectors: DataFrame, queries: DataFrame, threshold: float | None = RETRIEVAL.dense_threshold) -> DataFrame:
     """query_id, vec_id, score at or above the threshold, a stated set of queries against all rows.
 
-    vectors: vec_id, embedding; queries: query_id, query. The queries travel as
-    one array to every row when they are few; else they go in blocks.
+    vectors: vec_id, embedding; queries: query_id, query. Queries go in blocks
+    of about 256, and every row meets every block once, by an equi-join; each
+    norm is computed once a row.
     """
     n = queries.count()
-    held = queries.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // 256))))).alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    pairs = vectors.join(small(held, n, 4096)).select("vec_id", "embedding", F.explode("queries").alias("q"))
-    scores = pairs.select("q.query_id", "vec_id", cosine(F.col("embedding"), F.col("q.query")).alias("score"))
+    blocks = max(1, -(-n // 256))
+    one = queries.select("query_id", "query", norm(F.col("query")).alias("norm"))
+    held = one.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "query", "norm")).alias("queries"))
+    rows = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("norm"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    pairs = rows.join(small(held, n, 4096), "block").select("vec_id", "embedding", "norm", F.explode("queries").alias("q"))
+    scores = pairs.select("q.query_id", "vec_id", (dot(F.col("embedding"), F.col("q.query")) / (F.col("norm") * F.col("q.norm"))).alias("score"))
     return scores if threshold is None else scores.where(F.col("score") >= threshold)
 
 

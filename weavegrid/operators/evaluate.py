@@ -21,6 +21,19 @@ def document_kind(name: Column) -> Column:
     )
 
 
+def typed_segments(text: Column, kind: Column) -> Column:
+    """The parts of a document that its kind asks for: ``# Final Resolution for`` or ``# Criticism for`` blocks, each up to the next heading.
+
+    Without one: the whole text where it holds a table, else its ``# Summary``
+    part, else the whole text.
+    """
+    blocks = lambda head: F.regexp_extract_all(text, F.lit(rf"(?ms)^# {head}.*?(?=^# |\z)"), F.lit(0))
+    own = F.when(kind == "resolution", blocks("Final Resolution for ")).when(kind == "criticism", blocks("Criticism for ")).otherwise(segments(text))
+    summary = blocks("Summary")
+    whole = F.when(text.rlike(r"(?m)^\s*\|"), F.array(text)).when(F.size(summary) > 0, summary).otherwise(F.array(text))
+    return F.when(F.size(own) > 0, own).otherwise(whole)
+
+
 def segments(text: Column) -> Column:
     """The parts of a document from one first-level heading to the next; the whole text where there is none."""
     found = F.regexp_extract_all(text, F.lit(r"(?ms)^# .*?(?=^# |\z)"), F.lit(0))
@@ -87,6 +100,21 @@ def merged_answers(answers: DataFrame) -> DataFrame:
     return rows.groupBy("record_id").agg(*[of(c) for c in CLASSES])
 
 
+def merged_metadata(files: DataFrame) -> DataFrame:
+    """record_id, metadata (of each key the first file's value), sources (file names in order); files: record_id, file, name, metadata (map)."""
+    pairs = files.select("record_id", "file", F.explode("metadata").alias("key", "value")).where("value is not null")
+    first = pairs.groupBy("record_id", "key").agg(F.min_by("value", "file").alias("value"))
+    merged = first.groupBy("record_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("metadata"))
+    names = files.groupBy("record_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("file", "name"))), lambda x: x["name"]).alias("sources"))
+    return names.join(merged, "record_id", "left").select("record_id", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "sources")
+
+
+def id_sources(results: DataFrame) -> DataFrame:
+    """record_id, sources_of: each id's sources, sorted; results: record_id, source, entry_id."""
+    of = results.groupBy("record_id", "entry_id").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    return of.groupBy("record_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("entry_id", "sources")))).alias("sources_of"))
+
+
 def compared(results: DataFrame, truth: DataFrame) -> DataFrame:
     """record_id, matched, truth_only, results_only, in_truth; results and truth: record_id, ids."""
     none = F.array().cast("array<string>")

@@ -114,10 +114,27 @@ def with_mapping(hits: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in defaults.items() if c in entries.columns})
 
 
-def result_rows(fused: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows of a results table as text: rank, id, name, score to four places, retrievers with their scores to three."""
-    shown = F.array_join(F.filter(F.array(*[F.when(F.col(f"{r}_norm").isNotNull(), F.concat(F.lit(f"{r}="), F.format_number(f"{r}_norm", 3))) for r in RETRIEVERS]), lambda x: x.isNotNull()), ", ")
-    return fused.join(names, "entry_id", "left").select("query_id", "rank", "entry_id", F.coalesce("name", F.lit("Unknown")).alias("name"), F.format_number("score", 4).alias("score"), shown.alias("found_by"))
+def result_rows(fused: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows of a results table as text: rank, id, name, abstraction, usage, score to four places, retrievers, and each one's score to three.
+
+    entries: entry_id, name, abstraction, usage; what isn't known has a default.
+    """
+    each = lambda f: F.array_join(F.filter(F.array(*[F.when(F.col(f"{r}_norm").isNotNull(), f(r)) for r in RETRIEVERS]), lambda x: x.isNotNull()), ", ")
+    known = entries.select("entry_id", *[F.col(c).alias(f"known_{c}") for c in ("name", "abstraction", "usage")])
+    rows = fused.join(known, "entry_id", "left")
+    shown = {"name": "Unknown", "abstraction": "Unknown", "usage": "Not specified"}
+    return rows.select(
+        "query_id", "rank", "entry_id", *[F.coalesce(f"known_{c}", F.lit(d)).alias(c) for c, d in shown.items()],
+        F.format_number("score", 4).alias("score"), each(F.lit).alias("retrievers"), each(lambda r: F.concat(F.lit(f"{r}="), F.format_number(f"{r}_norm", 3))).alias("found_by"),
+    )
+
+
+def formatted_sparse(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """query_id, rank, json: sparse hits with their id (without its prefix), name, abstraction and usage as text."""
+    rows = hits.join(entries, "entry_id", "left")
+    number = F.regexp_replace(F.col("entry_id").cast("string"), "^CWE-", "").alias("id")
+    of = lambda c, d: F.coalesce(F.col(c), F.lit(d)).alias(c)
+    return rows.select("query_id", "rank", F.to_json(F.struct(number, of("name", "Unknown"), of("abstraction", "Unknown"), of("usage", "Not specified"), F.format_number("score", 4).alias("score"))).alias("json"))
 
 
 def consolidated(fused: DataFrame, k: int = 10) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weavegrid.functions.config import GRAPH, RETRIEVAL
 from weavegrid.functions.scoring import abstraction_factor, choice
-from weavegrid.operators.sparse import ranked
+from weavegrid.operators.sparse import kept, ranked, tfidf_relevance
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,9 +89,10 @@ def first_parents(edges: DataFrame) -> DataFrame:
     return edges.where("rel_type = 'CHILDOF'").groupBy("src").agg(F.min("dst").alias("dst"))
 
 
-def abstraction_up(nodes: DataFrame, edges: DataFrame, levels: int = 3) -> DataFrame:
-    """node, ancestor, level, score of variants and bases."""
-    rows = nodes.where(F.lower("type").isin("variant", "base")).select(F.col("id").alias("node"), F.col("id").alias("at"))
+def abstraction_up(nodes: DataFrame, edges: DataFrame, levels: int = 3, of: DataFrame | None = None) -> DataFrame:
+    """node, ancestor, level, score of variants and bases; of: only of these (node)."""
+    own = nodes if of is None else nodes.join(of.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    rows = own.where(F.lower("type").isin("variant", "base")).select(F.col("id").alias("node"), F.col("id").alias("at"))
     parents = first_parents(edges)
     out = []
     for level in range(1, levels + 1):
@@ -100,9 +101,10 @@ def abstraction_up(nodes: DataFrame, edges: DataFrame, levels: int = 3) -> DataF
     return reduce(DataFrame.union, out)
 
 
-def abstraction_down(nodes: DataFrame, edges: DataFrame, levels: int = 3) -> DataFrame:
-    """node, descendant, level (0: the node itself), score of classes, pillars and bases."""
-    seeds = nodes.where(F.lower("type").isin("class", "pillar", "base")).select(F.col("id").alias("seed"), F.col("id").alias("node"))
+def abstraction_down(nodes: DataFrame, edges: DataFrame, levels: int = 3, of: DataFrame | None = None) -> DataFrame:
+    """node, descendant, level (0: the node itself), score of classes, pillars and bases; of: only of these (node)."""
+    own = nodes if of is None else nodes.join(of.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    seeds = own.where(F.lower("type").isin("class", "pillar", "base")).select(F.col("id").alias("seed"), F.col("id").alias("node"))
     found = bfs(steps(edges, ("CHILDOF",), "in"), seeds, levels - 1, keep_seeds=True)
     kind = nodes.select(F.col("id").alias("node"), F.lower("type").alias("kind"))
     base = choice(F.col("kind"), {"base": 0.9, "variant": 0.95}, 0.7)
@@ -166,18 +168,6 @@ def groups_of(edges: DataFrame, relations=GRAPH.peer) -> DataFrame:
         labels = labels.drop("moved")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Checkpointed in the session's shared folder; a temporary one only on a local master."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weavegrid-"))
-    return df.checkpoint()
-
-
 def combined(strategies: DataFrame, nodes: DataFrame, k: int = RETRIEVAL.k) -> DataFrame:
     """query_id, node, score, rank from strategies (query_id, node, strategy, score): weighted sum, floor, abstraction factor."""
     weighted = strategies.withColumn("part", F.col("score") * choice(F.col("strategy"), GRAPH.strategy_weights, 0.5))
@@ -214,6 +204,26 @@ def advice(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [related(edges, r, w).withColumn("role", F.lit(k)) for k, (r, w) in kinds.items()])
 
 
+def ranked_advice(edges: DataFrame, seeds: DataFrame, texts: DataFrame, plain: float = 0.5) -> DataFrame:
+    """seed, node, other, role, relevance, rank within the role: the advice for each seed's nodes, most relevant first.
+
+    seeds: seed, node, description; texts: id, text. Relevance is the TF-IDF
+    cosine of the other's text to the seed's description (0 below the floor),
+    or ``plain`` without a description, and always for parents.
+    """
+    rows = seeds.join(advice(edges), "node")
+    described = seeds.where(F.trim(F.coalesce("description", F.lit(""))) != "").select(F.col("seed").alias("query_id"), "description").distinct()
+    pairs = rows.where("role <> 'parent'").select(F.col("seed").alias("query_id"), F.col("other").alias("doc_id")).distinct().join(texts.select(F.col("id").alias("doc_id"), "text"), "doc_id")
+    pairs = pairs.join(described.select("query_id"), "query_id", "left_semi").select("query_id", "doc_id", "text")
+    own = described.select("query_id", F.lit(None).cast(pairs.schema["doc_id"].dataType).alias("doc_id"), F.col("description").alias("text"))
+    found = tfidf_relevance(pairs.union(own)).select(F.col("query_id").alias("seed"), F.col("doc_id").alias("other"), "relevance")
+    rows = rows.join(found, ["seed", "other"], "left")
+    without = (F.col("role") == "parent") | (F.trim(F.coalesce("description", F.lit(""))) == "")
+    rows = rows.withColumn("relevance", F.when(without, F.lit(plain)).otherwise(F.round(F.coalesce("relevance", F.lit(0.0)), 6)))
+    order = Window.partitionBy("seed", "node", "role").orderBy(F.desc("relevance"), "other")
+    return rows.withColumn("rank", F.row_number().over(order)).select("seed", "node", "other", "role", "relevance", "rank")
+
+
 def chain_positions(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """seed, node, level, position of a sequence chain; ties go to the smaller relation."""
     moves = steps(edges, GRAPH.sequence)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weavegrid.functions.text import joined_phrase, shortened
+from weavegrid.functions.text import canonical_id, joined_phrase, shortened
 from weavegrid.operators.evaluate import CLASSES
 
 
@@ -163,3 +163,31 @@ def bundle(records: DataFrame, references: DataFrame, insight: DataFrame) -> Dat
 def as_json(rows: DataFrame, key: str = "record_id") -> DataFrame:
     """key, json: each row as text, nulls left out; ``from_json`` with the row's schema reads it back."""
     return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def specifications(asked: DataFrame, entries: DataFrame, most: int = 3) -> DataFrame:
+    """record_id, specifications: the entries asked for (record_id, entry_id in any form), each with its name, description, and up to ``most`` mitigations and examples.
+
+    entries: entry_id, name, description, mitigations and examples (arrays).
+    """
+    rows = asked.withColumn("entry_id", canonical_id(F.col("entry_id"))).where("entry_id is not null").distinct().join(entries, "entry_id")
+    bullets = lambda title, c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit(f"{title}:\n- "), F.array_join(F.slice(c, 1, most), "\n- ")))
+    text = F.concat_ws("\n", F.concat(F.lit("### "), "entry_id", F.lit(": "), F.coalesce("name", F.lit("Unknown"))), F.nullif(F.coalesce("description", F.lit("")), F.lit("")), bullets("Mitigations", F.col("mitigations")), bullets("Examples", F.col("examples")))
+    return lines(rows, "record_id", ["entry_id"], text, "specifications")
+
+
+def combined_analysis(advice: DataFrame, chains: DataFrame, k: int = 3) -> DataFrame:
+    """seed, analysis: counts of advice by role, the k most relevant specifics, and the chain; advice: as ``graph.ranked_advice``; chains: seed, node, level, position."""
+    counts = lines(advice.groupBy("seed", "role").agg(F.count("*").alias("n")), "seed", ["role"], F.concat(F.lit("- "), "role", F.lit(": "), F.col("n")), "roles")
+    best = advice.where("role = 'child'").withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("relevance"), "other"))).where(F.col("n") <= k)
+    specifics = lines(best, "seed", ["n"], F.concat(F.lit("- "), "other", F.lit(" ("), F.format_number("relevance", 2), F.lit(")")), "specifics")
+    chain = lines(chains, "seed", ["level", "node"], F.concat(F.lit("- "), F.coalesce("position", F.lit("ROOT")), F.lit(" "), "node"), "chain")
+    rows = counts.join(specifics, "seed", "full_outer").join(chain, "seed", "full_outer")
+    part = lambda title, c: F.concat(F.lit(f"## {title}\n"), F.col(c))
+    return rows.select("seed", F.concat_ws("\n\n", part("Relations", "roles"), part("More specific", "specifics"), part("Chain", "chain")).alias("analysis"))
+
+
+def run_metrics(results: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: records, failed ones, ids found, records without any, and the seconds taken."""
+    done = results.agg(F.count("*").alias("n_processed"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("n_ids"), F.count_if(F.size("ids") == 0).alias("n_without"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+    return done.join(F.broadcast(errors.agg(F.count("*").alias("n_failed"))))

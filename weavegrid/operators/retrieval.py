@@ -67,8 +67,12 @@ def substring_fallback(queries: DataFrame, nodes: DataFrame, k: int) -> DataFram
     return sparse.ranked(rows, 2 * k, entry="node")
 
 
-def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k) -> DataFrame:
-    """query_id, node, score of all strategies over seeds (query_id, node), combined."""
+def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, node, score of all nine strategies over seeds (query_id, node), combined.
+
+    queries (query_id, text, and phrases where they are known) are needed for
+    keyword matches and starting points of chains.
+    """
     own = seeds.select(F.col("query_id").alias("seed"), "node")
     named = lambda rows, name: rows.select(F.col("seed").alias("query_id"), "node", F.lit(name).alias("strategy"), F.col("score").cast("double").alias("score"))
     rich = graph.richness(edges).select(F.col("id").alias("node"), "score").where("score > 0")
@@ -78,8 +82,14 @@ def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RE
         named(graph.sequence_forward(edges, own).unionByName(graph.sequence_backward(edges, own)), "sequence_path"),
         named(graph.peers(edges, own), "peer_group"),
         named(graph.chain_progression(edges, own), "vulnerability_chain"),
+        named(own.join(graph.abstraction_up(nodes, edges, of=own), "node").select("seed", F.col("ancestor").alias("node"), "score"), "abstraction_path"),
+        named(own.join(graph.abstraction_down(nodes, edges, of=own), "node").select("seed", F.col("descendant").alias("node"), "score"), "abstraction_path"),
         named(own.join(rich, "node").select("seed", "node", "score"), "relationship_richness"),
     ]
+    if queries is not None:
+        strategies.append(named(keyword_matches(nodes, queries.select("query_id", "text")).withColumnRenamed("query_id", "seed"), "keyword_match"))
+        if "phrases" in queries.columns:
+            strategies.append(named(chain_seeds(queries, nodes).withColumnRenamed("query_id", "seed"), "chain_starting_point"))
     return graph.combined(reduce(DataFrame.union, strategies), nodes, k)
 
 
@@ -92,10 +102,11 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query
     if vectors is not None:
         near = dense.near_zero_dropped(dense.topk(vectors, query_vectors, 2 * k))
         found = found.union(near.select("query_id", F.col("vec_id").cast("string"), F.lit("dense"), "score"))
-    # six strategies read the seeds, so what leads to them is computed once
+    # most strategies read the seeds, so what leads to them is computed once
     found = graph.kept(found)
-    seeds = graph.kept(seeds_of_hits(found).withColumnRenamed("entry_id", "node").union(mentioned(queries, nodes)).distinct())
-    return found.union(graph_hits(seeds, nodes, edges, 2 * k).select("query_id", "node", F.lit("graph"), "score"))
+    named = starting_nodes(queries, nodes) if "phrases" in queries.columns else mentioned(queries, nodes)
+    seeds = graph.kept(seeds_of_hits(found).withColumnRenamed("entry_id", "node").union(named).distinct())
+    return found.union(graph_hits(seeds, nodes, edges, 2 * k, queries).select("query_id", "node", F.lit("graph"), "score"))
 
 
 def metadata(docs: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

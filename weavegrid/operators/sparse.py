@@ -17,6 +17,27 @@ def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Checkpointed in the session's shared folder; a temporary one only on a local master."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weavegrid-"))
+    return df.checkpoint()
+
+
+def tokenized(docs: DataFrame) -> DataFrame:
+    """doc_id, words: the corpus taken apart once, for sizes, frequencies and postings alike."""
+    return docs if "words" in docs.columns else kept(docs.select("doc_id", tokens(F.col("text")).alias("words")))
+
+
+def words_of(docs: DataFrame) -> Column:
+    return F.col("words") if "words" in docs.columns else tokens(F.col("text"))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_distinct."""
     t = tokens(F.col("text"))
@@ -25,12 +46,12 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """term, df; counted before the shuffle, so it moves one row a term and task."""
-    return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode(F.array_distinct(words_of(docs))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
     """One row: n documents, avgdl."""
-    return docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.col("text"))).cast("double")).alias("avgdl"))
+    return docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(words_of(docs)).cast("double")).alias("avgdl"))
 
 
 def idf(frequencies: DataFrame, size: DataFrame, p: Bm25 = BM25) -> DataFrame:
@@ -47,12 +68,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, p: Bm25 = BM25) -> DataFram
     comes before the shuffle of postings, so that shuffle follows the matches
     and not the corpus.
     """
+    docs = tokenized(docs)
     size = corpus_size(docs)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     n_asked = asked.count()
     terms = small(asked.select("term").distinct(), n_asked)
     weights = small(asked, n_asked).join(idf(document_frequencies(docs), size, p).select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    held = docs.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words").cast("double"))
+    held = docs.withColumn("dl", F.size("words").cast("double"))
     postings = held.select("doc_id", "dl", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").cast("double").alias("tf"))
     postings = postings.join(F.broadcast(size.select("avgdl")))
     part = F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
@@ -68,7 +90,13 @@ def ranked(scores: DataFrame, k: int | None, by: str = "query_id", entry: str =
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = RETRIEVAL.k) -> DataFrame:
-    return ranked(bm25_scores(docs, queries), k)
+    """The first k documents of each query; where fewer hold any of its terms, the first others by doc_id follow with score 0."""
+    docs = tokenized(docs)
+    top = kept(ranked(bm25_scores(docs, queries), k).select("query_id", "doc_id", "score"))
+    few = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+    first = docs.select("doc_id").distinct().orderBy("doc_id").limit(k)  # k rows hold enough that a query with fewer matches lacks
+    others = few.select("query_id").join(F.broadcast(first)).join(top, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(top.union(others), k)
 
 
 def query_variants(queries: DataFrame) -> DataFrame:
@@ -132,8 +160,10 @@ def phrase_matches(docs: DataFrame, queries: DataFrame, anchor: int = 5) -> Data
     short = every.where(F.size("w") <= anchor + 1).select("query_id", "q")
     rows = docs.where("text is not null").select("doc_id", text.alias("text"), words.alias("w"))
     held = rows.where(F.size("w") >= anchor)
-    runs = held.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - anchor + 1), lambda i: run(F.col("w"), i)))).alias("run"))
-    found = runs.join(small(long, n, 4096), "run").where(F.contains("text", "q")).select("query_id", "doc_id")
+    # runs go without their text, which only candidates are joined with again
+    runs = held.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - anchor + 1), lambda i: run(F.col("w"), i)))).alias("run"))
+    candidates = runs.join(small(long, n, 4096), "run").select("query_id", "q", F.col("doc_id").alias("candidate")).distinct()
+    found = candidates.join(rows, F.col("candidate").eqNullSafe(F.col("doc_id"))).where(F.contains("text", "q")).select("query_id", "doc_id")
     if short.limit(1).count():
         found = found.union(rows.select("doc_id", "text").join(small(short, n, 4096), F.contains("text", "q")).select("query_id", "doc_id"))
     return found.distinct()

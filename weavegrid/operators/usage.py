@@ -46,3 +46,8 @@ def priced(rows: DataFrame, c: Cost = COST) -> DataFrame:
     """Rows of word sums with tokens and cost."""
     i, o = F.col("sum_input_words"), F.col("sum_output_words")
     return rows.withColumns({"input_tokens": tokens(i, c), "output_tokens": tokens(o, c), "cost": cost(i, o, c)})
+
+
+def cost_summary(priced_rows: DataFrame) -> DataFrame:
+    """One row: how many records, and the average, least, largest and total cost."""
+    return priced_rows.agg(F.count("*").alias("n"), F.avg("cost").alias("average"), F.min("cost").alias("least"), F.max("cost").alias("largest"), F.sum("cost").alias("total"))

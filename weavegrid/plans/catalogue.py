@@ -59,11 +59,12 @@ def tokenize_counts(spark, sf_dir):
     return sparse.token_counts(st.table(spark, sf_dir, "documents"))
 
 
-_BM25 = f"""held AS (SELECT doc_id, {_TOKENS} AS words FROM documents),
-size AS (SELECT count(*)::DOUBLE AS n, avg(len(words)::DOUBLE) AS avgdl FROM held),
-df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(words)) AS term FROM held) GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw_idf FROM df, size),
-idf AS (SELECT term, df, raw_idf, CASE WHEN raw_idf < 0 THEN 0.25::DOUBLE * (SELECT avg(raw_idf) FROM raw) ELSE raw_idf END AS idf FROM raw),
+# materialised, so that the corpus is taken apart once
+_BM25 = f"""held AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS words FROM documents),
+size AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(len(words)::DOUBLE) AS avgdl FROM held),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(words)) AS term FROM held) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw_idf FROM df, size),
+idf AS (SELECT term, df, raw_idf, CASE WHEN raw_idf < 0 THEN 0.25::DOUBLE * mean_idf ELSE raw_idf END AS idf FROM raw, (SELECT avg(raw_idf) AS mean_idf FROM raw)),
 tf AS (SELECT doc_id, len(any_value(words)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, words, unnest(words) AS term FROM held) GROUP BY doc_id, term)"""
 
 
@@ -88,7 +89,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT term, df, round(raw_idf, 6) AS raw_idf, round(idf, 6) AS idf FROM idf")
 def bm25_idf_floor(spark, sf_dir):
-    docs = st.table(spark, sf_dir, "documents")
+    docs = sparse.tokenized(st.table(spark, sf_dir, "documents"))
     return sparse.idf(sparse.document_frequencies(docs), sparse.corpus_size(docs)).select("term", "df", r6("raw_idf").alias("raw_idf"), r6("idf").alias("idf"))
 
 
@@ -557,7 +558,8 @@ def _id_sets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("record_id").agg(F.collect_set("entry_id").alias("ids"))
 
 
-_COMPARED = f"""given AS ({_RESULT_IDS}), truth AS ({_TRUE_IDS}), g AS (SELECT record_id, list_distinct(list(entry_id)) AS ids FROM given GROUP BY 1), t AS (SELECT record_id, list_distinct(list(entry_id)) AS ids FROM truth GROUP BY 1),
+_ANSWERS = f"given AS ({_RESULT_IDS}), truth AS ({_TRUE_IDS})"
+_COMPARED = f"""{_ANSWERS}, g AS (SELECT record_id, list_distinct(list(entry_id)) AS ids FROM given GROUP BY 1), t AS (SELECT record_id, list_distinct(list(entry_id)) AS ids FROM truth GROUP BY 1),
 compared AS (SELECT record_id, t.ids IS NOT NULL AS in_truth, list_sort(list_intersect(g.ids, coalesce(t.ids, []))) AS matched, list_sort(list_filter(coalesce(t.ids, []), lambda x: NOT list_contains(g.ids, x))) AS truth_only, list_sort(list_filter(g.ids, lambda x: NOT list_contains(coalesce(t.ids, []), x))) AS results_only FROM g LEFT JOIN t USING (record_id))"""
 
 
@@ -808,8 +810,15 @@ def retriever_metadata(spark, sf_dir):
 
 @query(None)
 def hybrid_search(spark, sf_dir):
-    """Nation names against the nodes: text and graph retrieval, fused."""
-    nodes, edges = st.nodes(spark, sf_dir), st.hierarchy(spark, sf_dir)
-    hits = retrieval.search(_nation_queries(spark, sf_dir), retrieval.node_text(nodes), None, None, nodes, edges, 5)
-    entries = nodes.select(F.col("id").alias("entry_id"), F.col("type").alias("abstraction"), F.lit("Allowed").alias("usage"), F.lit(1).alias("n_relations"))
+    """Nation names against the nodes: text, vectors and all graph strategies, fused."""
+    nodes, edges = st.nodes(spark, sf_dir), st.all_edges(spark, sf_dir)
+    asked = _nation_queries(spark, sf_dir).withColumn("phrases", F.create_map(F.lit("weakness"), F.array("text")))
+    vectors = st.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    near = asked.select("query_id").join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", F.col("embedding").alias("query"))
+    hits = retrieval.search(asked, retrieval.node_text(nodes), vectors.withColumn("vec_id", F.concat(F.lit("C"), "vec_id")), near, nodes, edges, 5)
+    degree = graph.degrees(edges).select(F.col("id").alias("entry_id"), F.col("degree").alias("n_relations"))
+    entries = nodes.select(F.col("id").alias("entry_id"), F.col("type").alias("abstraction"), st.usage_of(F.length("name")).alias("usage")).join(degree, "entry_id", "left").fillna(0, ["n_relations"])
     return fusion.fuse(hits, entries, 10).select("query_id", "entry_id", "score", "rank")
+
+
+from weavegrid.plans import formats  # noqa: E402, F401  (registers its queries)

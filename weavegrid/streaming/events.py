@@ -39,17 +39,15 @@ def last_n(rows: DataFrame, key: str, order: list[str], n: int = 5) -> DataFrame
 def last_n_stream(rows: DataFrame, key: str, value: str, n: int = 5) -> DataFrame:
     """key, context (the last n values), after every batch, on a stream: a state of n values a key.
 
-    Within a batch values count in their sorted order.
+    Values of a batch count in their sorted order, after those of earlier batches.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(k, frames, state: GroupState):
         import pandas as pd
 
-        held = list(state.get[0]) if state.exists else []
-        for f in frames:
-            held += f[value].tolist()
-        held = sorted(held)[-n:]
+        new = [v for f in frames for v in f[value].tolist()]
+        held = ([*(state.get[0] if state.exists else [])] + sorted(new))[-n:]
         state.update((held,))
         yield pd.DataFrame({key: [k[0]], "context": [held]})
 
@@ -59,13 +57,32 @@ def last_n_stream(rows: DataFrame, key: str, value: str, n: int = 5) -> DataFram
 
 
 def process_records(spark: SparkSession, source: str, schema: str, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_at_once: int = 16):
-    """Start a stream that processes record files in small batches; a batch that fails goes to ``sink``/rejected with its error, and the stream goes on."""
+    """Start a stream that processes record files in small batches; records that fail go to ``sink``/rejected with their error, and the stream goes on.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    A batch that fails is halved by a hash of its rows until what fails is one
+    record, or rows that are equal. Each part has a folder of its own below
+    batch_id, which is written anew when a batch is run again.
+    """
+
+    def attempt(rows: DataFrame, batch_id: int, part: str) -> None:
         try:
-            process(batch).write.mode("append").parquet(f"{sink}/processed")
+            process(rows.drop("_hash")).write.mode("overwrite").parquet(f"{sink}/processed/batch_id={batch_id}/part=p{part}")
         except Exception as e:  # noqa: BLE001
-            batch.withColumns({"error": F.lit(str(e)[:500]), "batch_id": F.lit(batch_id)}).write.mode("append").parquet(f"{sink}/rejected")
+            if len(part) >= 63 or rows.select("_hash").distinct().limit(2).count() < 2:
+                rows.drop("_hash").withColumn("error", F.lit(str(e)[:500])).write.mode("overwrite").parquet(f"{sink}/rejected/batch_id={batch_id}/part=p{part}")
+                return
+            bit = F.shiftrightunsigned("_hash", len(part)).bitwiseAND(1)
+            for side in (0, 1):
+                half = rows.where(bit == side)
+                if half.limit(1).count():
+                    attempt(half, batch_id, f"{part}{side}")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("_hash", F.xxhash64(*batch.columns)).persist()
+        try:
+            attempt(batch, batch_id, "")
+        finally:
+            batch.unpersist()
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(source)
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
