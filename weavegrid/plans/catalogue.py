@@ -65,7 +65,7 @@ size AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(len(words)::DOUBLE) AS a
 df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(words)) AS term FROM held) GROUP BY term),
 raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw_idf FROM df, size),
 idf AS (SELECT term, df, raw_idf, CASE WHEN raw_idf < 0 THEN 0.25::DOUBLE * mean_idf ELSE raw_idf END AS idf FROM raw, (SELECT avg(raw_idf) AS mean_idf FROM raw)),
-tf AS (SELECT doc_id, len(any_value(words)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, words, unnest(words) AS term FROM held) GROUP BY doc_id, term)"""
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS dl, unnest(words) AS term FROM held) GROUP BY doc_id, dl, term)"""
 
 
 def _bm25_sql(asked: str) -> str:
