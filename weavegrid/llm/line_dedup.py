@@ -219,21 +219,20 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     ship(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = stored(rows.mapInArrow(_parsed(min_tokens), "doc_id long, leaf long, line long, exact long, tokens binary"), "lines")
-    # repeats of a line are counted where they are read, so a frequent line is a few rows from here on
-    distinct = stored(lines.groupBy("leaf", "line", "tokens").agg(F.count("*").alias("n")).withColumnRenamed("line", "member"), "distinct")
-    # only leaves with enough lines can hold a recurring template
-    leaves = stored(distinct.groupBy("leaf").agg(F.sum("n").alias("leaf_lines")).where(F.col("leaf_lines") >= min_docs), "leaves")
-    distinct = distinct.join(leaves, "leaf")
+    # only leaves with enough lines can hold a recurring template; stored, so that Spark can split the lines of a
+    # frequent leaf over tasks; joined by merging at every size, as they grow with the corpus
+    leaves = stored(lines.groupBy("leaf").agg(F.count("*").alias("leaf_lines")).where(F.col("leaf_lines") >= min_docs), "leaves")
+    distinct = lines.join(leaves.hint("merge"), "leaf").groupBy("leaf", "line", "tokens", "leaf_lines").agg(F.count("*").alias("n")).withColumnRenamed("line", "member")
     salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("leaf_lines") / PART))
     parts = stored(_cluster_by(distinct, F.xxhash64("leaf", salt)), "parts")
     templates = parts.groupBy("leaf", F.col("template").alias("member")).agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
     merged = _cluster_by(templates, F.col("leaf"))
     of_line = parts.select("leaf", F.col("member").alias("line"), F.col("template").alias("part")).join(merged.select("leaf", F.col("member").alias("part"), "template"), ["leaf", "part"])
     of_line = stored(of_line.select("leaf", "line", "template"), "templates")
-    seen = lines.select("doc_id", "leaf", "line").join(of_line, ["leaf", "line"]).select("template", "doc_id").distinct()
+    seen = lines.select("doc_id", "leaf", "line").join(of_line.hint("merge"), ["leaf", "line"]).select("template", "doc_id").distinct()
     counts = seen.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
     found = stored(of_line.join(counts, "template").select("leaf", "line", "first_doc"), "recurring")
-    dropped = lines.select("doc_id", "leaf", "line").join(found, ["leaf", "line"]).where("doc_id <> first_doc")
+    dropped = lines.select("doc_id", "leaf", "line").join(found.hint("merge"), ["leaf", "line"]).where("doc_id <> first_doc")
     return dropped.select("doc_id", "line").union(_long_lines(lines, leave_copies)).groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
 
 
