@@ -106,3 +106,22 @@ def test_failed_batches_are_set_aside(spark, tmp_path):
     q = events.process_records(spark, str(tmp_path / "in"), "id long, text string", fails, str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/rejected")).first()["error"] == "no"
+
+
+def test_last_values_of_a_stream_are_the_last_not_the_largest(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for start in (100, 1):
+        spark.createDataFrame([(1, start + i) for i in range(3)], "k long, v long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k long, v long").parquet(source)
+        q = events.last_n_stream(stream, "k", "v", 3).writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(r["context"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [[1, 2, 3], [100, 101, 102]]
+
+
+def test_only_failed_records_are_set_aside(spark, tmp_path):
+    spark.createDataFrame([(i, "7" if i != 5 else "bad") for i in range(8)], "id long, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    process = lambda batch: batch.selectExpr("id", "cast(text as int) as n")  # noqa: E731  (ANSI mode: a bad number raises)
+    q = events.process_records(spark, str(tmp_path / "in"), "id long, text string", process, str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination(120)
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()] == [5]
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out/processed")).collect()) == [0, 1, 2, 3, 4, 6, 7]
