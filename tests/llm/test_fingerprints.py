@@ -48,7 +48,7 @@ def likeness(a, b):
 
 
 def expected(rows):
-    rows = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] or ""))
+    rows = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], xx(r[1] or "")))
     out = []
     for i, (d, t, *_) in enumerate(rows):
         t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
@@ -82,6 +82,24 @@ def test_many_ranges(spark):
     assert got(spark, rows) == expected(rows)
 
 
+def test_one_id_for_most_rows(spark):
+    alike = [(7, "the same words in every one of these rows", "")] * 900
+    shared = [(None, f"text {i} without an id of its own", "") for i in range(700)]
+    rows = [(i, f"text number {i} of many more words {i % 13}", "") for i in range(-150, 150)] + alike + shared
+    assert got(spark, rows) == expected(rows)
+    assert got(spark, alike) == expected(alike)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = fp.with_next(docs, {"bins": F.col("text")})
+    assert plan.columns == ["doc_id", "text", "bins", "next_bins"]
+    cuts = fp._cuts(docs, F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash")))
+    assert 20 < len(cuts) < 40 and len(set(cuts)) < len(cuts) - 8
+
+
+def test_large_ids(spark):
+    rows = [(2**62 + i * 3, f"text number {i} of many more words {i % 13}", "") for i in range(1000)]
+    assert got(spark, rows) == expected(rows)
+
+
 def test_likeness_estimates_jaccard(spark):
     base = [f"w{i}" for i in range(2000)]
     edited = list(base)

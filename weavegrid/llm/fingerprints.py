@@ -11,11 +11,17 @@ Words are runs without white space. A text of one to four words has one
 shingle, all of them, and a text without words (null too) has the hash of the
 empty string as its only one; so texts without words are alike.
 
-No step compares or groups documents, so nothing here is skewed by copies.
+Very long texts are taken whole. Rows that share a doc_id follow each other by a
+hash of their texts; rows that repeat have equal results, but for the last of
+them, which another document follows. Only doc_id and text are read, so other
+columns may have any name. No step compares or groups documents, and rows alike
+are dealt over several ranges, so nothing here is skewed by copies.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,44 +82,62 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", packed(fingerprint(F.col("text"))).alias("fingerprint"))
 
 
-#: Rows that one range of ids holds, and how many ranges there are at most.
-RANGE_ROWS, RANGES = 64, 8192
+#: Rows that one range of ids holds at least, how many ranges there are at most, and sampled rows for each cut between them.
+RANGE_ROWS, RANGES, SAMPLED = 64, 32768, 4
 
 
-def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
-    """``docs`` with next_*: the carried columns of the next row by doc_id, then text; after the last row comes the first.
+def _cuts(docs: DataFrame, at: Column) -> list[tuple[int, int]]:
+    """Where ranges of ``docs`` by ``at`` begin, in order, from the least on; one that rows repeat often comes often. At most RANGES, of a sample of SAMPLED times as many."""
+    n = docs.count()
+    ways = max(1, min(RANGES, n // RANGE_ROWS))
+    places = docs.select(at.alias("at"), (F.rand(42) < ways * SAMPLED / max(n, 1)).alias("sampled"))
+    least, sample = places.agg(F.min("at"), F.collect_list(F.when(F.col("sampled"), F.col("at")))).first()
+    return [tuple(x) for x in ([least] if n else []) + sorted(sample)[SAMPLED::SAMPLED]]
 
-    Ids are cut into ranges at approximate quantiles. A range's first rows are
-    also sent to the range before it (those of the first to the last), so one
-    shuffle and a window over each range do. A null doc_id comes first.
+
+def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """``docs`` with next_*: the carried columns of the next row by doc_id, then by a hash of the text; after the last row comes the first.
+
+    Rows are cut into ranges at sampled places in that order. A range's first
+    rows are also sent to the range before it (those of the first to the last),
+    so one shuffle and a window over each range do. Rows that are alike in
+    doc_id and text and fill several ranges are dealt over these at random: the
+    next of such a row is like itself, but for the last one in the last of the
+    ranges. (That none falls there has a chance of e^-64 for each such group of
+    rows.) A null doc_id comes first.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    n = docs.count()
-    if not n:
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    cuts = _cuts(docs, key)
+    if not cuts:
         rows = docs.withColumns(carried)
         return rows.withColumns({f"next_{c}": F.col(c) for c in carried})
-    ways = max(1, min(RANGES, n // RANGE_ROWS))
-    least, cuts = docs.agg(F.min(key), F.percentile_approx(key, [i / ways for i in range(ways)], 10 * RANGES)).first()
-    cuts = sorted({least, *cuts})
-    # folded to one literal
-    bounds = F.from_json(F.lit(str(cuts)), "array<bigint>")
+    first = [0] * len(cuts)
+    for i in range(1, len(cuts)):
+        first[i] = first[i - 1] if cuts[i] == cuts[i - 1] else i
+    # both folded to one literal
+    bounds = F.from_json(F.lit(json.dumps([{"id": i, "hash": h} for i, h in cuts])), "array<struct<id:bigint,hash:bigint>>")
+    firsts = F.from_json(F.lit(str(first)), "array<int>")
     steps = F.array(*[F.lit(1 << i) for i in range(RANGES.bit_length(), -1, -1)])
-    at = F.aggregate(steps, F.lit(0), lambda a, s: a + F.when((a + s < len(cuts)) & (F.get(bounds, a + s) <= F.col("key")), s).otherwise(F.lit(0)))
+    last = F.aggregate(steps, F.lit(0), lambda a, s: a + F.when((a + s < len(cuts)) & (F.get(bounds, a + s) <= F.col("key")), s).otherwise(F.lit(0)))
+    starts = F.get(bounds, F.col("last")) == F.col("key")
+    spread = F.col("last") - F.floor(F.rand(43) * (F.col("last") - F.col("first") + 1)).cast("int")
     target = lambda r, wraps, real: F.struct(r.cast("int").alias("range"), F.lit(wraps).alias("wraps"), F.lit(real).alias("real"))
-    starts = F.get(bounds, F.col("at")) == F.col("key")
+    leads = F.col("starts") & (F.col("at") == F.col("first"))
     targets = F.filter(
         F.array(
             target(F.col("at"), 0, True),
-            F.when(starts & (F.col("at") > 0), target(F.col("at") - 1, 0, False)),
-            F.when(starts & (F.col("at") == 0), target(F.lit(len(cuts) - 1), 1, False)),
+            F.when(leads & (F.col("at") > 0), target(F.col("at") - 1, 0, False)),
+            F.when(leads & (F.col("at") == 0), target(F.lit(len(cuts) - 1), 1, False)),
         ),
         lambda t: t.isNotNull(),
     )
-    rows = docs.withColumns(carried).withColumn("key", key).withColumn("at", at)
-    rows = rows.withColumn("target", F.explode(targets)).select(*docs.columns, *[c for c in carried if c not in docs.columns], "key", "target.*")
+    rows = docs.withColumns(carried).withColumn("key", key).withColumn("last", last)
+    rows = rows.withColumns({"first": F.get(firsts, F.col("last")), "starts": starts}).withColumn("at", F.when(F.col("starts"), spread).otherwise(F.col("last")))
+    own = [*docs.columns, *[c for c in carried if c not in docs.columns]]
+    rows = rows.withColumn("inner", F.col("starts") & (F.col("at") < F.col("last"))).withColumn("target", F.explode(targets)).select(*own, "key", "inner", "target.*")
     order = Window.partitionBy("range").orderBy("wraps", "key", "text")
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
-    return rows.where("real").drop("key", "range", "wraps", "real")
+    rows = rows.withColumns({f"next_{c}": F.when(F.col("inner"), F.col(c)).otherwise(F.lead(c).over(order)) for c in carried})
+    return rows.where("real").select(*own, *[f"next_{c}" for c in carried])
 
 
 def compared_with_edits(docs: DataFrame) -> DataFrame:
