@@ -83,8 +83,19 @@ def test_betweenness_of_a_path(spark):
     rows = spark.createDataFrame([("a", "b", "R"), ("b", "c", "R"), ("c", "d", "R")], "src string, dst string, rel_type string")
     found = {r["node"]: r["betweenness"] for r in graph.betweenness(rows).collect()}
     assert found == {"a": 0.0, "b": pytest.approx(2 / 6), "c": pytest.approx(2 / 6), "d": 0.0}
-    with pytest.raises(ValueError):
-        graph.betweenness(rows, most_edges=2)
+    joined = {r["node"]: r["betweenness"] for r in graph.betweenness(rows, most_edges=2, sources_at_once=2).collect()}
+    assert joined == pytest.approx(found)
+
+
+def test_betweenness_by_joins_is_the_same(spark):
+    import random
+
+    rng = random.Random(7)
+    links = {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(34)} | {("x", "y"), ("y", "x"), ("z", "z")}
+    rows = spark.createDataFrame([(a, b, "R") for a, b in sorted(links)], "src string, dst string, rel_type string")
+    wanted = {r["node"]: r["betweenness"] for r in graph.betweenness(rows).collect()}
+    found = {r["node"]: r["betweenness"] for r in graph.betweenness(rows, most_edges=0).collect()}
+    assert sum(wanted.values()) > 0.1 and found == pytest.approx(wanted)
 
 
 def test_mermaid(spark, nodes, edges):

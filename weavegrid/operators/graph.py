@@ -254,17 +254,55 @@ def mermaid(nodes: DataFrame, edges: DataFrame, by: str = "seed") -> DataFrame:
     return rows.select(by, F.concat_ws("\n", F.lit("graph TD"), F.transform("l", lambda x: x["line"])).alias("diagram"))
 
 
-def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, most_edges: int = 2_000_000, sources_at_once: int = 1000) -> DataFrame:
     """node, betweenness: directed and normalised, by Brandes' accumulation from every source.
 
-    Sources are dealt over tasks; each holds the edge list, so that list must
-    have at most ``most_edges`` rows (counted here) to be sent.
+    Up to ``most_edges`` (counted here) the edge list is sent to every task, and
+    sources are dealt over them. More edges are joined level by level, about
+    ``sources_at_once`` sources a round; the results are the same but for
+    rounding. Exact betweenness visits all that each source reaches, so either
+    way the work grows with the square of a connected graph.
     """
     pairs = edges.select("src", "dst").where("src <> dst").distinct()
     n_edges = pairs.count()
-    if n_edges > most_edges:
-        raise ValueError(f"betweenness holds the edges in every task; {n_edges} are over the bound of {most_edges}")
-    spark = edges.sparkSession
+    everyone = ends(pairs.withColumn("rel_type", F.lit(""))).select(F.col("id").alias("node")).distinct()
+    n = everyone.count()
+    scale = (n - 1) * (n - 2) or 1
+    sums = _shares_by_task(pairs) if n_edges <= most_edges else _shares_by_joins(pairs, everyone, -(-n // sources_at_once))
+    sums = sums.groupBy("node").agg(F.sum("part").alias("part"))
+    return everyone.join(sums, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) / scale).alias("betweenness"))
+
+
+def _shares_by_joins(pairs: DataFrame, everyone: DataFrame, rounds: int) -> DataFrame:
+    """node, part: Brandes' accumulation with a table (source, node, paths) for each level of a round's sources."""
+    pairs = kept(pairs.select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    parts = []
+    for i in range(rounds):
+        starts = everyone.where(F.pmod(F.xxhash64("node"), F.lit(rounds)) == i)
+        levels = [kept(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+        seen = levels[0].select("source", "node")
+        while True:
+            reached = levels[-1].join(pairs, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+            level = kept(reached.join(seen, ["source", "node"], "left_anti"))
+            if not level.limit(1).count():
+                break
+            levels.append(level)
+            seen = seen.union(level.select("source", "node"))
+        shares = levels[-1].withColumn("share", F.lit(0.0))
+        done = [shares] if len(levels) > 1 else []
+        for level in reversed(levels[1:-1]):
+            after = shares.select("source", F.col("node").alias("next"), ((1 + F.col("share")) / F.col("paths")).alias("each"))
+            owed = level.join(pairs, "node").join(after, ["source", "next"]).groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("each")).alias("share"))
+            shares = kept(level.join(owed, ["source", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
+            done.append(shares)
+        if done:
+            parts.append(kept(reduce(DataFrame.union, done).groupBy("node").agg(F.sum("share").alias("part"))))
+    return reduce(DataFrame.union, parts)
+
+
+def _shares_by_task(pairs: DataFrame) -> DataFrame:
+    """node, part: Brandes' accumulation for sources dealt over tasks that hold the edge list."""
+    spark = pairs.sparkSession
     links = [(r["src"], r["dst"]) for r in pairs.collect()]
     names = sorted({x for e in links for x in e})
     number = {x: i for i, x in enumerate(names)}
@@ -304,11 +342,8 @@ def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
             yield pd.DataFrame({"node": [names[i] for i in at], "part": total[at]})
 
     n = len(names)
-    scale = (n - 1) * (n - 2) or 1
     sources = spark.range(n).select(F.col("id").cast("int").alias("i")).repartition(max(1, min(n, spark.sparkContext.defaultParallelism)))
-    sums = sources.mapInPandas(accumulate, "node string, part double").groupBy("node").agg(F.sum("part").alias("part"))
-    everyone = ends(pairs.withColumn("rel_type", F.lit(""))).select(F.col("id").alias("node")).distinct()
-    return everyone.join(sums, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) / scale).alias("betweenness"))
+    return sources.mapInPandas(accumulate, "node string, part double")
 
 
 def first_by(rows: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -386,7 +386,14 @@ def betweenness(spark, sf_dir):
     return graph.betweenness(edges.union(graph.steps(edges, way="in"))).withColumn("betweenness", r6("betweenness"))
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_bfs_sql(_either('hierarchy'), "SELECT id AS seed, id AS node FROM nodes WHERE type = 'Class'", 1)},
+lines AS (
+  SELECT seed, 0 AS part, '    ' || id || '["' || replace(CASE WHEN length(name) > 25 THEN name[1:22] || '...' ELSE name END, '"', chr(39)) || '"]' AS line FROM levels JOIN nodes ON id = node
+  UNION SELECT a.seed, 1, '    ' || h.src || ' -->|' || lower(h.rel_type) || '| ' || h.dst FROM hierarchy h JOIN levels a ON a.node = h.src JOIN levels b ON b.node = h.dst AND b.seed = a.seed
+)
+SELECT seed, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY part, line) AS diagram FROM lines GROUP BY seed"""
+)
 def mermaid(spark, sf_dir):
     nodes, edges = st.nodes(spark, sf_dir), st.hierarchy(spark, sf_dir)
     seeds = nodes.where("type = 'Class'").select(F.col("id").alias("seed"), F.col("id").alias("node"))
