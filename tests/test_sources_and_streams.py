@@ -77,6 +77,17 @@ def test_sinks(spark, tmp_path):
     assert not (tmp_path / "p").exists()
 
 
+def test_benchmark_columns(spark):
+    results = spark.createDataFrame([("CVE-2", "primary_cwes", "CWE-9"), ("CVE-2", "primary_cwes", "CWE-1"), ("CVE-2", "primary_cwes", "CWE-1"), ("CVE-2", "consensus_cwe", ""), ("CVE-2", "retrievers", "CWE-7"), ("CVE-1", "primary_cwes", None)], "record_id string, source string, entry_id string")
+    truth = spark.createDataFrame([("CVE-2", "CWE-7"), ("CVE-2", "CWE-1"), ("CVE-3", "CWE-5")], "record_id string, entry_id string")
+    rows = [r.asDict() for r in sinks.benchmark_csv(results, truth).collect()]
+    assert [r["CVE"] for r in rows] == ["CVE-1", "CVE-2"] and len(rows[0]) == 13
+    assert set(rows[0].values()) == {"CVE-1", ""}
+    held = {c: v for c, v in rows[1].items() if v}
+    assert held == {"CVE": "CVE-2", "Benchmark_CWEs": "CWE-1;CWE-7", "Primary_CWEs": "CWE-1;CWE-9", "Matched_CWEs": "CWE-1;CWE-7"}
+    assert sinks.benchmark_csv(results.limit(0), truth).count() == 0
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     source = str(tmp_path / "in")

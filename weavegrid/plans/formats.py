@@ -205,6 +205,12 @@ def _given(spark, sf_dir):
     return _answers(spark, sf_dir)[0]
 
 
+def _true(spark, sf_dir):
+    from weavegrid.plans.catalogue import _answers
+
+    return _answers(spark, sf_dir)[1]
+
+
 @query(f"WITH {HITS_SQL}, b AS (SELECT query_id, entry_id, max(score) AS score FROM hits GROUP BY ALL) SELECT query_id, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY score DESC, entry_id) AS ids FROM b GROUP BY query_id")
 def detected_ids(spark, sf_dir):
     return evaluate.detected_ids(st.hits(spark, sf_dir)).select("query_id", listed("ids").alias("ids"))
@@ -218,9 +224,23 @@ def comparison_sections(spark, sf_dir):
     return evaluate.comparison_report(_compared(spark, sf_dir).withColumn("record_id", F.col("record_id").cast("string")))
 
 
-@query(f"WITH {_COMPARED} SELECT record_id, in_truth, array_to_string(matched, ';') AS matched, array_to_string(truth_only, ';') AS truth_only, array_to_string(results_only, ';') AS results_only FROM compared")
+_SOURCES = [*sinks.BENCHMARK_SOURCES, "retrievers"]
+_IDS_OF = "coalesce(string_agg(DISTINCT entry_id, ';' ORDER BY entry_id) FILTER ({}), '') AS {}"
+
+
+@query(
+    f"""WITH {ANSWERS}, sourced AS (SELECT l_orderkey AS record_id, [{", ".join(f"'{s}'" for s in _SOURCES)}][1 + (l_linenumber + l_suppkey) % {len(_SOURCES)}] AS source, CAST(l_suppkey % 50 AS VARCHAR) AS entry_id FROM lineitem WHERE l_returnflag <> 'R'),
+b AS (SELECT record_id, string_agg(DISTINCT entry_id, ';' ORDER BY entry_id) AS ids FROM truth GROUP BY 1),
+m AS (SELECT record_id, string_agg(DISTINCT entry_id, ';' ORDER BY entry_id) AS ids FROM sourced SEMI JOIN truth USING (record_id, entry_id) GROUP BY 1),
+s AS (SELECT record_id, {", ".join(_IDS_OF.format(f"source = '{s}'", c) for s, c in sinks.BENCHMARK_SOURCES.items())} FROM sourced GROUP BY 1)
+SELECT s.record_id AS CVE, s.* EXCLUDE (record_id), coalesce(b.ids, '') AS Benchmark_CWEs, coalesce(m.ids, '') AS Matched_CWEs FROM s LEFT JOIN b ON b.record_id = s.record_id LEFT JOIN m ON m.record_id = s.record_id"""
+)
 def benchmark_table(spark, sf_dir):
-    return sinks.benchmark_csv(_compared(spark, sf_dir))
+    """Order lines that weren't returned as answers of eleven sources, open ones as the truth."""
+    rows = st.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
+    source = F.array(*map(F.lit, _SOURCES))[((F.col("l_linenumber") + F.col("l_suppkey")) % len(_SOURCES)).cast("int")]
+    given = rows.select(F.col("l_orderkey").alias("record_id"), source.alias("source"), (F.col("l_suppkey") % 50).cast("string").alias("entry_id"))
+    return sinks.benchmark_csv(given, _true(spark, sf_dir))
 
 
 @query(f"WITH {_FUSED}, r AS (SELECT *, {_RANK} FROM fused) SELECT query_id AS record_id, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM r WHERE rank <= 3 GROUP BY query_id")

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from weavegrid.functions.text import shortened
 from weavegrid.operators.graph import valid_edges
 
+# Sources of answers, and their columns in the benchmark table, in its order
+BENCHMARK_SOURCES = {
+    "agents_resolution": "Agent_Resolution",
+    "agents_criticism": "Agent_Criticism",
+    "agents_analysis": "Agent_Analysis",
+    "primary_cwes": "Primary_CWEs",
+    "secondary_cwes": "Secondary_CWEs",
+    "consensus_cwe": "Consensus_CWE",
+    "top_similar_cwes": "Top_Similar_CWEs",
+    "retriever_dense": "Retriever_Dense",
+    "retriever_sparse": "Retriever_Sparse",
+    "retriever_graph": "Retriever_Graph",
+}
+
 
 def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
     writer = rows.write.mode("overwrite")
@@ -40,9 +54,21 @@ def preview(rows: DataFrame, text: str = "description", most: int = 200) -> Data
     return rows.withColumn(text, shortened(F.col(text), most, most))
 
 
-def benchmark_csv(compared: DataFrame) -> DataFrame:
-    joined = lambda c: F.array_join(F.sort_array(c), ";").alias(c)
-    return compared.select("record_id", "in_truth", joined("matched"), joined("truth_only"), joined("results_only")).orderBy("record_id")
+def benchmark_csv(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """By CVE: the true ids, those of each source and those that any source matched; sets are sorted and joined by semicolons.
+
+    results: record_id, source, entry_id (null or empty for a record without
+    ids); truth: record_id, entry_id. Records without results go; sources
+    without a column count only for matches.
+    """
+    rows = results.select("record_id", "source", "entry_id").union(truth.select("record_id", F.lit(None).cast("string"), "entry_id"))
+    ids = lambda own: F.collect_set(F.when(own, F.nullif("entry_id", F.lit(""))))
+    given = F.col("source").isNotNull()
+    sets = {"Benchmark_CWEs": ids(~given)} | {c: ids(F.col("source") == s) for s, c in BENCHMARK_SOURCES.items()}
+    grouped = rows.groupBy(F.col("record_id").alias("CVE")).agg(*[v.alias(c) for c, v in sets.items()], ids(given).alias("given"), F.count_if(given).alias("n"))
+    matched = F.array_intersect("Benchmark_CWEs", "given").alias("Matched_CWEs")
+    found = grouped.where("n > 0").select("CVE", *sets, matched)
+    return found.select("CVE", *[F.array_join(F.sort_array(c), ";").alias(c) for c in found.columns[1:]]).orderBy("CVE")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
