@@ -136,3 +136,28 @@ def test_only_failed_records_are_set_aside(spark, tmp_path):
     q.awaitTermination(120)
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()] == [5]
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out/processed")).collect()) == [0, 1, 2, 3, 4, 6, 7]
+
+
+@pytest.mark.parametrize(("ttl", "made"), [(3600, 1), (0, 2)])
+def test_contexts_are_made_once_until_their_time(spark, tmp_path, request, ttl, made):
+    def make(key):
+        import time
+
+        return f"{key} at {time.time_ns()}"
+
+    source = str(tmp_path / "in")
+    no_data = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(no_data, "false")
+    request.addfinalizer(lambda: spark.conf.unset(no_data))
+    for keys in (["a", "b", "a"], ["a", "c"]):
+        spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string").parquet(source)
+        q = events.remembered_stream(stream, "k", make, ttl or 1).writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        if not ttl:
+            import time
+
+            time.sleep(1.1)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["k"], r["n"]) for r in found.groupBy("k").agg(F.countDistinct("context").alias("n")).collect()} == {("a", made), ("b", 1), ("c", 1)}
+    assert found.where("k = 'a'").count() == 2

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: windowed counts, bounded contexts, isolated records."""
+"""Structured Streaming forms: windowed counts, bounded and remembered contexts, isolated records."""
 
 from __future__ import annotations
 
@@ -56,6 +56,39 @@ def last_n_stream(rows: DataFrame, key: str, value: str, n: int = 5) -> DataFram
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {of_key}, context array<{kind}>", f"held array<{kind}>", "update", GroupStateTimeout.NoTimeout)
 
 
+def remembered_stream(asked: DataFrame, key: str, make: Callable, ttl_seconds: int = 3600) -> DataFrame:
+    """key, context: ``make(key)`` for every key asked for in a batch, kept as state and made anew once it hasn't been asked for in ``ttl_seconds``.
+
+    A state is one text a key, held where the key's rows are; those of keys that
+    nobody asks for any more are removed by the first batch after their time.
+    As Spark runs batches without data for such removals, a query that should
+    end (``availableNow``) needs spark.sql.streaming.noDataMicroBatches.enabled
+    off when it starts.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    ttl = 1000 * ttl_seconds
+
+    def update(k, frames, state: GroupState):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        for _ in frames:  # only that the key was asked for counts
+            pass
+        now = state.getCurrentProcessingTimeMs()
+        context, last = state.get if state.exists else (None, 0)
+        if context is None or now - last > ttl:
+            context = make(k[0])
+        state.update((context, now))
+        state.setTimeoutDuration(ttl)
+        yield pd.DataFrame({key: [k[0]], "context": [context]})
+
+    of_key = asked.schema[key].dataType.simpleString()
+    return asked.groupBy(key).applyInPandasWithState(update, f"{key} {of_key}, context string", "context string, last long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def process_records(spark: SparkSession, source: str, schema: str, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_at_once: int = 16):
     """Start a stream that processes record files in small batches; records that fail go to ``sink``/rejected with their error, and the stream goes on.
 
