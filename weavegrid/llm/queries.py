@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weavegrid.llm import chat_format, fingerprints, line_dedup, ngram_join, packing, secrets, sentencepieces, topk, toxicity, warc
+from weavegrid.llm import chat_format, collocations, fingerprints, line_dedup, ngram_join, packing, secrets, sentencepieces, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +77,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_ngram_jaccard_join, op2_secret_scans, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_fingerprints, op7_best_fit_packing, op8_exact_top_k, op9_sentencepiece, op10_warc)}
+    return {q.__name__: q for q in (op1_ngram_jaccard_join, op2_secret_scans, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_fingerprints, op7_best_fit_packing, op8_exact_top_k, op9_sentencepiece, op10_warc, op11_collocations)}
 
 
 _OP1 = r"""
@@ -140,7 +144,36 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM d
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+lengths AS (SELECT unnest([1, 2, 3, 4]) AS k),
+f AS (
+  SELECT lang, k, p, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p FROM words, lengths WHERE len(w) >= k
+  ) GROUP BY lang, k, p
+), totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT c.lang, c.a, unnest(list_transform(range(1, c.k - l.k + 2), lambda i: array_to_string(c.w[i:i + l.k - 1], ' '))) AS part FROM c JOIN lengths l ON l.k >= 2 AND l.k < c.k
+  ) GROUP BY lang, part
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN inside i ON i.lang = c.lang AND i.part = c.p WHERE i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * c.a::HUGEINT
+), cuts AS (
+  SELECT c.lang, c.k, c.p, c.a, j.k AS j, x.f AS l, y.f AS r, 2000000 * c.a::HUGEINT // (x.f + y.f) AS score
+  FROM kept c JOIN lengths j ON j.k < c.k
+  JOIN f x ON x.lang = c.lang AND x.k = j.k AND x.p = array_to_string(c.w[1:j.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - j.k AND y.p = array_to_string(c.w[j.k + 1:c.k], ' ')
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM lowest)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, p AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that it can express."""
-    return {"op1_ngram_jaccard_join": _OP1, "op5_chat_formatting": _OP5, "op8_exact_top_k": _OP8, "op10_warc": _OP10}
+    return {"op1_ngram_jaccard_join": _OP1, "op5_chat_formatting": _OP5, "op8_exact_top_k": _OP8, "op10_warc": _OP10, "op11_collocations": _OP11}
