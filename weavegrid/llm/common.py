@@ -178,3 +178,9 @@ def _are_stars(links: DataFrame) -> bool:
     ends = links.select(F.col("u").alias("node"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).union(links.select("v", F.lit(0), F.lit(1)))
     counts = ends.groupBy("node").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v"))
     return not counts.where("as_u > 1 or as_u = 1 and as_v = 1").limit(1).count()
+
+
+def one_row(kind: pa.DataType, values, mask: np.ndarray | None = None) -> pa.Array:
+    """``values`` as the array that one row holds; null where ``mask`` is true."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind, mask=mask)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)

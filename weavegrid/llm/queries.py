@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weavegrid.llm import chat_format, collocations, fingerprints, line_dedup, ngram_join, packing, secrets, sentencepieces, topk, toxicity, warc
+from weavegrid.llm import chat_format, collocations, fingerprints, line_dedup, ngram_join, packing, prefix_trie, secrets, sentencepieces, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +81,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.family_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_ngram_jaccard_join, op2_secret_scans, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_fingerprints, op7_best_fit_packing, op8_exact_top_k, op9_sentencepiece, op10_warc, op11_collocations)}
+    return {q.__name__: q for q in (op1_ngram_jaccard_join, op2_secret_scans, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_fingerprints, op7_best_fit_packing, op8_exact_top_k, op9_sentencepiece, op10_warc, op11_collocations, op12_prefix_trie)}
 
 
 _OP1 = r"""
@@ -173,7 +177,32 @@ SELECT r.lang, CAST(rank AS BIGINT) AS rank, p AS phrase, CAST(a AS BIGINT) AS a
 FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
 """
 
+_OP12 = """
+WITH own AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), s AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS t,
+    list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+      lambda crc, b: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, b)::BIGINT),
+      4294967295::BIGINT) AS crc
+  FROM own GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.t[1:xor(c.crc, 4294967295) % 6], []), c.t[xor(c.crc, 4294967295) % 6 + 1:]) AS t
+  FROM s c LEFT JOIN s b ON b.conv_id = c.conv_id - c.conv_id % 100
+), members AS (
+  SELECT conv_id, d, t[1:d] AS p, d = len(t) AS ends FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM rebuilt)
+), n AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY p, d
+), children AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+valued AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(n.p[d].text) END AS saved FROM n LEFT JOIN children c ON c.p = n.p
+), above AS (SELECT p[1:a] AS p, saved, n_children FROM (SELECT p, saved, n_children, unnest(range(d + 1)) AS a FROM valued)),
+sums AS (SELECT p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY p)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON s.p = v.p LEFT JOIN valued u ON v.d > 0 AND u.p = v.p[1:v.d - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that it can express."""
-    return {"op1_ngram_jaccard_join": _OP1, "op5_chat_formatting": _OP5, "op8_exact_top_k": _OP8, "op10_warc": _OP10, "op11_collocations": _OP11}
+    return {"op1_ngram_jaccard_join": _OP1, "op5_chat_formatting": _OP5, "op8_exact_top_k": _OP8, "op10_warc": _OP10, "op11_collocations": _OP11, "op12_prefix_trie": _OP12}
