@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weavegrid.llm import chat_format, collocations, fingerprints, line_dedup, ngram_join, packing, prefix_trie, secrets, sentencepieces, topk, toxicity, warc
+from weavegrid.llm import chat_format, collocations, fingerprints, line_dedup, near_vectors, ngram_join, packing, prefix_trie, secrets, sentencepieces, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +85,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.family_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_classes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_ngram_jaccard_join, op2_secret_scans, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_fingerprints, op7_best_fit_packing, op8_exact_top_k, op9_sentencepiece, op10_warc, op11_collocations, op12_prefix_trie)}
+    return {q.__name__: q for q in (op1_ngram_jaccard_join, op2_secret_scans, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_fingerprints, op7_best_fit_packing, op8_exact_top_k, op9_sentencepiece, op10_warc, op11_collocations, op12_prefix_trie, op13_near_vectors)}
 
 
 _OP1 = r"""
@@ -202,7 +206,22 @@ SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n
 FROM valued v JOIN sums s ON s.p = v.p LEFT JOIN valued u ON v.d > 0 AND u.p = v.p[1:v.d - 1]
 """
 
+_OP13 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), able AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.i, b.i AS j FROM able a JOIN able b ON a.i <> b.i AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT i, i AS j FROM v UNION SELECT r.i, p.j FROM reach r JOIN pairs p ON p.i = r.j
+), named AS (SELECT r.i, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.i = r.j GROUP BY r.i),
+linked AS (SELECT i, count(*) AS n FROM pairs GROUP BY i)
+SELECT v.vec_id, coalesce(l.n, 0) AS n_links, n.component_id, coalesce(v.vec_id = n.component_id, true) AS kept
+FROM v JOIN named n ON n.i = v.i LEFT JOIN linked l ON l.i = v.i
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that it can express."""
-    return {"op1_ngram_jaccard_join": _OP1, "op5_chat_formatting": _OP5, "op8_exact_top_k": _OP8, "op10_warc": _OP10, "op11_collocations": _OP11, "op12_prefix_trie": _OP12}
+    return {"op1_ngram_jaccard_join": _OP1, "op5_chat_formatting": _OP5, "op8_exact_top_k": _OP8, "op10_warc": _OP10, "op11_collocations": _OP11, "op12_prefix_trie": _OP12, "op13_near_vectors": _OP13}
