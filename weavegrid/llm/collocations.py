@@ -32,9 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weavegrid.llm.common import discard, few_rows_a_batch, ship, slices, stored
+from weavegrid.llm.common import discard, few_rows_a_batch, one_row, ship, slices, stored
 
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
+#: Lists whose keys one row holds.
+BLOCK_LISTS = 1 << 15
 CHUNK_BYTES = 1 << 20
 MIN_COUNT = 30
 LONGEST = 4
@@ -134,21 +136,35 @@ def _lists(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _packed(place: np.ndarray) -> bytes:
-    return np.diff(place, prepend=0).astype("<i4").tobytes()
+    """Steps from one position to the next in 16 bits, and those beyond them (and from one list to the next) after these."""
+    step = np.diff(place, prepend=0)
+    long = (step < 0) | (step >= 65535)
+    return np.int64(len(step)).tobytes() + np.where(long, 65535, step).astype("<u2").tobytes() + step[long].astype("<i4").tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<i4").astype(np.int64))
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    step = np.frombuffer(data, "<u2", n, 8).astype(np.int64)
+    step[step == 65535] = np.frombuffer(data, "<i4", -1, 8 + 2 * n)
+    return np.cumsum(step)
 
 
-def _whole(kind: pa.DataType, values) -> pa.Array:
-    """One row's array of ``values``."""
-    values = pa.array(values, kind) if not isinstance(values, pa.Array) else values
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+_ROWS = "shard long, first int, {}, n array<int>, sizes binary, places binary"
+_WORD_LISTS = _ROWS.format("lang array<string>, word array<string>")
+_PHRASE_LISTS = _ROWS.format("head array<long>, tail array<long>")
 
 
-_WORD_LISTS = "shard long, lang array<string>, word array<string>, n array<int>, places binary"
-_PHRASE_LISTS = "shard long, head array<long>, tail array<long>, n array<int>, places binary"
+def _rows(shard: int, keys: dict[str, pa.Array], n: np.ndarray, place: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A shard as rows: keys and lengths of its lists, in blocks, and one row with all the lists."""
+    names = ["shard", "first", *keys, "n", "sizes", "places"]
+    nothing = pa.nulls(1, pa.binary())
+    for at in range(0, len(n), BLOCK_LISTS):
+        part = [one_row(k.type, k.slice(at, BLOCK_LISTS)) for k in keys.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([at], pa.int32()), *part, one_row(pa.int32(), n[at : at + BLOCK_LISTS]), nothing, nothing], names=names)
+    if place is not None:
+        none = [pa.nulls(1, pa.list_(k.type)) for k in keys.values()]
+        packed = [pa.array([n.astype("<i4").tobytes()]), pa.array([_packed(place)])]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), *none, pa.nulls(1, pa.list_(pa.int32())), *packed], names=names)
 
 
 def _word_lists(shard_words: int):
@@ -159,20 +175,19 @@ def _word_lists(shard_words: int):
         own = task.partitionId() if task else 0
         numbers = iter(range(own << 12, own + 1 << 12))  # below 2 ** 32 for a million tasks of 4096 shards
 
-        def row(words: pa.Array, lang: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        def rows(words: pa.Array, lang: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             coded = words.dictionary_encode()
             keys, n, place = _lists(lang * len(coded.dictionary) + coded.indices.to_numpy(), place)
-            names = pa.array(list(langs), pa.string())
-            word, of = keys % len(coded.dictionary), keys // len(coded.dictionary)
-            columns = [pa.array([next(numbers)], pa.int64()), _whole(pa.string(), names.take(pa.array(of))), _whole(pa.string(), coded.dictionary.take(pa.array(word)))]
-            return pa.RecordBatch.from_arrays([*columns, _whole(pa.int32(), n), pa.array([_packed(place)])], names=["shard", "lang", "word", "n", "places"])
+            of, word = np.divmod(keys, len(coded.dictionary))
+            named = {"lang": pa.array(list(langs), pa.string()).take(pa.array(of)), "word": coded.dictionary.take(pa.array(word))}
+            yield from _rows(next(numbers), named, n, place)
 
         for part in slices(batches):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary())):
                 for shard in held.add(memoryview(text.as_buffer()).tobytes() if text.is_valid else b"", langs.setdefault(lang, len(langs))):
-                    yield row(*shard)
+                    yield from rows(*shard)
         if held.held:
-            yield row(*held.shard())
+            yield from rows(*held.shard())
 
     return run
 
@@ -183,7 +198,8 @@ def _extended(last: bool):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                n, kept, ids = (batch.column(c)[row].values.to_numpy() for c in ("n", "kept", "ids"))
+                n = np.frombuffer(batch.column("sizes")[row].as_py(), "<i4")
+                kept, ids = (batch.column(c)[row].values.to_numpy() for c in ("kept", "ids"))
                 place = _unpacked(batch.column("places")[row].as_py())
                 phrase = np.full(len(n), -1, np.int64)
                 phrase[kept] = np.arange(len(kept))
@@ -196,28 +212,29 @@ def _extended(last: bool):
                 both = follows >= 0
                 keys, n, place = _lists(phrase[both] * len(kept) + follows[both], place[both])
                 head, tail = np.divmod(keys, max(len(kept), 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("shard").slice(row, 1), _whole(pa.int64(), ids[head]), _whole(pa.int64(), ids[tail]), _whole(pa.int32(), n), pa.array([b"" if last else _packed(place)])],
-                    names=["shard", "head", "tail", "n", "places"],
-                )
+                yield from _rows(batch.column("shard")[row].as_py(), {"head": pa.array(ids[head]), "tail": pa.array(ids[tail])}, n, None if last else place)
 
     return run
 
 
 def _frequent(lists: DataFrame, key: list[str], min_count: int, name: str) -> DataFrame:
-    """shard, number, id, f, and the key of every list whose phrase is frequent; a phrase's id is the least (shard, number) of its lists."""
-    own = lists.select("shard", F.posexplode(F.arrays_zip(*key, "n")).alias("number", "list")).select("shard", "number", *[F.col(f"list.{c}").alias(c) for c in key], "list.n")
+    """shard, number, id and f of every list whose phrase is frequent, and the key of the first of a phrase; a phrase's id is the least (shard, number) of its lists."""
+    own = lists.where("places is null").select("shard", "first", F.posexplode(F.arrays_zip(*key, "n")).alias("at", "list"))
+    # a narrow row for each list of each shard: this is the widest shuffle
+    own = own.select("list.n", F.col(f"list.{key[0]}").alias(key[0]), (F.shiftleft("shard", 31) + F.col("first") + F.col("at")).alias("own"), F.col(f"list.{key[1]}").alias(key[1]))
     phrase = Window.partitionBy(*key)
-    own = own.withColumn("own", F.shiftleft("shard", 31) + F.col("number"))
-    own = own.withColumns({"f": F.sum(F.col("n").cast("long")).over(phrase), "id": F.min("own").over(phrase)})
-    return stored(own.where(F.col("f") >= min_count).select("shard", "number", "id", "f", *key, (F.col("own") == F.col("id")).alias("is_first")), name)
+    own = own.withColumns({"f": F.sum(F.col("n").cast("long")).over(phrase), "id": F.min("own").over(phrase)}).where(F.col("f") >= min_count)
+    first = F.col("own") == F.col("id")
+    columns = [F.shiftright("own", 31).alias("shard"), (F.col("own").bitwiseAND((1 << 31) - 1)).cast("int").alias("number"), "id", "f"]
+    return stored(own.select(*columns, *[F.when(first, F.col(c)).alias(c) for c in key], first.alias("is_first")), name, tidy=True)
 
 
 def _joined_lists(lists: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
     of_shard = frequent.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("number", "id"))).alias("own"))
     of_shard = of_shard.select("shard", F.col("own.number").alias("kept"), F.col("own.id").alias("ids"))
     with few_rows_a_batch(lists.sparkSession, 4):  # rows are of some megabytes
-        return stored(lists.select("shard", "n", "places").join(of_shard.hint("shuffle_merge"), "shard").mapInArrow(_extended(last), _PHRASE_LISTS), "phrase-lists")
+        whole = lists.where("places is not null").select("shard", "sizes", "places").join(of_shard.hint("merge"), "shard")
+        return stored(whole.mapInArrow(_extended(last), _PHRASE_LISTS), "phrase-lists", tidy=True)
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -226,10 +243,9 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     lists = stored(rows.mapInArrow(_word_lists(shard_words), _WORD_LISTS), "word-lists")
-    totals = lists.select(F.explode(F.arrays_zip("lang", "n")).alias("own")).groupBy("own.lang").agg(F.sum(F.col("own.n").cast("long")).alias("n"))
+    totals = lists.where("places is null").select(F.explode(F.arrays_zip("lang", "n")).alias("own")).groupBy("own.lang").agg(F.sum(F.col("own.n").cast("long")).alias("n"))
     totals = stored(totals, "words")
     frequent = _frequent(lists, ["lang", "word"], min_count, "frequent")
-    spent = [lists, frequent]
     none = F.array().cast("array<struct<k:int,id:bigint>>")
     found = stored(
         frequent.where("is_first").select(
@@ -239,9 +255,11 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     )
     levels = [found]
     for k in range(2, longest + 1):
+        spent = lists, frequent
         lists = _joined_lists(lists, frequent, k == longest)
+        for table in spent:
+            discard(table)
         frequent = _frequent(lists, ["head", "tail"], min_count, "frequent")
-        spent += [lists, frequent]
         head = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first_words"), "heads", F.col("inside").alias("in_head"))
         tail = levels[-1].select(F.col("id").alias("tail"), "last", "tails", F.col("inside").alias("in_tail"))
         parts = F.array(*[F.struct(F.lit(k - 1).alias("k"), F.col(c).alias("id")) for c in ("head", "tail")]) if k > 2 else none
@@ -262,9 +280,9 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
                 F.array_union(parts, F.array_union("in_head", "in_tail")).alias("inside"),
             )
         )
-        levels.append(stored(found, "phrases"))
-    for table in spent:
-        discard(table)
+        levels.append(stored(found, "phrases", tidy=True))
+    discard(lists)
+    discard(frequent)
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
