@@ -1,6 +1,6 @@
 """Consensus by frequency-weighted votes of similar records.
 
-votes: record_id, similarity, ids (array), frequency, total, pos (input order).
+votes: record_id, similarity, ids (array), frequency, total, pos (input order: a number, or a position of ``sources.tables``).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def vote_counts(votes: DataFrame) -> DataFrame:
 def consensus(votes: DataFrame) -> DataFrame:
     """record_id, consensus (most votes; of ties the first seen), votes."""
     counts = vote_counts(votes).where("similarity is null")
-    return counts.groupBy("record_id").agg(F.max_by("entry_id", F.struct("votes", -F.col("first_pos"))).alias("consensus"), F.max("votes").alias("votes"))
+    return counts.groupBy("record_id").agg(F.min_by("entry_id", F.struct(-F.col("votes"), F.col("first_pos"))).alias("consensus"), F.max("votes").alias("votes"))
 
 
 def top_per_similarity(votes: DataFrame, k: int = 3) -> DataFrame:

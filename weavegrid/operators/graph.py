@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from weavegrid.functions.config import GRAPH, RETRIEVAL
 from weavegrid.functions.scoring import abstraction_factor, choice
-from weavegrid.operators.sparse import kept, ranked, tfidf_relevance
+from weavegrid.operators.scratch import dropped, kept
+from weavegrid.operators.sparse import ranked, tfidf_relevance
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,14 +130,24 @@ def chain_progression(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return found.select("seed", "node", "level", F.concat(F.lit("consequence_depth_"), F.col("level")).alias("role"), (0.9 - 0.1 * (F.col("level") - 1)).alias("score"))
 
 
-def ancestor_chain(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """node, chain: first parents up to the top."""
-    parents = first_parents(edges)
-    rows = nodes.select(F.col("id").alias("node"), F.col("id").alias("at"), F.array().cast("array<string>").alias("chain"))
-    for _ in range(most):
-        step = parents.select(F.col("src").alias("at"), F.col("dst").alias("parent"))
-        rows = rows.join(step, "at", "left").select("node", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull() | F.array_contains("chain", F.col("parent")), F.col("chain")).otherwise(F.array_append("chain", F.col("parent"))).alias("chain"))
-    return rows.where(F.size("chain") > 0).select("node", "chain")
+def ancestor_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, chain: first parents up to the top, or up to the first that came before, however long that is.
+
+    Chains double: a node's first 2n ancestors are its first n and the n of the
+    last of them, so rounds are the logarithm of the longest chain. A chain in
+    which an ancestor repeats has gone round a cycle and ends before it.
+    """
+    first = first_parents(edges)
+    now = kept(first.select(F.col("src").alias("node"), F.array("dst").alias("chain"), F.col("dst").alias("at")))
+    while now.where("at is not null").limit(1).count():
+        further = now.select(F.col("node").alias("at"), F.col("chain").alias("more"), F.col("at").alias("further"))
+        going = now.where("at is not null").join(further, "at", "left")
+        whole = F.concat("chain", F.coalesce("more", F.array().cast("array<string>")))
+        going = going.select("node", F.array_distinct(whole).alias("chain"), F.when(F.size(F.array_distinct(whole)) == F.size(whole), F.col("further")).alias("at"))
+        after = kept(going.union(now.where("at is null")))
+        dropped(now)
+        now = after
+    return now.select("node", "chain").join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
 
 
 def abstraction_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,19 +164,21 @@ def groups_of(edges: DataFrame, relations=GRAPH.peer) -> DataFrame:
     """node, group: components over the relations, named by their smallest node.
 
     Smallest labels spread over the edges and jump to their label's label, so
-    rounds are about the logarithm of the longest path; each is checkpointed.
+    rounds are about the logarithm of the longest path; each is a stored table.
     """
-    moves = steps(edges, relations, "both").select("src", "dst").distinct()
-    moves = kept(moves)
+    moves = kept(steps(edges, relations, "both").select("src", "dst").distinct())
     labels = kept(moves.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         near = moves.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         least = kept(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = kept(least.join(jump, "label").select("node", F.col("further").alias("label"), "moved"))
-        if not labels.where("moved").limit(1).count():
-            return labels.select("node", F.col("label").alias("group"))
-        labels = labels.drop("moved")
+        after = kept(least.join(jump, "label").select("node", F.col("further").alias("label"), "moved"))
+        dropped(labels, least)
+        if not after.where("moved").limit(1).count():
+            dropped(moves)
+            return after.select("node", F.col("label").alias("group"))
+        labels = after.drop("moved")
+        labels.kept_at = after.kept_at
 
 
 def combined(strategies: DataFrame, nodes: DataFrame, k: int = RETRIEVAL.k) -> DataFrame:
@@ -274,9 +287,9 @@ def betweenness(edges: DataFrame, most_edges: int = 2_000_000, sources_at_once:
 
 
 def _shares_by_joins(pairs: DataFrame, everyone: DataFrame, rounds: int) -> DataFrame:
-    """node, part: Brandes' accumulation with a table (source, node, paths) for each level of a round's sources."""
+    """node, part: Brandes' accumulation with a table (source, node, paths) for each level of a round's sources; a round's sums join the stored total, and its tables go."""
     pairs = kept(pairs.select(F.col("src").alias("node"), F.col("dst").alias("next")))
-    parts = []
+    total = None
     for i in range(rounds):
         starts = everyone.where(F.pmod(F.xxhash64("node"), F.lit(rounds)) == i)
         levels = [kept(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
@@ -285,19 +298,26 @@ def _shares_by_joins(pairs: DataFrame, everyone: DataFrame, rounds: int) -> Data
             reached = levels[-1].join(pairs, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
             level = kept(reached.join(seen, ["source", "node"], "left_anti"))
             if not level.limit(1).count():
+                dropped(level)
                 break
             levels.append(level)
             seen = seen.union(level.select("source", "node"))
         shares = levels[-1].withColumn("share", F.lit(0.0))
         done = [shares] if len(levels) > 1 else []
+        spent = list(levels)
         for level in reversed(levels[1:-1]):
             after = shares.select("source", F.col("node").alias("next"), ((1 + F.col("share")) / F.col("paths")).alias("each"))
             owed = level.join(pairs, "node").join(after, ["source", "next"]).groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("each")).alias("share"))
             shares = kept(level.join(owed, ["source", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
             done.append(shares)
-        if done:
-            parts.append(kept(reduce(DataFrame.union, done).groupBy("node").agg(F.sum("share").alias("part"))))
-    return reduce(DataFrame.union, parts)
+            spent.append(shares)
+        parts = [d.select("node", F.col("share").alias("part")) for d in done] + ([] if total is None else [total])
+        if parts:
+            before, total = total, kept(reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("part").alias("part")))
+            dropped(*([before] if before is not None else []))
+        dropped(*spent)
+    dropped(pairs)
+    return total if total is not None else everyone.select("node", F.lit(0.0).alias("part"))
 
 
 def _shares_by_task(pairs: DataFrame) -> DataFrame:

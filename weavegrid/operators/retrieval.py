@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weavegrid.functions.config import RETRIEVAL
 from weavegrid.functions.scoring import normalized
 from weavegrid.functions.text import ids_in
 from weavegrid.operators import dense, fusion, graph, sparse
+from weavegrid.operators.scratch import kept
 
 
 def node_text(nodes: DataFrame) -> DataFrame:
@@ -19,12 +21,25 @@ def node_text(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("doc_id"), F.concat_ws(" ", *parts).alias("text"))
 
 
-def keyword_matches(nodes: DataFrame, queries: DataFrame, floor: float = 0.3, k: int = 20) -> DataFrame:
-    """query_id, node, score, rank: BM25 over the nodes' texts, as a share of the query's best, from ``floor`` on."""
-    scores = sparse.bm25_scores(node_text(nodes), queries).where("score > 0")
+def node_postings(nodes: DataFrame) -> DataFrame:
+    """``sparse.postings`` of the nodes' texts, for several searches over the same nodes."""
+    return sparse.postings(node_text(nodes))
+
+
+def keyword_matches(nodes: DataFrame, queries: DataFrame, floor: float = 0.3, k: int = 20, held: DataFrame | None = None) -> DataFrame:
+    """query_id, node, score, rank: BM25 over the nodes' texts, as a share of the query's best, from ``floor`` on.
+
+    Queries whose words no node has look for nodes that hold them as they
+    stand, at score 1. held: ``node_postings``, where they are there already.
+    """
+    scores = sparse.bm25_scores(node_postings(nodes) if held is None else held, queries).where("score > 0")
     best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
     shares = scores.join(best, "query_id").select("query_id", F.col("doc_id").alias("node"), F.least(F.col("score") / F.col("best"), F.lit(1.0)).alias("score"))
-    return sparse.ranked(shares.where(F.col("score") > floor), k, entry="node")
+    found = kept(sparse.ranked(shares.where(F.col("score") > floor), k, entry="node"))
+    rest = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "text")
+    if rest.limit(1).count():
+        found = found.unionByName(sparse.ranked(substrings(rest, nodes), k, entry="node").select(found.columns))
+    return found
 
 
 def mentioned(queries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,18 +54,23 @@ def phrase_queries(queries: DataFrame) -> DataFrame:
     return rows.select(F.struct(F.col("query_id").alias("query"), F.col("text").alias("phrase")).alias("query_id"), "text")
 
 
-def starting_nodes(queries: DataFrame, nodes: DataFrame, floor: float = 0.5, k: int = 5) -> DataFrame:
-    """query_id, node: ids in the query, best matches of each phrase, and, for queries with neither, of the whole text."""
+def starting_nodes(queries: DataFrame, nodes: DataFrame, floor: float = 0.5, k: int = 5, held: DataFrame | None = None) -> DataFrame:
+    """query_id, node: ids in the query, best matches of each phrase, and, for queries with neither, of the whole text.
+
+    A phrase or text whose words no node has goes by the nodes that hold it as it stands.
+    """
     named = mentioned(queries, nodes)
-    by_phrase = keyword_matches(nodes, phrase_queries(queries), floor, k).select(F.col("query_id.query").alias("query_id"), "node")
-    found = named.union(by_phrase).distinct()
+    by_phrase = keyword_matches(nodes, phrase_queries(queries), floor, k, held).select(F.col("query_id.query").alias("query_id"), "node")
+    found = kept(named.union(by_phrase).distinct())
     rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "text")
-    return found.union(keyword_matches(nodes, rest, floor, 2 * k).select("query_id", "node"))
+    if rest.limit(1).count():
+        found = found.union(keyword_matches(nodes, rest, floor, 2 * k, held).select("query_id", "node"))
+    return found
 
 
-def chain_seeds(queries: DataFrame, nodes: DataFrame, floor: float = 0.4, k: int = 5) -> DataFrame:
+def chain_seeds(queries: DataFrame, nodes: DataFrame, floor: float = 0.4, k: int = 5, held: DataFrame | None = None) -> DataFrame:
     """query_id, node, score of nodes where chains start: the best phrase match, less a fifth."""
-    rows = keyword_matches(nodes, phrase_queries(queries), floor, k)
+    rows = keyword_matches(nodes, phrase_queries(queries), floor, k, held)
     return rows.groupBy(F.col("query_id.query").alias("query_id"), "node").agg((F.max("score") * 0.8).alias("score"))
 
 
@@ -61,13 +81,17 @@ def seeds_of_hits(hits: DataFrame, k: int = RETRIEVAL.seeds_each) -> DataFrame:
     return first("dense").union(first("sparse")).distinct()
 
 
+def substrings(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, node, score 1 of nodes whose text holds the whole query, by the index of trigrams."""
+    return sparse.phrase_matches(node_text(nodes), queries).select("query_id", F.col("doc_id").alias("node"), F.lit(1.0).alias("score"))
+
+
 def substring_fallback(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """query_id, node, score 1 of nodes that hold the whole query, for use without vectors."""
-    rows = sparse.phrase_matches(node_text(nodes), queries).select("query_id", F.col("doc_id").alias("node"), F.lit(1.0).alias("score"))
-    return sparse.ranked(rows, 2 * k, entry="node")
+    """query_id, node, score 1, rank of nodes that hold the whole query, for use without vectors."""
+    return sparse.ranked(substrings(queries, nodes), 2 * k, entry="node")
 
 
-def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k, queries: DataFrame | None = None) -> DataFrame:
+def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k, queries: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """query_id, node, score of all nine strategies over seeds (query_id, node), combined.
 
     queries (query_id, text, and phrases where they are known) are needed for
@@ -87,26 +111,67 @@ def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RE
         named(own.join(rich, "node").select("seed", "node", "score"), "relationship_richness"),
     ]
     if queries is not None:
-        strategies.append(named(keyword_matches(nodes, queries.select("query_id", "text")).withColumnRenamed("query_id", "seed"), "keyword_match"))
+        strategies.append(named(keyword_matches(nodes, queries.select("query_id", "text"), held=held).withColumnRenamed("query_id", "seed"), "keyword_match"))
         if "phrases" in queries.columns:
-            strategies.append(named(chain_seeds(queries, nodes).withColumnRenamed("query_id", "seed"), "chain_starting_point"))
+            strategies.append(named(chain_seeds(queries, nodes, held=held).withColumnRenamed("query_id", "seed"), "chain_starting_point"))
     return graph.combined(reduce(DataFrame.union, strategies), nodes, k)
 
 
-def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k) -> DataFrame:
-    """Long hits (query_id, entry_id, retriever, score) of all retrievers, the graph seeded by the others.
+class Outcomes:
+    """What each retriever of a search gave: stored hits, or a typed empty table and the error."""
+
+    def __init__(self, spark: SparkSession, query_kind: str):
+        self.spark, self.schema = spark, f"query_id {query_kind}, entry_id string, retriever string, score double"
+        self.hits: dict[str, DataFrame] = {}
+        self.failed: list[tuple[str, str, str]] = []
 
-    docs: doc_id (the entry), text; vectors: vec_id (the entry), embedding.
+    def run(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
+        """Plan and run a retriever by itself; what fails, in its plan or its tasks, fails alone."""
+        empty = self.spark.createDataFrame([], self.schema)
+        try:
+            rows = plan()
+            rows = rows.select("query_id", F.col(rows.columns[1]).cast("string").alias("entry_id"), F.lit(name).alias("retriever"), F.col("score").cast("double").alias("score"))
+            self.hits[name] = kept(rows)
+        except Exception as e:  # noqa: BLE001
+            self.failed.append((name, type(e).__name__, str(e)[:500]))
+            self.hits[name] = empty
+        return self.hits[name]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.hits.values())
+
+    def errors(self) -> DataFrame:
+        """retriever, kind, message of each that failed."""
+        return self.spark.createDataFrame(self.failed, "retriever string, kind string, message string")
+
+
+def searched(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k) -> Outcomes:
+    """All retrievers, the graph last and seeded by the others, each run and stored by itself.
+
+    docs: doc_id (the entry), text; vectors: vec_id (the entry), embedding;
+    queries: query_id, text, and phrases where they are known, by which the
+    sparse retriever fans out.
     """
-    found = sparse.bm25_topk(docs, queries.select("query_id", "text"), 2 * k).select("query_id", F.col("doc_id").cast("string").alias("entry_id"), F.lit("sparse").alias("retriever"), "score")
+    out = Outcomes(queries.sparkSession, dict(queries.dtypes)["query_id"])
+    has_phrases = "phrases" in queries.columns
+    sparse_hits = (lambda: sparse.boosted_search(docs, queries, 2 * k)) if has_phrases else (lambda: sparse.bm25_topk(docs, queries.select("query_id", "text"), 2 * k))
+    out.run("sparse", lambda: sparse_hits().select("query_id", "doc_id", "score"))
     if vectors is not None:
-        near = dense.near_zero_dropped(dense.topk(vectors, query_vectors, 2 * k))
-        found = found.union(near.select("query_id", F.col("vec_id").cast("string"), F.lit("dense"), "score"))
-    # most strategies read the seeds, so what leads to them is computed once
-    found = graph.kept(found)
-    named = starting_nodes(queries, nodes) if "phrases" in queries.columns else mentioned(queries, nodes)
-    seeds = graph.kept(seeds_of_hits(found).withColumnRenamed("entry_id", "node").union(named).distinct())
-    return found.union(graph_hits(seeds, nodes, edges, 2 * k, queries).select("query_id", "node", F.lit("graph"), "score"))
+        out.run("dense", lambda: dense.near_zero_dropped(dense.topk(vectors, query_vectors, 2 * k)).select("query_id", "vec_id", "score"))
+
+    def by_graph() -> DataFrame:
+        held = node_postings(nodes)  # of four searches
+        named = starting_nodes(queries, nodes, held=held) if has_phrases else mentioned(queries, nodes)
+        seeds = kept(seeds_of_hits(out.all()).withColumnRenamed("entry_id", "node").union(named).distinct())
+        return graph_hits(seeds, nodes, kept(edges), 2 * k, queries, held).select("query_id", "node", "score")
+
+    out.run("graph", by_graph)
+    return out
+
+
+def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k) -> DataFrame:
+    """Long hits (query_id, entry_id, retriever, score) of all retrievers that didn't fail, as ``searched``."""
+    return searched(queries, docs, vectors, query_vectors, nodes, edges, k).all()
 
 
 def metadata(docs: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -89,8 +89,8 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT term, df, round(raw_idf, 6) AS raw_idf, round(idf, 6) AS idf FROM idf")
 def bm25_idf_floor(spark, sf_dir):
-    docs = sparse.tokenized(st.table(spark, sf_dir, "documents"))
-    return sparse.idf(sparse.document_frequencies(docs), sparse.corpus_size(docs)).select("term", "df", r6("raw_idf").alias("raw_idf"), r6("idf").alias("idf"))
+    held = sparse.postings(st.table(spark, sf_dir, "documents"))
+    return sparse.idf(sparse.document_frequencies(held), sparse.corpus_size(held)).select("term", "df", r6("raw_idf").alias("raw_idf"), r6("idf").alias("idf"))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -274,7 +274,7 @@ def chain_progression(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {GRAPH_SQL}, {_PARENTS}, up AS (SELECT id AS node, id AS spot, '' AS chain, 0 AS n FROM nodes UNION ALL SELECT node, dst, chain || CASE WHEN n > 0 THEN ',' ELSE '' END || dst, n + 1 FROM up JOIN parents ON src = spot WHERE n < 10)
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_PARENTS}, up AS (SELECT id AS node, id AS spot, '' AS chain, 0 AS n FROM nodes UNION ALL SELECT node, dst, chain || CASE WHEN n > 0 THEN ',' ELSE '' END || dst, n + 1 FROM up JOIN parents ON src = spot WHERE NOT contains(',' || chain || ',', ',' || dst || ','))
 SELECT node, arg_max(chain, n) AS chain FROM up WHERE n > 0 GROUP BY node"""
 )
 def ancestor_chain(spark, sf_dir):

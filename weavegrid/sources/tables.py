@@ -8,6 +8,16 @@ from pyspark.sql import types as T
 
 from weavegrid.functions.text import canonical_id, record_id_in
 
+def position():
+    """Where a row stands in the input: its file, the start of its split, and its place among the rows of that.
+
+    Orders rows as their files do, by name of the file, however Spark splits
+    and packs them; to be selected where the file is read. A place alone counts
+    over all splits of a task and would follow their packing.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+
+
 _PAIR = "array<struct<Reference:string,Description:string>>"
 #: Fields that may come as text, list or object are read as text and put in order afterwards.
 ENTRY_SCHEMA = f"""
@@ -94,7 +104,7 @@ SIMILARITY_SCHEMA = "record_id string, similarity int, ids string, total int, fr
 def read_similarity(spark: SparkSession, path: str) -> DataFrame:
     """Votes of similar records from a headless CSV (gzip too); a list that can't be read is empty."""
     rows = spark.read.schema(SIMILARITY_SCHEMA).csv(path, mode="PERMISSIVE")
-    rows = rows.withColumn("pos", F.monotonically_increasing_id())
+    rows = rows.select("*", position().alias("pos"))
     quoted = F.regexp_extract_all("ids", F.lit("""["']([^"']+)["']"""), F.lit(1))
     return rows.withColumn("ids", F.when(F.trim("ids").rlike(r"^\[.*\]$"), quoted).otherwise(F.array().cast("array<string>")))
 
@@ -119,7 +129,7 @@ USAGE_SCHEMA = "cve_id string, stage string, timestamp string, input_length int,
 
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(USAGE_SCHEMA).csv(path, header=True).withColumnRenamed("cve_id", "record_id").withColumn("pos", F.monotonically_increasing_id())
+    return spark.read.schema(USAGE_SCHEMA).csv(path, header=True).select("*", position().alias("pos")).withColumnRenamed("cve_id", "record_id")
 
 
 def read_results(spark: SparkSession, path: str, value: str) -> DataFrame:
