@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weavegrid.llm.common import discard, few_rows_a_batch, one_row, ship, slices, stored
 
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Lists whose keys one row holds.
 BLOCK_LISTS = 1 << 15
 CHUNK_BYTES = 1 << 20
@@ -232,7 +232,7 @@ def _frequent(lists: DataFrame, key: list[str], min_count: int, name: str) -> Da
 def _joined_lists(lists: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
     of_shard = frequent.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("number", "id"))).alias("own"))
     of_shard = of_shard.select("shard", F.col("own.number").alias("kept"), F.col("own.id").alias("ids"))
-    with few_rows_a_batch(lists.sparkSession, 4):  # rows are of some megabytes
+    with few_rows_a_batch(lists.sparkSession, 1):  # a row is a shard
         whole = lists.where("places is not null").select("shard", "sizes", "places").join(of_shard.hint("merge"), "shard")
         return stored(whole.mapInArrow(_extended(last), _PHRASE_LISTS), "phrase-lists", tidy=True)
 
