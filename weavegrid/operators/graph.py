@@ -79,6 +79,24 @@ def bfs(moves: DataFrame, seeds: DataFrame, depth: int, weight: Column | None =
     return seen if keep_seeds else seen.where("level > 0")
 
 
+def walks(moves: DataFrame, seeds: DataFrame, depths: dict[str, int]) -> DataFrame:
+    """kind, seed, node, level, weight: ``bfs`` of several kinds of moves at once, each to its own depth; seeds stand at level 0.
+
+    moves: kind, src, dst, w; seeds: kind, seed, node. One join and one stored
+    frontier a level, whatever the number of kinds.
+    """
+    moves = kept(moves.groupBy("kind", "src", "dst").agg(F.max("w").alias("w")))
+    most = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1]), list(depths.items())[1:], F.when(F.col("kind") == next(iter(depths)), next(iter(depths.values()))))
+    levels = [kept(seeds.select("kind", "seed", "node").distinct().withColumns({"level": F.lit(0), "weight": F.lit(1.0)}))]
+    for level in range(1, max(depths.values()) + 1):
+        seen = reduce(DataFrame.union, [x.select("kind", "seed", "node") for x in levels])
+        going = levels[-1].where(most >= level).select("kind", "seed", F.col("node").alias("src"))
+        reached = going.join(moves, ["kind", "src"]).groupBy("kind", "seed", F.col("dst").alias("node")).agg(F.max("w").alias("weight"))
+        levels.append(kept(reached.join(seen, ["kind", "seed", "node"], "left_anti").select("kind", "seed", "node", F.lit(level).alias("level"), "weight")))
+    dropped(moves)
+    return reduce(DataFrame.union, levels)
+
+
 def explicit_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, score: what relations lead to from mentioned entries, three hops in either direction, stronger relations and nearer nodes first."""
     found = bfs(steps(edges, way="both"), seeds, 3, choice(F.col("rel_type"), GRAPH.edge_weights))

@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weavegrid.functions.config import RETRIEVAL
-from weavegrid.functions.scoring import normalized
+from weavegrid.functions.config import GRAPH, RETRIEVAL
+from weavegrid.functions.scoring import choice, normalized
 from weavegrid.functions.text import ids_in
 from weavegrid.operators import dense, fusion, graph, sparse
-from weavegrid.operators.scratch import kept
+from weavegrid.operators.scratch import dropped, kept
 
 
 def node_text(nodes: DataFrame) -> DataFrame:
@@ -54,24 +54,39 @@ def phrase_queries(queries: DataFrame) -> DataFrame:
     return rows.select(F.struct(F.col("query_id").alias("query"), F.col("text").alias("phrase")).alias("query_id"), "text")
 
 
-def starting_nodes(queries: DataFrame, nodes: DataFrame, floor: float = 0.5, k: int = 5, held: DataFrame | None = None) -> DataFrame:
+def all_matches(nodes: DataFrame, queries: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Stored ``keyword_matches`` of every query's text (phrase null) and of each of its phrases, in one pass; query_id is a struct of query and phrase."""
+    whole = queries.select(F.struct(F.col("query_id").alias("query"), F.lit(None).cast("string").alias("phrase")).alias("query_id"), "text")
+    asked = whole.union(phrase_queries(queries)) if "phrases" in queries.columns else whole
+    return kept(keyword_matches(nodes, asked, held=held))
+
+
+def _of_text(matches: DataFrame, floor: float, k: int) -> DataFrame:
+    rows = matches.where(F.col("query_id.phrase").isNull() & (F.col("score") > floor) & (F.col("rank") <= k))
+    return rows.select(F.col("query_id.query").alias("query_id"), "node", "score")
+
+
+def _of_phrases(matches: DataFrame, floor: float, k: int) -> DataFrame:
+    rows = matches.where(F.col("query_id.phrase").isNotNull() & (F.col("score") > floor) & (F.col("rank") <= k))
+    return rows.groupBy(F.col("query_id.query").alias("query_id"), "node").agg(F.max("score").alias("score"))
+
+
+def starting_nodes(queries: DataFrame, nodes: DataFrame, floor: float = 0.5, k: int = 5, matches: DataFrame | None = None) -> DataFrame:
     """query_id, node: ids in the query, best matches of each phrase, and, for queries with neither, of the whole text.
 
-    A phrase or text whose words no node has goes by the nodes that hold it as it stands.
+    A phrase or text whose words no node has goes by the nodes that hold it as
+    it stands. matches: ``all_matches``, where they are there already.
     """
-    named = mentioned(queries, nodes)
-    by_phrase = keyword_matches(nodes, phrase_queries(queries), floor, k, held).select(F.col("query_id.query").alias("query_id"), "node")
-    found = kept(named.union(by_phrase).distinct())
-    rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "text")
-    if rest.limit(1).count():
-        found = found.union(keyword_matches(nodes, rest, floor, 2 * k, held).select("query_id", "node"))
-    return found
+    matches = all_matches(nodes, queries) if matches is None else matches
+    found = mentioned(queries, nodes).union(_of_phrases(matches, floor, k).select("query_id", "node")).distinct()
+    rest = _of_text(matches, floor, 2 * k).select("query_id", "node").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.union(rest)
 
 
-def chain_seeds(queries: DataFrame, nodes: DataFrame, floor: float = 0.4, k: int = 5, held: DataFrame | None = None) -> DataFrame:
+def chain_seeds(queries: DataFrame, nodes: DataFrame, floor: float = 0.4, k: int = 5, matches: DataFrame | None = None) -> DataFrame:
     """query_id, node, score of nodes where chains start: the best phrase match, less a fifth."""
-    rows = keyword_matches(nodes, phrase_queries(queries), floor, k, held)
-    return rows.groupBy(F.col("query_id.query").alias("query_id"), "node").agg((F.max("score") * 0.8).alias("score"))
+    matches = all_matches(nodes, queries) if matches is None else matches
+    return _of_phrases(matches, floor, k).withColumn("score", F.col("score") * 0.8)
 
 
 def seeds_of_hits(hits: DataFrame, k: int = RETRIEVAL.seeds_each) -> DataFrame:
@@ -91,29 +106,55 @@ def substring_fallback(queries: DataFrame, nodes: DataFrame, k: int) -> DataFram
     return sparse.ranked(substrings(queries, nodes), 2 * k, entry="node")
 
 
-def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k, queries: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = RETRIEVAL.k, queries: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
     """query_id, node, score of all nine strategies over seeds (query_id, node), combined.
 
-    queries (query_id, text, and phrases where they are known) are needed for
-    keyword matches and starting points of chains.
+    The strategies that walk go together, one frontier a level. queries
+    (query_id, text, and phrases where they are known) are needed for keyword
+    matches and starting points of chains; matches: their ``all_matches``.
     """
     own = seeds.select(F.col("query_id").alias("seed"), "node")
-    named = lambda rows, name: rows.select(F.col("seed").alias("query_id"), "node", F.lit(name).alias("strategy"), F.col("score").cast("double").alias("score"))
+    typed = own.join(nodes.select(F.col("id").alias("node"), F.lower("type").alias("type")), "node").select("seed", "node", "type")
+    one = F.lit(1.0)
+    way = lambda relations, where, w=one: graph.steps(edges, relations, where).select("src", "dst", w.alias("w"))
+    forward = F.when(F.col("rel_type").isin(*GRAPH.forward), 1.0).otherwise(0.9)
+    # kind: moves, depth, seeds
+    kinds = {
+        "chain": (way(None, "both", choice(F.col("rel_type"), GRAPH.edge_weights)), 3, own),
+        "forward": (way(GRAPH.sequence, "out", forward), 3, own),
+        "backward": (way(GRAPH.forward, "in"), 3, own),
+        "peers": (way(GRAPH.peer, "both"), 2, own),
+        "progression": (way(GRAPH.forward, "out"), 3, own),
+        "up": (graph.first_parents(edges).withColumn("w", one), 3, typed.where("type in ('variant', 'base')")),
+        "down": (way(("CHILDOF",), "in"), 2, typed.where("type in ('class', 'pillar', 'base')")),
+    }
+    labelled = lambda rows, kind, *columns: rows.select(F.lit(kind).alias("kind"), *columns)
+    moves = reduce(DataFrame.union, [labelled(m, kind, "src", "dst", "w") for kind, (m, _, _) in kinds.items()])
+    starts = reduce(DataFrame.union, [labelled(s, kind, "seed", "node") for kind, (_, _, s) in kinds.items()])
+    found = graph.walks(moves, starts, {kind: depth for kind, (_, depth, _) in kinds.items()})
+    named = lambda rows, name, score: rows.select(F.col("seed").alias("query_id"), "node", F.lit(name).alias("strategy"), score.cast("double").alias("score"))
+    level, weight = F.col("level"), F.col("weight")
+    fading = lambda x: F.pow(F.lit(x), level - 1)
+    of = lambda kind: found.where((F.col("kind") == kind) & (level > 0))
     rich = graph.richness(edges).select(F.col("id").alias("node"), "score").where("score > 0")
+    down = found.where("kind = 'down'").join(nodes.select(F.col("id").alias("node"), F.lower("type").alias("type")), "node")
     strategies = [
-        named(own.withColumn("score", F.lit(1.0)), "explicit_mention"),
-        named(graph.explicit_seeds(edges, own), "relationship_chain"),
-        named(graph.sequence_forward(edges, own).unionByName(graph.sequence_backward(edges, own)), "sequence_path"),
-        named(graph.peers(edges, own), "peer_group"),
-        named(graph.chain_progression(edges, own), "vulnerability_chain"),
-        named(own.join(graph.abstraction_up(nodes, edges, of=own), "node").select("seed", F.col("ancestor").alias("node"), "score"), "abstraction_path"),
-        named(own.join(graph.abstraction_down(nodes, edges, of=own), "node").select("seed", F.col("descendant").alias("node"), "score"), "abstraction_path"),
-        named(own.join(rich, "node").select("seed", "node", "score"), "relationship_richness"),
+        named(own, "explicit_mention", one),
+        named(of("chain"), "relationship_chain", weight * F.greatest(F.lit(0.5), 1 - 0.2 * (level - 1))),
+        named(of("forward"), "sequence_path", weight * fading(0.8)),
+        named(of("backward"), "sequence_path", fading(0.8)),
+        named(of("peers"), "peer_group", 0.9 * fading(0.7)),
+        named(of("progression"), "vulnerability_chain", 0.9 - 0.1 * (level - 1)),
+        named(of("up"), "abstraction_path", 0.8 * F.pow(F.lit(0.7), level)),
+        named(down, "abstraction_path", choice(F.col("type"), {"base": 0.9, "variant": 0.95}, 0.7) * F.pow(F.lit(0.8), level)),
+        named(own.join(rich, "node"), "relationship_richness", F.col("score")),
     ]
     if queries is not None:
-        strategies.append(named(keyword_matches(nodes, queries.select("query_id", "text"), held=held).withColumnRenamed("query_id", "seed"), "keyword_match"))
+        matches = all_matches(nodes, queries) if matches is None else matches
+        score = F.col("score")
+        strategies.append(named(_of_text(matches, 0.3, 20).withColumnRenamed("query_id", "seed"), "keyword_match", score))
         if "phrases" in queries.columns:
-            strategies.append(named(chain_seeds(queries, nodes, held=held).withColumnRenamed("query_id", "seed"), "chain_starting_point"))
+            strategies.append(named(chain_seeds(queries, nodes, matches=matches).withColumnRenamed("query_id", "seed"), "chain_starting_point", score))
     return graph.combined(reduce(DataFrame.union, strategies), nodes, k)
 
 
@@ -160,10 +201,12 @@ def searched(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, que
         out.run("dense", lambda: dense.near_zero_dropped(dense.topk(vectors, query_vectors, 2 * k)).select("query_id", "vec_id", "score"))
 
     def by_graph() -> DataFrame:
-        held = node_postings(nodes)  # of four searches
-        named = starting_nodes(queries, nodes, held=held) if has_phrases else mentioned(queries, nodes)
+        held = node_postings(nodes)
+        matches = all_matches(nodes, queries, held)
+        dropped(held)
+        named = starting_nodes(queries, nodes, matches=matches) if has_phrases else mentioned(queries, nodes)
         seeds = kept(seeds_of_hits(out.all()).withColumnRenamed("entry_id", "node").union(named).distinct())
-        return graph_hits(seeds, nodes, kept(edges), 2 * k, queries, held).select("query_id", "node", "score")
+        return graph_hits(seeds, nodes, kept(edges), 2 * k, queries, matches).select("query_id", "node", "score")
 
     out.run("graph", by_graph)
     return out

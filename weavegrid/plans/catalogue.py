@@ -68,12 +68,12 @@ idf AS (SELECT term, df, raw_idf, CASE WHEN raw_idf < 0 THEN 0.25::DOUBLE * mean
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS dl, unnest(words) AS term FROM held) GROUP BY doc_id, dl, term)"""
 
 
-def _bm25_sql(asked: str) -> str:
+def _bm25_sql(asked: str, digits: int = 6) -> str:
     """CTEs up to scores of queries ``asked`` (query_id, text)."""
     return f"""{_BM25}, asked AS ({asked}),
 qtf AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS}) AS term FROM asked) GROUP BY query_id, term),
 scores AS (
-  SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+  SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), {digits}) AS score
   FROM qtf JOIN idf USING (term) JOIN tf USING (term), size GROUP BY query_id, doc_id
 )"""
 
@@ -815,7 +815,83 @@ def retriever_metadata(spark, sf_dir):
     return retrieval.metadata(st.table(spark, sf_dir, "documents"), st.table(spark, sf_dir, "embeddings"), st.nodes(spark, sf_dir), st.hierarchy(spark, sf_dir))
 
 
-@query(None)
+def _walk_sql(name: str, seeds: str, moves: str, depth: int) -> str:
+    """CTEs up to ``name`` (seed, node, level, weight): least levels from seeds (seed, node) over moves (src, dst, w)."""
+    return f"""{name}_moves AS (SELECT src, dst, max(w) AS w FROM ({moves}) GROUP BY src, dst),
+{name}_walk AS (SELECT seed, node, 0 AS level FROM {seeds} UNION SELECT seed, dst, level + 1 FROM {name}_walk JOIN {name}_moves ON src = node WHERE level < {depth}),
+{name}_levels AS (SELECT seed, node, min(level) AS level FROM {name}_walk GROUP BY seed, node),
+{name} AS (
+  SELECT l.seed, l.node, l.level, max(m.w) AS weight FROM {name}_levels l JOIN {name}_moves m ON m.dst = l.node JOIN {name}_levels p ON p.seed = l.seed AND p.node = m.src AND p.level = l.level - 1
+  GROUP BY l.seed, l.node, l.level
+)"""
+
+
+_EDGE_WEIGHT = "CASE rel_type WHEN 'CHILDOF' THEN 0.3::DOUBLE WHEN 'PEEROF' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END"
+_ABSTRACTION = "CASE {} WHEN 'Base' THEN 1.3::DOUBLE WHEN 'Variant' THEN 1.2::DOUBLE WHEN 'Class' THEN 0.8::DOUBLE WHEN 'Pillar' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END"
+_ONE_WAY = "SELECT src, dst, 1.0::DOUBLE AS w FROM edges WHERE rel_type = 'CANPRECEDE'"
+
+_HYBRID_SQL = f"""WITH RECURSIVE {ALL_EDGES_SQL},
+{_bm25_sql("SELECT n_nationkey || '|base' AS query_id, n_name AS text FROM nation UNION ALL SELECT n_nationkey || '|weakness', n_name || ' ' || n_name FROM nation", 12).replace('FROM documents', 'FROM (SELECT id AS doc_id, name AS text FROM nodes)')},
+named_scores AS (SELECT split_part(query_id, '|', 1)::BIGINT AS query_id, split_part(query_id, '|', 2) AS source, doc_id AS node, score FROM scores),
+first_sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 6) DESC, node) AS n FROM named_scores),
+boosted AS (
+  SELECT query_id, node, round(max(round(score, 6)) * (1 + CASE WHEN bool_or(source = 'weakness') THEN 1.8::DOUBLE ELSE 0 END), 6) AS score
+  FROM first_sparse WHERE n <= CASE source WHEN 'base' THEN 40 ELSE 20 END GROUP BY query_id, node
+), sparse_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS n FROM boosted) WHERE n <= 10),
+cosines AS (
+  SELECT q.n_nationkey::BIGINT AS query_id, 'C' || v.vec_id AS node, list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS score
+  FROM nation q JOIN embeddings a ON a.vec_id = q.n_nationkey CROSS JOIN embeddings v
+), dense_hits AS (
+  SELECT query_id, node, score, n FROM (SELECT query_id, node, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, node) AS n FROM cosines WHERE score >= 0.3) WHERE n <= 10
+), best AS (SELECT query_id, max(score) AS best FROM named_scores WHERE source = 'base' GROUP BY query_id),
+shares AS (SELECT query_id, node, round(least(score / best, 1.0), 6) AS score, score / best AS share FROM named_scores JOIN best USING (query_id) WHERE source = 'base' AND score > 0),
+places AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS n FROM shares),
+own AS (
+  SELECT query_id AS seed, node FROM places WHERE share > 0.5 AND n <= 5 UNION SELECT query_id, node FROM dense_hits WHERE n <= 5 UNION SELECT query_id, node FROM sparse_hits WHERE n <= 5
+), typed AS (SELECT seed, node, type FROM own JOIN nodes ON id = node),
+parents AS (SELECT src, min(dst) AS dst FROM hierarchy GROUP BY src),
+up AS (SELECT seed, node AS spot, 0 AS level FROM typed WHERE type IN ('Variant', 'Base') UNION ALL SELECT seed, dst, level + 1 FROM up JOIN parents ON src = spot WHERE level < 3),
+tops AS (SELECT seed, node AS top, node, 0 AS level FROM typed WHERE type IN ('Class', 'Pillar', 'Base') UNION SELECT seed, top, src, level + 1 FROM tops JOIN hierarchy ON dst = node WHERE level < 2),
+{_walk_sql('chain', 'own', f"SELECT src, dst, {_EDGE_WEIGHT} AS w FROM edges UNION ALL SELECT dst, src, {_EDGE_WEIGHT} FROM edges", 3)},
+{_walk_sql('forward', 'own', _ONE_WAY, 3)},
+{_walk_sql('backward', 'own', _ONE_WAY.replace('src, dst', 'dst AS src, src AS dst'), 3)},
+{_walk_sql('peer', 'own', "SELECT src, dst, 1.0::DOUBLE AS w FROM likes UNION ALL SELECT dst, src, 1.0::DOUBLE FROM likes", 2)},
+{_ENDS},
+rich AS (SELECT id, least(0.3::DOUBLE, 0.1::DOUBLE * count(DISTINCT rel_type) + 0.005::DOUBLE * count(*)) AS score FROM ends GROUP BY id),
+strategies AS (
+  SELECT seed AS query_id, node, 'explicit_mention' AS strategy, 1.0::DOUBLE AS part FROM own
+  UNION ALL SELECT seed, node, 'relationship_chain', 0.9::DOUBLE * weight * greatest(0.5::DOUBLE, 1 - 0.2::DOUBLE * (level - 1)) FROM chain
+  UNION ALL SELECT seed, node, 'sequence_path', 0.8::DOUBLE * pow(0.8::DOUBLE, level - 1) FROM forward
+  UNION ALL SELECT seed, node, 'sequence_path', 0.8::DOUBLE * pow(0.8::DOUBLE, level - 1) FROM backward
+  UNION ALL SELECT seed, node, 'peer_group', 0.6::DOUBLE * 0.9::DOUBLE * pow(0.7::DOUBLE, level - 1) FROM peer
+  UNION ALL SELECT seed, node, 'vulnerability_chain', 0.9::DOUBLE * (0.9::DOUBLE - 0.1::DOUBLE * (level - 1)) FROM forward
+  UNION ALL SELECT seed, spot, 'abstraction_path', 0.7::DOUBLE * 0.8::DOUBLE * pow(0.7::DOUBLE, level) FROM up WHERE level > 0
+  UNION ALL SELECT seed, node, 'abstraction_path', 0.7::DOUBLE * CASE type WHEN 'Base' THEN 0.9::DOUBLE WHEN 'Variant' THEN 0.95::DOUBLE ELSE 0.7::DOUBLE END * pow(0.8::DOUBLE, level)
+    FROM (SELECT seed, top, node, min(level) AS level FROM tops GROUP BY seed, top, node) JOIN nodes ON id = node
+  UNION ALL SELECT seed, node, 'relationship_richness', 0.5::DOUBLE * score FROM own JOIN rich ON id = node
+  UNION ALL SELECT query_id, node, 'keyword_match', 0.8::DOUBLE * score FROM places WHERE share > 0.3 AND n <= 20
+  UNION ALL SELECT query_id, node, 'chain_starting_point', 0.85::DOUBLE * 0.8::DOUBLE * score FROM places WHERE share > 0.4 AND n <= 5
+), total AS (
+  SELECT query_id, node, sum(part) AS score FROM (SELECT query_id, node, strategy, max(part) AS part FROM strategies GROUP BY ALL) GROUP BY query_id, node HAVING sum(part) >= 0.05
+), graph_hits AS (
+  SELECT * FROM (
+    SELECT query_id, node, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS n FROM (SELECT query_id, node, round(score * {_ABSTRACTION.format('type')}, 6) AS score FROM total JOIN nodes ON id = node)
+  ) WHERE n <= 10
+), hits AS (
+  SELECT query_id, node AS entry_id, 'sparse' AS retriever, score FROM sparse_hits UNION ALL SELECT query_id, node, 'dense', score FROM dense_hits UNION ALL SELECT query_id, node, 'graph', score FROM graph_hits
+), wide AS (
+  SELECT query_id, entry_id, sum({_NORM} * {_WEIGHT}) AS weighted, string_agg(retriever, '+' ORDER BY retriever) AS found_by FROM hits GROUP BY query_id, entry_id
+), degree AS (SELECT id, count(*) AS n_relations FROM ends GROUP BY id),
+fused AS (
+  SELECT query_id, entry_id, round(weighted * {_ABSTRACTION.format('type')}
+    * CASE WHEN found_by = 'graph' AND n_relations > 0 THEN 1 + least(0.15::DOUBLE * n_relations, 0.45::DOUBLE) ELSE 1.0::DOUBLE END
+    * CASE {USAGE_SQL.format('length(name)')} WHEN 'Allowed' THEN 1.1::DOUBLE WHEN 'Allowed-with-Review' THEN 1.05::DOUBLE WHEN 'Discouraged' THEN 0.8::DOUBLE WHEN 'Prohibited' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score
+  FROM wide LEFT JOIN nodes ON nodes.id = entry_id LEFT JOIN degree ON degree.id = entry_id
+)
+SELECT query_id, entry_id, score, {_RANK} FROM fused QUALIFY rank <= 10"""
+
+
+@query(_HYBRID_SQL)
 def hybrid_search(spark, sf_dir):
     """Nation names against the nodes: text, vectors and all graph strategies, fused."""
     nodes, edges = st.nodes(spark, sf_dir), st.all_edges(spark, sf_dir)
@@ -828,4 +904,4 @@ def hybrid_search(spark, sf_dir):
     return fusion.fuse(hits, entries, 10).select("query_id", "entry_id", "score", "rank")
 
 
-from weavegrid.plans import formats  # noqa: E402, F401  (registers its queries)
+from weavegrid.plans import formats, remembered  # noqa: E402, F401  (register their queries)

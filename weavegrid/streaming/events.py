@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,8 +47,10 @@ def last_n_stream(rows: DataFrame, key: str, value: str, n: int = 5) -> DataFram
     def update(k, frames, state: GroupState):
         import pandas as pd
 
-        new = [v for f in frames for v in f[value].tolist()]
-        held = ([*(state.get[0] if state.exists else [])] + sorted(new))[-n:]
+        new: list = []  # the n largest so far, however many a batch has
+        for f in frames:
+            new = heapq.nlargest(n, [*new, *f[value].tolist()])
+        held = ([*(state.get[0] if state.exists else [])] + new[::-1])[-n:]
         state.update((held,))
         yield pd.DataFrame({key: [k[0]], "context": [held]})
 
