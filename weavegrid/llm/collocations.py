@@ -14,7 +14,9 @@ frequencies, and a phrase goes on where its sum is ``MIN_COUNT`` or more (no
 phrase is more frequent than its parts, so nothing is lost).
 
 A phrase is known by the shard and number of its first list, so keys are exact
-and no dictionary is sent around. What a task holds is one shard.
+and no dictionary is sent around. All extensions of a phrase in a shard travel
+as one row, and those of a very frequent phrase in parts, the more the more
+frequent it is. What a task holds is one shard.
 
 Defined cases: a null text counts as empty, a null lang as ``und``; texts
 without words and rows that repeat count as they stand, each row for itself;
@@ -37,6 +39,10 @@ from weavegrid.llm.common import discard, few_rows_a_batch, one_row, ship, slice
 SHARD_WORDS = 1 << 19
 #: Lists whose keys one row holds.
 BLOCK_LISTS = 1 << 15
+#: Bits of a list's name: its number in the shard, the shard's in its task, the task; above them, in a phrase's id, how often its extensions are split.
+NUMBER_BITS, SHARD_BITS, NAME_BITS = 26, 10, 57
+#: Occurrences of a phrase beyond which its extensions are counted in parts.
+PART_BITS = 16
 CHUNK_BYTES = 1 << 20
 MIN_COUNT = 30
 LONGEST = 4
@@ -149,22 +155,20 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(step)
 
 
-_ROWS = "shard long, first int, {}, n array<int>, sizes binary, places binary"
-_WORD_LISTS = _ROWS.format("lang array<string>, word array<string>")
-_PHRASE_LISTS = _ROWS.format("head array<long>, tail array<long>")
+_PLACES = "sizes binary, places binary"
+_WORD_LISTS = f"shard long, first int, lang array<string>, word array<string>, n array<int>, {_PLACES}"
+_PHRASE_LISTS = f"shard long, first int, head long, part int, tails array<long>, n array<int>, {_PLACES}"
 
 
-def _rows(shard: int, keys: dict[str, pa.Array], n: np.ndarray, place: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """A shard as rows: keys and lengths of its lists, in blocks, and one row with all the lists."""
-    names = ["shard", "first", *keys, "n", "sizes", "places"]
-    nothing = pa.nulls(1, pa.binary())
-    for at in range(0, len(n), BLOCK_LISTS):
-        part = [one_row(k.type, k.slice(at, BLOCK_LISTS)) for k in keys.values()]
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([at], pa.int32()), *part, one_row(pa.int32(), n[at : at + BLOCK_LISTS]), nothing, nothing], names=names)
-    if place is not None:
-        none = [pa.nulls(1, pa.list_(k.type)) for k in keys.values()]
-        packed = [pa.array([n.astype("<i4").tobytes()]), pa.array([_packed(place)])]
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), *none, pa.nulls(1, pa.list_(pa.int32())), *packed], names=names)
+def _place_row(schema: list[pa.Field], shard: int, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """The row with all lists of a shard; other columns are null."""
+    own = {"shard": pa.array([shard], pa.int64()), "sizes": pa.array([n.astype("<i4").tobytes()]), "places": pa.array([_packed(place)])}
+    return pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(1, f.type) for f in schema], schema=pa.schema(schema))
+
+
+def _with_places(columns: dict[str, pa.Array], rows: int) -> pa.RecordBatch:
+    columns = columns | {c: pa.nulls(rows, pa.binary()) for c in ("sizes", "places")}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _word_lists(shard_words: int):
@@ -173,14 +177,19 @@ def _word_lists(shard_words: int):
         held = _Positions(shard_words)
         task = TaskContext.get()
         own = task.partitionId() if task else 0
-        numbers = iter(range(own << 12, own + 1 << 12))  # below 2 ** 32 for a million tasks of 4096 shards
+        numbers = iter(range(own << SHARD_BITS, own + 1 << SHARD_BITS))
 
         def rows(words: pa.Array, lang: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             coded = words.dictionary_encode()
             keys, n, place = _lists(lang * len(coded.dictionary) + coded.indices.to_numpy(), place)
             of, word = np.divmod(keys, len(coded.dictionary))
-            named = {"lang": pa.array(list(langs), pa.string()).take(pa.array(of)), "word": coded.dictionary.take(pa.array(word))}
-            yield from _rows(next(numbers), named, n, place)
+            named = [pa.array(list(langs), pa.string()).take(pa.array(of)), coded.dictionary.take(pa.array(word)), pa.array(n, pa.int32())]
+            shard = next(numbers)
+            for at in range(0, len(n), BLOCK_LISTS):
+                part = {c: one_row(x.type, x.slice(at, BLOCK_LISTS)) for c, x in zip(("lang", "word", "n"), named)}
+                out = _with_places({"shard": pa.array([shard], pa.int64()), "first": pa.array([at], pa.int32())} | part, 1)
+                yield out
+            yield _place_row(list(out.schema), shard, n, place)
 
         for part in slices(batches):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary())):
@@ -198,6 +207,7 @@ def _extended(last: bool):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
+                shard = batch.column("shard")[row].as_py()
                 n = np.frombuffer(batch.column("sizes")[row].as_py(), "<i4")
                 kept, ids = (batch.column(c)[row].values.to_numpy() for c in ("kept", "ids"))
                 place = _unpacked(batch.column("places")[row].as_py())
@@ -210,28 +220,63 @@ def _extended(last: bool):
                 at[place] = phrase
                 follows = at[place + 1]
                 both = follows >= 0
-                keys, n, place = _lists(phrase[both] * len(kept) + follows[both], place[both])
-                head, tail = np.divmod(keys, max(len(kept), 1))
-                yield from _rows(batch.column("shard")[row].as_py(), {"head": pa.array(ids[head]), "tail": pa.array(ids[tail])}, n, None if last else place)
+                phrase, follows, place = phrase[both], follows[both], place[both]
+                # extensions of a very frequent phrase are split by a hash of their tails, everywhere alike
+                parts = np.int64(1) << (ids >> NAME_BITS)
+                most = int(parts.max(initial=1))
+                part = _spread(ids)[follows] & (parts[phrase] - 1)
+                keys, n, place = _lists((phrase * most + part) * len(kept) + follows, place)
+                whose, tail = np.divmod(keys, max(len(kept), 1))
+                first = np.flatnonzero(np.diff(whose, prepend=-1))
+                head, part = np.divmod(whose[first], most)
+                offsets = pa.array(np.append(first, len(keys)), pa.int32())
+                columns = {
+                    "shard": pa.array(np.full(len(first), shard)),
+                    "first": pa.array(first, pa.int32()),
+                    "head": pa.array(ids[head]),
+                    "part": pa.array(part, pa.int32()),
+                    "tails": pa.ListArray.from_arrays(offsets, pa.array(ids[tail])),
+                    "n": pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())),
+                }
+                out = _with_places(columns, len(first))
+                yield out
+                if not last:
+                    yield _place_row(list(out.schema), shard, n, place)
 
     return run
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
+
 def _frequent(lists: DataFrame, key: list[str], min_count: int, name: str) -> DataFrame:
-    """shard, number, id and f of every list whose phrase is frequent, and the key of the first of a phrase; a phrase's id is the least (shard, number) of its lists."""
-    own = lists.where("places is null").select("shard", "first", F.posexplode(F.arrays_zip(*key, "n")).alias("at", "list"))
-    # a narrow row for each list of each shard: this is the widest shuffle
-    own = own.select("list.n", F.col(f"list.{key[0]}").alias(key[0]), (F.shiftleft("shard", 31) + F.col("first") + F.col("at")).alias("own"), F.col(f"list.{key[1]}").alias(key[1]))
-    phrase = Window.partitionBy(*key)
-    own = own.withColumns({"f": F.sum(F.col("n").cast("long")).over(phrase), "id": F.min("own").over(phrase)}).where(F.col("f") >= min_count)
-    first = F.col("own") == F.col("id")
-    columns = [F.shiftright("own", 31).alias("shard"), (F.col("own").bitwiseAND((1 << 31) - 1)).cast("int").alias("number"), "id", "f"]
-    return stored(own.select(*columns, *[F.when(first, F.col(c)).alias(c) for c in key], first.alias("is_first")), name, tidy=True)
+    """shard, number, id and f of every list whose phrase is frequent, and the key of the first of a phrase.
+
+    A phrase's id is the least name (shard and number) of its lists, and above
+    that the logarithm of the parts in which its extensions are counted.
+    """
+    rows = lists.where("places is null")
+    own = F.shiftleft("shard", NUMBER_BITS) + F.col("first") + F.col("at")
+    if key == ["lang", "word"]:
+        each = rows.select("shard", "first", F.posexplode(F.arrays_zip(*key, "n")).alias("at", "list")).select("list.n", "list.lang", own.alias("own"), "list.word")
+        phrase = Window.partitionBy(*key)
+    else:
+        # all extensions of a phrase in a shard are one row of the widest shuffle, which its groups need no other one after
+        dealt = rows.select("head", "part", "shard", "first", "tails", "n").repartition("head", "part")
+        each = dealt.select("head", "part", "shard", "first", F.posexplode(F.arrays_zip("tails", "n")).alias("at", "list")).select("list.n", "head", "part", own.alias("own"), F.col("list.tails").alias("tail"))
+        phrase = Window.partitionBy("head", "part", "tail")
+    each = each.withColumns({"f": F.sum(F.col("n").cast("long")).over(phrase), "least": F.min("own").over(phrase)}).where(F.col("f") >= min_count)
+    first = F.col("own") == F.col("least")
+    beyond = F.shiftright("f", PART_BITS)
+    parts = F.when(beyond > 0, F.length(F.bin(beyond))).otherwise(0).cast("long")
+    columns = [F.shiftright("own", NUMBER_BITS).alias("shard"), (F.col("own").bitwiseAND((1 << NUMBER_BITS) - 1)).cast("int").alias("number"), (F.col("least") + F.shiftleft(parts, NAME_BITS)).alias("id"), "f"]
+    return stored(each.select(*columns, *[F.when(first, F.col(c)).alias(c) for c in key], first.alias("is_first")), name, tidy=True)
 
 
 def _joined_lists(lists: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
-    of_shard = frequent.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("number", "id"))).alias("own"))
-    of_shard = of_shard.select("shard", F.col("own.number").alias("kept"), F.col("own.id").alias("ids"))
+    # two lists in the order of the same rows; half the bytes of one list of structs
+    of_shard = frequent.groupBy("shard").agg(F.collect_list("number").alias("kept"), F.collect_list("id").alias("ids"))
     with few_rows_a_batch(lists.sparkSession, 1):  # a row is a shard
         whole = lists.where("places is not null").select("shard", "sizes", "places").join(of_shard.hint("merge"), "shard")
         return stored(whole.mapInArrow(_extended(last), _PHRASE_LISTS), "phrase-lists", tidy=True)
