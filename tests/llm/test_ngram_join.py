@@ -166,3 +166,48 @@ def test_groups_that_share_a_doc_id_keep_one_row_each(spark):
     kept = sorted((r["doc_id"], r["text"]) for r in one_of_each(docs).collect())
     assert [r for r in kept if r[0] < 5] == sorted(rows[:4])
     assert [r[0] for r in kept].count(5) == 1
+
+
+def plain_kept(texts):
+    """doc_ids in order, each that no kept one is within 0.8 of, by sets of five-word runs."""
+    sets = {}
+    for i, t in sorted(texts):
+        w = (t or "").split()
+        sets.setdefault(i, {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+    kept = []
+    for i in sets:
+        if all(5 * len(sets[i] & sets[k]) < 4 * len(sets[i] | sets[k]) for k in kept):
+            kept.append(i)
+    return kept
+
+
+def chain(n, seed=1, step=6, size=120):
+    """Each text has most of the words of the one before, and the last none of the first's."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{x}" for x in rng.permutation(size + n * step)]
+    return [" ".join(words[i * step : i * step + size]) for i in range(n)]
+
+
+@pytest.mark.parametrize("at_once", [1000, 3])
+def test_only_near_copies_of_documents_that_stay_go(spark, at_once, monkeypatch):
+    """A chain of links isn't one group: what goes is within 0.8 of what stays, and no two that stay are."""
+    monkeypatch.setattr(ngram_join, "CHOSEN_ROWS", at_once)
+    texts = list(enumerate(chain(20))) + [(100 + i, t) for i, t in enumerate(reversed(chain(12, 2)))]
+    base = chain(1, 3)[0].split()
+    for i in range(15):
+        w = list(base)
+        w[5 * i : 5 * i + 1] = [f"edit{i}"]
+        texts.append((200 + i, " ".join(w)))
+    texts += [(300, " ".join(base)), (301, " ".join(base)), (302, "alone"), (303, ""), (304, None), (305, "alone")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in one_of_each(docs).collect())
+    assert got == plain_kept(texts)
+    assert 5 < len([x for x in got if x < 20]) < 15
+
+
+def test_what_stays_of_ids_that_repeat(spark):
+    """Copies of other texts under a kept doc_id neither stay in its place nor take its links."""
+    a, b = chain(1, 5)[0], chain(1, 6)[0]
+    texts = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, a), (None, a), (None, b)]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == sorted([(1, a), (1, b), (0, a), (0, b)])

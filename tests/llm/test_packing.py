@@ -126,3 +126,64 @@ def test_one_key_and_one_text_for_all_rows(spark, monkeypatch):
     rows = packing.pack(packing.tokenized(docs, *byte_bpe())).collect()
     places = {(r["sequence_id"], r["offset"]) for r in rows}
     assert len(rows) == len(places) == 400
+
+
+def plain_bins(counts, capacity):
+    """Best-two-fit one bin at a time over a sorted list of all pieces: greedy, then the smallest for the tightest two."""
+    left = sorted((length for length, n in counts.items() for _ in range(n)), reverse=True)
+    bins = []
+    while left:
+        held, gap = [], capacity
+        for piece in left:
+            if piece <= gap:
+                held.append(piece)
+                gap -= piece
+        rest = list(left)
+        for piece in held:
+            rest.remove(piece)
+        if gap and len(held) > 1:
+            small = min(held)
+            room, free = small + gap, sorted(rest + [small])
+            best = 0
+            for i, x in enumerate(free):
+                for y in free[:i]:
+                    if x + y <= room and x + y > best:
+                        best = x + y
+            if best > small:
+                # of the pairs that fit as tightly, the one with the smallest shorter piece
+                pair = next((x, best - x) for x in free if best - x in (free if best - x != x else free[free.index(x) + 1 :]))
+                held.remove(small)
+                held += pair
+                rest = free
+                for piece in pair:
+                    rest.remove(piece)
+        for piece in held:
+            left.remove(piece)
+        bins.append(tuple(sorted(held, reverse=True)))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_equals_a_plain_best_two_fit(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.choice([10, 37, 100, 256]))
+    sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 160)))
+    if seed % 3 == 0:
+        sizes = rng.choice(sizes[:6], len(sizes))  # few lengths, many of each
+    counts = {int(n): int(c) for n, c in zip(*np.unique(sizes, return_counts=True))}
+    bins = [tuple(items) for items, times in packing.plan(counts, capacity) for _ in range(times)]
+    plain = plain_bins(counts, capacity)
+    assert sum(map(sum, bins)) == sum(sizes) and all(sum(b) <= capacity for b in bins)
+    assert sorted(x for b in bins for x in b) == sorted(sizes.tolist())
+    if seed % 3:
+        # a plan uses a bin as often as its pieces allow, so the two can part where lengths repeat
+        assert abs(len(bins) - len(plain)) <= 1
+    distinct = {int(n): 1 for n in np.unique(sizes)}
+    assert [tuple(items) for items, _ in packing.plan(distinct, capacity)] == plain_bins(distinct, capacity)
+
+
+def test_more_runs_of_a_length_than_are_looked_up(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 5, 0)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with pytest.raises(ValueError, match="runs"):
+        packing.checked_runs({5: [(i, 1, i, 0) for i in range(1 << 14)]})
+    assert packing.pack(pieces).count() == 1

@@ -139,3 +139,74 @@ def test_forgetting_states_changes_nothing(monkeypatch):
     for i in range(0, len(other), 7):
         assert model.lookup(other[i : i + 7]) == {w: h for w, h in zip(other[i : i + 7], wanted[i : i + 7]) if h}
         assert model._letters <= 30 + 7 * 30
+
+
+def plain_features(model, text):
+    """Hits by edit distance to every entry, contexts by loops over all words."""
+    words = [(m.group(), m.start()) for m in toxicity._WORD.finditer(text.lower())]
+    exact = {w: x for w, stem, x in model.entries if not stem}
+    stems = {w: x for w, stem, x in model.entries if stem}
+
+    def hit(word):
+        if word in exact:
+            return "exact", exact[word]
+        for n in sorted({len(w) for w in stems}):
+            if word[:n] in stems:
+                return "stem", stems[word[:n]]
+        near = [(distance(word, w), -x, w) for w, x in exact.items() if edits_for(w) and abs(len(w) - len(word)) <= edits_for(w)]
+        near = [n for n in near if n[0] <= edits_for(n[2])]
+        return ("fuzzy", -min(near)[1] / (1 + min(near)[0])) if near else None
+
+    known = {w: hit(w) for w in {w for w, _ in words}}
+    inside = [False] * (len(text.lower()) + 1)
+    for m in toxicity._QUOTED.finditer(text.lower()):
+        inside[m.start() : m.end()] = [True] * (m.end() - m.start())
+    sums, hits = dict.fromkeys(toxicity.FEATURES, 0.0), 0
+    for i, (w, at) in enumerate(words):
+        if known[w] is None:
+            continue
+        kind, weight = known[w]
+        hits += 1
+        if inside[at] or any(x in toxicity.REPORTING for x, _ in words[max(0, i - 6) : i]):
+            sums["quoted"] += weight
+        else:
+            sums[kind] += weight
+            sums["any"] = 1.0
+            sums["directed"] += any(x in toxicity.ADDRESSING for x, _ in words[max(0, i - 6) : i + 7])
+    for k in ("exact", "stem", "fuzzy", "quoted", "directed"):
+        sums[k] = np.log1p(sums[k])
+    sums["density"] = np.log1p(100 * hits / len(words)) if hits else 0.0
+    return [sums[k] for k in toxicity.FEATURES]
+
+
+def test_scores_equal_a_plain_version(spark, sf):
+    """Every document's score from the trained entries and weights, computed without trie, automaton or windows."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    labels = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet")
+    more = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = toxicity.train(more, labels)
+    assert model.constant is None and len(model.entries) > 5
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([f'you {w}x and "{w}" he said {w[1:]} {w}' for w, _, _ in model.entries[:40]])], "doc_id long, text string")
+    got = toxicity.score(docs.select("doc_id", "text").union(extra), model).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").union(extra).collect()}
+    found = 0
+    for r in got:
+        x = plain_features(model, texts[r["doc_id"]])
+        z = sum(w * v for w, v in zip(model.weights, x)) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        found += any(x)
+    assert found >= 20
+
+
+def test_labelled_ids_that_repeat_stay_one_row(spark, monkeypatch):
+    """A thousand texts of one labelled doc_id are one row of the sample, the smallest."""
+    rows = [(i, f"word{i} awfulthing" if i % 2 else f"word{i} fine") for i in range(60)]
+    docs = spark.createDataFrame(rows + [(7, f"zz other {i}") for i in range(1000)] + [(8, f"zz vile{i}") for i in range(1000)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    assert toxicity.train(docs, labels) == toxicity.train(plain, labels)
+    seen = []
+    real = toxicity.without_near_copies
+    monkeypatch.setattr(toxicity, "without_near_copies", lambda r: seen.append(len(r)) or real(r))
+    toxicity.train(docs, labels, rows=20)
+    assert seen and seen[0] <= 20

@@ -37,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -382,15 +382,112 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+#: Classes of a component that are chosen among in one task at a time.
+CHOSEN_ROWS = 1000
+
+
+def _own_texts(t: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    """The rows of a run whose text has their key (other rows may share the doc_id), one for each, and the shingle sets."""
+    sets = [s for part in slices(t.to_batches()) for s in shingle_sets(part.column("text").to_pylist())]
+    keys = np.column_stack([t.column(c).to_numpy() for c in ("key", "key2")])
+    right = np.flatnonzero((set_keys(sets) == keys).all(axis=1))
+    right = right[np.unique(keys[right], axis=0, return_index=True)[1]]
+    return t.select(["component", "rep", "key", "key2"]).take(pa.array(right)), [sets[i] for i in right.tolist()]
+
+
+def _linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    size, other = (np.array([len(x) for x in s], np.int64) for s in (a, b))
+    both = _shared(a, b).astype(np.int64)
+    return both * 5 >= 4 * (size[:, None] + other[None, :] - both)
+
+
+def _chosen(batches):
+    """The first classes of a component to those that stay: in order, each that none of those before it is linked with."""
+    for t in _runs(batches, "component"):
+        rows, sets = _own_texts(t)
+        if not rows.num_rows:
+            continue
+        order = np.lexsort((rows.column("key2").to_numpy(), rows.column("key").to_numpy(), rows.column("rep").to_numpy()))
+        rows, sets = rows.take(pa.array(order)), [sets[i] for i in order.tolist()]
+        linked = _linked(sets, sets)
+        gone, stay = np.zeros(len(sets), bool), []
+        for i in range(len(sets)):
+            if not gone[i]:
+                stay.append(i)
+                gone |= linked[i]
+        data = [pa.array([x.tobytes()]) for x in (np.array([len(sets[i]) for i in stay], np.int64), np.concatenate([sets[i] for i in stay]))]
+        names = [rows.column(c).take(pa.array(stay)).to_numpy() for c in ("rep", "key", "key2")]
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("component")[:1].combine_chunks(), *[pa.ListArray.from_arrays(pa.array([0, len(stay)], pa.int32()), pa.array(x)) for x in names], *data],
+            names=["component", "rep", "key", "key2", "sizes", "sets"],
+        )
+
+
+def _left_over(batches):
+    """Later classes of a component, with those that stay, to the ones that none of these is linked with."""
+    for t in _runs(batches, "component", "salt"):
+        rows, sets = _own_texts(t)
+        if not rows.num_rows:
+            continue
+        first = t.slice(0, 1).to_pylist()[0]
+        ends = np.cumsum(np.frombuffer(first["sizes"], np.int64))[:-1]
+        stay = np.split(np.frombuffer(first["sets"], np.uint64), ends)
+        free = np.flatnonzero(~_linked(sets, stay).any(axis=1))
+        yield pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(free)).combine_chunks() for c in ("component", "rep", "key", "key2")], names=["component", "rep", "key", "key2"])
+
+
+def kept_classes(docs: DataFrame, rows: DataFrame, at_once: int | None = None) -> DataFrame:
+    """doc_id, key, key2 of the classes of copies that stay: in order of their smallest doc_id, each that is linked with none that stays before it.
+
+    So every class that goes is linked with one that stays, and no two that
+    stay are. A component's classes are gone through by ``CHOSEN_ROWS`` at a
+    time, in one task; what stays is compared with its later classes, dealt
+    over tasks, and those linked with it go before the next round. rows:
+    ``_grouped``.
+    """
+    at_once = at_once or CHOSEN_ROWS
+    classes = stored(rows.groupBy("key", "key2", "component").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "kept-classes")
+    sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
+    alone = classes.join(sizes.where("size = 1"), "component").select(F.col("rep").alias("doc_id"), "key", "key2")
+    alive = stored(classes.join(sizes.where("size > 1"), "component").select("component", "rep", "key", "key2"), "alive")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text"))
+    done, spent = [stored(alone, "kept")], [classes, alive]
+    while alive.limit(1).count():
+        order = Window.partitionBy("component").orderBy("rep", "key", "key2")
+        # a limit that Spark applies before the shuffle
+        first = alive.withColumn("place", F.row_number().over(order)).where(F.col("place") <= at_once).join(texts, "rep")
+        # of long texts fewer, but for the very first
+        size = F.sum(F.octet_length("text").cast("long") * 2).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        first = stored(first.withColumn("bytes", size).where((F.col("bytes") <= BLOCK_BYTES) | (F.col("place") == 1)).drop("bytes", "place"), "first")
+        kind = "component long, rep array<long>, key array<long>, key2 array<long>, sizes binary, sets binary"
+        stay = stored(first.repartition("component").sortWithinPartitions("component").mapInArrow(_chosen, kind), "stay")
+        done.append(stay.select(F.explode(F.arrays_zip("rep", "key", "key2")).alias("x")).select(F.col("x.rep").alias("doc_id"), "x.key", "x.key2"))
+        seen = first.select("component", "key", "key2").distinct()
+        rest = alive.join(seen, ["component", "key", "key2"], "left_anti")
+        salts = rest.groupBy("component").agg(F.ceil(F.count("*") / at_once).cast("int").alias("salts"))
+        dealt = rest.join(salts, "component").withColumn("salt", F.pmod(F.xxhash64("key", "key2"), F.col("salts")).cast("int")).drop("salts").join(texts, "rep")
+        held = stay.join(salts, "component").select("component", "sizes", "sets", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        with few_rows_a_batch(docs.sparkSession, 64):
+            met = dealt.join(held, ["component", "salt"]).repartition("component", "salt").sortWithinPartitions("component", "salt")
+            alive = stored(met.mapInArrow(_left_over, "component long, rep long, key long, key2 long"), "alive")
+        spent += [first, alive]
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    for table in spent:
+        discard(table)
+    return out
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that with the smallest doc_id.
+    """``docs`` without near copies of documents that stay: in order of doc_id, each stays that is linked with none before it that does.
 
-    Rows without a doc_id stay; of rows of a group that repeat the kept doc_id
-    one stays, and rows of other groups with that doc_id don't count.
+    Rows without a doc_id stay; of copies the smallest doc_id stays, and of
+    rows that repeat it and their text one; rows of other texts with that
+    doc_id don't count.
     """
     rows = _grouped(docs)
-    first = F.min(F.struct("doc_id", "key", "key2")).alias("first")
-    found = rows.where("doc_id = class_id").groupBy("component").agg(first).select("first.doc_id", F.col("first.key").alias("_key"), F.col("first.key2").alias("_key2"))
+    found = stored(kept_classes(docs, rows).select("doc_id", F.col("key").alias("_key"), F.col("key2").alias("_key2")), "found")
     repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     if repeated:

@@ -213,6 +213,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by_length: dict[int, list] = {}
     for length, *run in places(plan(counts, capacity)):
         by_length.setdefault(length, []).append(tuple(run))
+    checked_runs(by_length)
     groups = {n: max(min(-(-c // GROUP), GROUPS), -(-c // LARGE_GROUP)) for n, c in counts.items()}
     table = spark.createDataFrame(
         [(n, groups[n], runs) for n, runs in by_length.items()],
@@ -223,9 +224,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return rows.select(*names, (F.col("run.sequence") + F.col("number") - F.col("run.number")).alias("sequence_id"), F.col("run.offset").alias("offset"))
 
 
+#: Halving steps by which a run is looked up.
+RUN_STEPS = 14
+
+
+def checked_runs(by_length: dict[int, list]) -> None:
+    """An error where a length has more runs than can be looked up; a plan has fewer bins than lengths and their square roots allow, far below that."""
+    most = max(map(len, by_length.values()), default=0)
+    if most >= 1 << RUN_STEPS:
+        raise ValueError(f"{most} runs of one length, but only {(1 << RUN_STEPS) - 1} can be looked up")
+
+
 def _run_of(runs, number):
     """The last run that starts at or before ``number``, by halving steps."""
-    steps = F.array(*[F.lit(1 << i) for i in range(13, -1, -1)])
+    steps = F.array(*[F.lit(1 << i) for i in range(RUN_STEPS - 1, -1, -1)])
     at = F.aggregate(
         steps,
         F.lit(1),

@@ -95,12 +95,15 @@ def _candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int,
 
 def _disjoint(spans: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans by start, without those that overlap a longer one (then an earlier one, then a kind listed before)."""
+    points = {p: i for i, p in enumerate(sorted({p for a, b, _ in spans for p in (a, b - 1)}))}
+    taken = bytearray(len(points))  # of places where spans begin or end; each is taken once
     kept: list[tuple[int, int, str]] = []
     for x in sorted(spans, key=lambda s: (s[0] - s[1], s[0], LINKED.index(s[2]))):
-        i = bisect.bisect_left(kept, x)
-        if (i == 0 or kept[i - 1][1] <= x[0]) and (i == len(kept) or kept[i][0] >= x[1]):
-            kept.insert(i, x)
-    return kept
+        i, j = points[x[0]], points[x[1] - 1]
+        if not taken[i] and not taken[j]:  # those before are as long or longer, so they would cover one of its ends
+            taken[i : j + 1] = b"\1" * (j + 1 - i)
+            kept.append(x)
+    return sorted(kept)
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -21,7 +21,10 @@ features, so quotation earns its own (learned) weight.
 
 Defined cases: null and empty texts get the score of a text without hits; of
 contradicting labels the toxic one holds; null labels don't count; without a
-label of either kind every score is the share of toxic labels (0 without any).
+label of either kind every score is the share of toxic labels (0 without any);
+of rows that repeat a labelled doc_id the one with the smallest text is learned
+from; very long texts are read whole; other columns are ignored, or kept by
+``accepted``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -312,7 +315,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     known = known.where(fold(F.col("doc_id")) != 0)
     # at most ``rows`` narrow rows, so they may be broadcast
     chosen = spark.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow())
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # of rows that repeat a doc_id one counts, so the sample is at most ``rows`` rows whatever the table holds
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = stored(sample.select("doc_id", "text", "toxic"), "labelled")
     # copies and near copies would make their every word look frequent, so each group counts once, in sizes too
     texts = stored(sample.select("text", "toxic").dropDuplicates(["text", "toxic"]).withColumn("id", F.xxhash64("text")), "sample")
     signed = texts.mapInArrow(_signed, "id long, toxic int, sig binary").toArrow()  # at most ``rows`` short rows
@@ -320,6 +325,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     n1 = sum(toxic for _, toxic in single)
     n0 = len(single) - n1
     if not n1 or not n0:
+        discard(texts)
+        discard(sample)
         return Model(constant=1.0 * bool(n1))
     chosen = spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in single], pa.int64()), "toxic": pa.array([t for _, t in single], pa.int32())}))
     counts = texts.join(F.broadcast(chosen), ["id", "toxic"]).select("text", "toxic").mapInArrow(_term_counts, "term string, stem boolean, toxic int, n long")
@@ -336,7 +343,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
             x = np.array([model.features(t)[0] for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in x.T]], names=["toxic", *FEATURES])
 
-    table = sample.select("toxic", "text").mapInArrow(features, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    table = sample.select("toxic", "text").mapInArrow(features, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()  # at most ``rows`` short rows
+    discard(sample)
     x = np.column_stack([table.column(f).to_numpy() for f in FEATURES])
     weights, bias = fit(x, table.column("toxic").to_numpy().astype(float))
     model.weights, model.bias = weights.tolist(), bias
