@@ -37,7 +37,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """Without near copies of documents that stay: in order of doc_id, each stays that is within the threshold of none before it that does."""
     return ngram_join.one_of_each(docs)
 
 
