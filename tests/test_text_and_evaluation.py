@@ -137,6 +137,6 @@ def test_hooks(spark):
 def test_searchable_text_leaves_blank_sections_out(spark):
     rows = spark.createDataFrame([("79", "XSS", "", [("t", "d")])], "id string, name string, description string, terms array<struct<Term:string,Description:string>>")
     entry = {"id": F.col("id"), "name": F.col("name"), "description": F.col("description"), "terms": F.col("terms")}
-    assert rows.select(tx.searchable_text(entry)).first()[0] == "CWE-79: XSS\n\nAlternate terms: t - d"
+    assert rows.select(tx.searchable_text(entry)).first()[0] == "CWE-79: XSS\n\nAlternative Terms:\n\nt - d"
 
 

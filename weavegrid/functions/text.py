@@ -103,33 +103,47 @@ def confidence(text: Column) -> Column:
     return F.when(value > 1, value / 100).otherwise(value)
 
 
+# Headings of an entry's searchable text, in their order
+SECTIONS = {
+    "extended": "Extended Details:",
+    "terms": "Alternative Terms:",
+    "observed": "Real-World Examples:",
+    "top": "Top 25 CWE Examples:",
+    "related": "Related Weaknesses:",
+}
+
+
 def searchable_text(entry: dict[str, Column]) -> Column:
-    """Sections of an entry, blank ones left out, with an empty line between.
+    """Paragraphs of an entry with an empty line between; a heading is a paragraph of its own, and stands only before what there is.
 
     entry: id, name, type, status, description, extended, and arrays of structs
     terms (Term, Description), observed and top (Reference, Description),
-    related (CweID, Nature); any may be missing.
+    related (CweID, Nature); any may be missing. Alternative terms are one
+    paragraph, each on a line; examples and relations are a paragraph each.
     """
+    e = entry.get
 
-    def section(title: str, value: Column | None):
-        return F.lit(None) if value is None else F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(title), value))
+    def under(title: str, value: Column | None):
+        return F.lit(None) if value is None else F.when(F.coalesce(value, F.lit("")) != "", F.concat_ws("\n\n", F.lit(title), value))
 
-    def listed(title: str, array: Column | None, one) -> Column:
-        return F.lit(None) if array is None else section(title, F.array_join(F.transform(array, one), "; "))
+    def listed(name: str, one, between: str = "\n\n"):
+        return under(SECTIONS[name], None if e(name) is None else F.array_join(F.transform(e(name), one), between))
 
-    pair = lambda a, b: lambda x: F.concat_ws(" - ", x[a], x[b])
-    e = entry.get
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    term = lambda x: F.when(empty(x["Description"]) != "", F.concat(x["Term"], F.lit(" - "), x["Description"])).otherwise(x["Term"])
+    example = lambda x: F.concat(F.lit("- "), empty(x["Reference"]), F.lit(": "), empty(x["Description"]))
+    line = lambda title, c: F.lit(None) if c is None else F.concat(F.lit(title), c)
     return F.concat_ws(
         "\n\n",
         F.concat(F.lit("CWE-"), e("id"), F.lit(": "), e("name")),
-        section("Type: ", e("type")),
-        section("Status: ", e("status")),
-        section("Description: ", e("description")),
-        section("Extended description: ", e("extended")),
-        listed("Alternate terms: ", e("terms"), pair("Term", "Description")),
-        listed("Observed examples: ", e("observed"), pair("Reference", "Description")),
-        listed("Top examples: ", e("top"), pair("Reference", "Description")),
-        listed("Related: ", e("related"), lambda x: F.concat(F.lit("CWE-"), x["CweID"], F.lit(" ("), x["Nature"], F.lit(")"))),
+        line("Type: ", e("type")),
+        line("Status: ", e("status")),
+        under("Description:", e("description")),
+        under(SECTIONS["extended"], e("extended")),
+        listed("terms", term, "\n"),
+        listed("observed", example),
+        listed("top", example),
+        listed("related", lambda x: F.concat(F.lit("- CWE-"), x["CweID"], F.lit(" ("), empty(x["Nature"]), F.lit(")"))),
     )
 
 

@@ -41,16 +41,30 @@ def relationship_text(edges: DataFrame, nodes: DataFrame, most: int = 5) -> Data
     return lines(rows, "node", ["n"], F.concat(F.lit("- "), "rel_type", F.lit(": "), "other", F.lit(" ("), F.coalesce("name", F.lit("unknown")), F.lit(")")), "relations")
 
 
-def enhanced_query(records: DataFrame, consensus: DataFrame, table: DataFrame, relations: DataFrame) -> DataFrame:
-    """record_id, prompt: description, phrases, consensus, candidates and relations; blank sections are left out.
+def relations_of_first(hits: DataFrame, edges: DataFrame, most: int = 7, each: int = 5) -> DataFrame:
+    """record_id, relations: of the first ``most`` entries (query_id, rank, entry_id) that have any, up to ``each`` distinct relations, under a heading for each entry."""
+    rows = hits.where(F.col("rank") <= most).select(F.col("query_id").alias("record_id"), "rank", "entry_id")
+    related = edges.where("rel_type <> '' and dst <> ''").select(F.col("src").alias("entry_id"), "rel_type", "dst").distinct()
+    related = related.withColumn("n", F.row_number().over(Window.partitionBy("entry_id").orderBy("rel_type", "dst"))).where(F.col("n") <= each)
+    one = related.groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct("n", F.concat(F.lit("- "), "rel_type", F.lit(" \u2192 "), "dst").alias("line")))).alias("l"))
+    text = F.concat(F.lit("#### "), "entry_id", F.lit(" Relationships\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return lines(rows.join(one, "entry_id"), "record_id", ["rank"], text, "relations")
+
+
+def enhanced_query(records: DataFrame, consensus: DataFrame, table: DataFrame, relations: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """record_id, prompt: description, phrases, consensus, reference text, candidates and relations; blank sections are left out.
 
     records: record_id, description, phrases; consensus: record_id, consensus;
-    table: query_id, table; relations: record_id, relations.
+    table: query_id, table; relations: record_id, relations (as of
+    ``relations_of_first``); references: record_id, text.
     """
     part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), c))
     rows = records.join(consensus.select("record_id", "consensus"), "record_id", "left").join(table.withColumnRenamed("query_id", "record_id"), "record_id", "left").join(relations, "record_id", "left")
+    known = [] if references is None else [part("References", F.col("_reference"))]
+    if references is not None:
+        rows = rows.join(references.select("record_id", F.col("text").alias("_reference")), "record_id", "left")
     phrases = F.array_join(F.transform(F.array_sort(F.map_entries("phrases")), lambda e: F.concat(e["key"], F.lit(": "), joined_phrase(e["value"]))), "\n")
-    return rows.select("record_id", F.concat_ws("\n\n", part("Description", F.col("description")), part("Keyphrases", phrases), part("Consensus", F.col("consensus")), part("Candidates", F.col("table")), part("Relations", F.col("relations"))).alias("prompt"))
+    return rows.select("record_id", F.concat_ws("\n\n", part("Description", F.col("description")), part("Keyphrases", phrases), part("Consensus", F.col("consensus")), *known, part("Candidates", F.col("table")), part("Relations", F.col("relations"))).alias("prompt"))
 
 
 def final_report(records: DataFrame) -> DataFrame:
@@ -176,15 +190,22 @@ def specifications(asked: DataFrame, entries: DataFrame, most: int = 3) -> DataF
     return lines(rows, "record_id", ["entry_id"], text, "specifications")
 
 
-def combined_analysis(advice: DataFrame, chains: DataFrame, k: int = 3) -> DataFrame:
-    """seed, analysis: counts of advice by role, the k most relevant specifics, and the chain; advice: as ``graph.ranked_advice``; chains: seed, node, level, position."""
+def combined_analysis(advice: DataFrame, chains: DataFrame, k: int = 3, diagrams: DataFrame | None = None) -> DataFrame:
+    """seed, analysis: counts of advice by role, the k most relevant specifics, the chain, and its diagram where one is given.
+
+    advice: as ``graph.ranked_advice``; chains: seed, node, level, position; diagrams: seed, diagram.
+    """
     counts = lines(advice.groupBy("seed", "role").agg(F.count("*").alias("n")), "seed", ["role"], F.concat(F.lit("- "), "role", F.lit(": "), F.col("n")), "roles")
     best = advice.where("role = 'child'").withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("relevance"), "other"))).where(F.col("n") <= k)
     specifics = lines(best, "seed", ["n"], F.concat(F.lit("- "), "other", F.lit(" ("), F.format_number("relevance", 2), F.lit(")")), "specifics")
     chain = lines(chains, "seed", ["level", "node"], F.concat(F.lit("- "), F.coalesce("position", F.lit("ROOT")), F.lit(" "), "node"), "chain")
     rows = counts.join(specifics, "seed", "full_outer").join(chain, "seed", "full_outer")
     part = lambda title, c: F.concat(F.lit(f"## {title}\n"), F.col(c))
-    return rows.select("seed", F.concat_ws("\n\n", part("Relations", "roles"), part("More specific", "specifics"), part("Chain", "chain")).alias("analysis"))
+    shown = [part("Relations", "roles"), part("More specific", "specifics"), part("Chain", "chain")]
+    if diagrams is not None:
+        rows = rows.join(diagrams, "seed", "left")
+        shown.append(F.concat(F.lit("## Diagram\n```mermaid\n"), F.col("diagram"), F.lit("\n```")))
+    return rows.select("seed", F.concat_ws("\n\n", *shown).alias("analysis"))
 
 
 def run_metrics(results: DataFrame, errors: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from weavegrid.functions.scoring import abstraction_factor, cosine, normalized,
 from weavegrid.operators import consensus, dense, evaluate, fusion, graph, reports, retrieval, sparse, usage
 from weavegrid.plans import standins as st
 from weavegrid.plans.standins import ALL_EDGES_SQL, ENTRIES_SQL, GRAPH_SQL, HITS_SQL, KIND_SQL, USAGE_LOG_SQL, USAGE_SQL, VOTES_SQL
+from weavegrid.sources import sinks
 from weavegrid.streaming import events as ev
 
 _QUERIES: dict = {}
@@ -178,9 +179,14 @@ _BOTH = f"both_ways AS (SELECT src, dst, rel_type FROM edges UNION SELECT dst, s
 _ENDS = "ends AS (SELECT src AS id, dst AS other, rel_type FROM edges UNION ALL SELECT dst, src, rel_type FROM edges)"
 
 
-@query(f"WITH {ALL_EDGES_SQL}, {_BOTH} SELECT src, dst, rel_type FROM both_ways")
+@query(
+    f"""WITH {ALL_EDGES_SQL}, known AS (SELECT id FROM nodes UNION SELECT 'P' || p_partkey FROM part)
+SELECT src, dst, rel_type FROM edges UNION SELECT dst, src, {_RECIPROCAL} FROM edges WHERE {_RECIPROCAL} IS NOT NULL AND dst IN (SELECT id FROM known)"""
+)
 def reciprocal_edges(spark, sf_dir):
-    return graph.with_reciprocals(st.all_edges(spark, sf_dir))
+    """Event types are no known nodes, so relations between them get no reverse."""
+    known = st.nodes(spark, sf_dir).select("id").union(st.table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey")))
+    return graph.with_reciprocals(st.all_edges(spark, sf_dir), known)
 
 
 @query(f"WITH {ALL_EDGES_SQL}, {_BOTH} SELECT rel_type, count(*) AS n_edges FROM both_ways GROUP BY rel_type")
@@ -621,10 +627,10 @@ def common_ids_topk(spark, sf_dir):
     return evaluate.common_ids(_id_sets(_answers(spark, sf_dir)[0]), "ids")
 
 
-@query(r"SELECT page_id, array_to_string(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)track\(([0-9]+)\)', 1)), ',') AS ids FROM pages")
+@query(r"""SELECT page_id, array_to_string(list_transform(list_distinct(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?i)track\(', 'cWe-', 'g'), '(?i)CWE[- ]?([0-9]+)', 1)), lambda x: 'CWE-' || x), ',') AS ids FROM pages""")
 def extract_ids(spark, sf_dir):
-    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)track\(([0-9]+)\)"), F.lit(1))
-    return st.table(spark, sf_dir, "pages").select("page_id", listed(F.array_distinct(found)).alias("ids"))
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?i)track\(", "cWe-")
+    return st.table(spark, sf_dir, "pages").select("page_id", listed(tx.ids_in(html)).alias("ids"))
 
 
 @query(
@@ -659,12 +665,32 @@ def example_budget(spark, sf_dir):
 
 # -- text building
 
+_PARAGRAPH = "chr(10) || chr(10)"
+
+
 @query(
-    f"""SELECT doc_id, concat_ws(chr(10) || chr(10), 'CWE-' || doc_id || ': ' || source, 'Type: ' || {KIND_SQL.format('doc_id')}, 'Status: ' || lang, CASE WHEN coalesce(text, '') <> '' THEN 'Description: ' || text END) AS body FROM documents"""
+    f"""SELECT doc_id, concat_ws({_PARAGRAPH}, 'CWE-' || doc_id || ': ' || source, 'Type: ' || {KIND_SQL.format('doc_id')}, 'Status: ' || lang, CASE WHEN coalesce(text, '') <> '' THEN 'Description:' || {_PARAGRAPH} || text END,
+  CASE WHEN doc_id % 3 = 0 THEN 'Extended Details:' || {_PARAGRAPH} || source || ' at length' END,
+  CASE WHEN doc_id % 2 = 0 THEN 'Alternative Terms:' || {_PARAGRAPH} || source || ' - ' || lang || chr(10) || 'as ' || source END,
+  CASE WHEN doc_id % 5 > 0 THEN 'Real-World Examples:' || {_PARAGRAPH} || '- CVE-' || doc_id || ': ' || lang || {_PARAGRAPH} || '- CVE-1: once' END,
+  CASE WHEN doc_id % 7 = 0 THEN 'Top 25 CWE Examples:' || {_PARAGRAPH} || '- CVE-' || doc_id || ': top' END,
+  'Related Weaknesses:', '- CWE-' || doc_id % 10 || ' (ChildOf)') AS body FROM documents"""
 )
 def searchable_text(spark, sf_dir):
-    docs = st.table(spark, sf_dir, "documents")
-    entry = {"id": F.col("doc_id").cast("string"), "name": F.col("source"), "type": st.kind_of(F.col("doc_id")), "status": F.col("lang"), "description": F.col("text")}
+    """Documents as entries; every section is there for some and missing for others."""
+    docs, i = st.table(spark, sf_dir, "documents"), F.col("doc_id")
+    number = i.cast("string")
+    pair = lambda a, b, *names: F.struct(*[c.alias(n) for c, n in zip((a, b), names)])
+    of = lambda has, *items: F.when(has, F.array(*items)).otherwise(F.slice(F.array(*items), 1, 0))
+    seen = lambda a, b: pair(a, b, "Reference", "Description")
+    entry = {
+        "id": number, "name": F.col("source"), "type": st.kind_of(i), "status": F.col("lang"), "description": F.col("text"),
+        "extended": F.when(i % 3 == 0, F.concat("source", F.lit(" at length"))),
+        "terms": of(i % 2 == 0, pair(F.col("source"), F.col("lang"), "Term", "Description"), pair(F.concat(F.lit("as "), "source"), F.lit(""), "Term", "Description")),
+        "observed": of(i % 5 > 0, seen(F.concat(F.lit("CVE-"), number), F.col("lang")), seen(F.lit("CVE-1"), F.lit("once"))),
+        "top": of(i % 7 == 0, seen(F.concat(F.lit("CVE-"), number), F.lit("top"))),
+        "related": F.array(pair((i % 10).cast("string"), F.lit("ChildOf"), "CweID", "Nature")),
+    }
     return docs.select("doc_id", tx.searchable_text(entry).alias("body"))
 
 
@@ -691,10 +717,14 @@ def highlight(spark, sf_dir):
     return st.table(spark, sf_dir, "benchmark").where(F.size(words) > 1).select("item_id", tx.highlighted(F.col("text"), F.get(words, F.lit(1))).alias("body"))
 
 
-@query("SELECT CAST(l_orderkey AS VARCHAR) AS \"CVE_ID\", string_agg(CAST(l_suppkey AS VARCHAR), '|' ORDER BY l_linenumber, l_suppkey) AS \"Detected_CWEs\" FROM lineitem GROUP BY l_orderkey")
+@query(
+    """SELECT CAST(l_orderkey AS VARCHAR) AS "CVE_ID", string_agg(CAST(l_suppkey AS VARCHAR), '|' ORDER BY l_linenumber, l_suppkey) AS "Detected_CWEs", format('{:,.2f}', count(*)::DOUBLE) AS "Processing_Time" FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT 'none-' || n_nationkey, 'ERROR', '0.00' FROM nation"""
+)
 def csv_summary_join(spark, sf_dir):
     rows = st.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("l"))
-    return rows.select(F.col("l_orderkey").cast("string").alias("CVE_ID"), F.array_join(F.transform("l", lambda x: x["l_suppkey"].cast("string")), "|").alias("Detected_CWEs"))
+    results = rows.select(F.col("l_orderkey").cast("string").alias("record_id"), F.transform("l", lambda x: x["l_suppkey"].cast("string")).alias("ids"), F.size("l").cast("double").alias("seconds"))
+    return sinks.run_summary(results, st.table(spark, sf_dir, "nation").select(F.concat(F.lit("none-"), "n_nationkey").alias("record_id")))
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN length(c_name) > 12 THEN substring(c_name, 1, 9) || '...' ELSE c_name END AS short_name, '' || c_custkey // 1000 || 'xxx' AS shard FROM customer")
@@ -780,11 +810,14 @@ def retriever_comparison(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_FUSED}, f AS (SELECT w.*, abstraction, n_relations FROM wide w JOIN entries USING (entry_id))
-SELECT query_id, count(*) AS n_entries, count(*) FILTER (found_by LIKE '%+%') AS n_several, count(*) FILTER (found_by = 'graph' AND n_relations > 0) AS n_bonus, count(*) FILTER (abstraction IN ('Base', 'Variant')) AS n_specific FROM f GROUP BY query_id"""
+    f"""WITH {_FUSED}, f AS (
+  SELECT w.*, abstraction, n_relations, CASE WHEN s >= d AND s >= g THEN 'sparse' WHEN g >= d THEN 'graph' ELSE 'dense' END AS top FROM wide w JOIN entries USING (entry_id)
+), tops AS (SELECT query_id, top FROM f GROUP BY query_id, top QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, top) = 1),
+n AS (SELECT query_id, count(*) AS n_entries, count(*) FILTER (found_by LIKE '%+%') AS n_several, count(*) FILTER (found_by = 'graph' AND n_relations > 0) AS n_bonus, count(*) FILTER (abstraction IN ('Base', 'Variant')) AS n_specific FROM f GROUP BY query_id)
+SELECT n.*, top AS top_retriever FROM n JOIN tops USING (query_id)"""
 )
 def interpretation(spark, sf_dir):
-    return reports.interpretation(fusion.fuse(st.hits(spark, sf_dir), F.broadcast(st.entries(spark, sf_dir)))).drop("top_retriever")
+    return reports.interpretation(fusion.fuse(st.hits(spark, sf_dir), F.broadcast(st.entries(spark, sf_dir))))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weavegrid.functions import text as tx
+from weavegrid.functions.config import GRAPH
 from weavegrid.operators import consensus, evaluate, fusion, graph, reports, retrieval, sparse, usage
 from weavegrid.plans import standins as st
 from weavegrid.plans.catalogue import _ANSWERS as ANSWERS
@@ -85,22 +86,22 @@ def mapping_defaults(spark, sf_dir):
     return fusion.with_mapping(st.hits(spark, sf_dir), known).groupBy("query_id", "entry_id", "abstraction", "usage").agg(F.count("*").alias("n"))
 
 
+_SHOWN = "CASE retriever WHEN 'dense' THEN 0 WHEN 'sparse' THEN 1 ELSE 2 END"
 _ENTRY_NAMES = "CASE WHEN entry_id < 6 THEN 'entry ' || entry_id ELSE 'Unknown' END"
 
 
 @query(
     f"""WITH {_FUSED}, norms AS (
-  SELECT query_id, entry_id, string_agg(retriever, ', ' ORDER BY retriever) AS retrievers, string_agg(retriever || '=' || format('{{:.3f}}', norm), ', ' ORDER BY retriever) AS found_by FROM normed GROUP BY ALL
+  SELECT query_id, entry_id, string_agg(retriever, ', ' ORDER BY {_SHOWN}) AS retrievers, string_agg(retriever || '=' || format('{{:.3f}}', norm), ', ' ORDER BY {_SHOWN}) AS found_by FROM normed GROUP BY ALL
 ), r AS (SELECT *, {_RANK} FROM fused)
-SELECT query_id, rank, r.entry_id, {_ENTRY_NAMES.replace('entry_id', 'r.entry_id')} AS name, CASE WHEN r.entry_id < 6 THEN abstraction ELSE 'Unknown' END AS abstraction, CASE WHEN r.entry_id < 6 THEN usage ELSE 'Not specified' END AS usage,
-  format('{{:,.4f}}', score) AS score, (SELECT count(*) FROM norms n WHERE n.query_id = r.query_id AND n.entry_id = r.entry_id) AS n_rows
-FROM r JOIN entries e ON e.entry_id = r.entry_id WHERE rank <= 3"""
+SELECT r.query_id, rank, r.entry_id, {_ENTRY_NAMES.replace('entry_id', 'r.entry_id')} AS name, CASE WHEN r.entry_id < 6 THEN abstraction ELSE 'Unknown' END AS abstraction, CASE WHEN r.entry_id < 6 THEN usage ELSE 'Not specified' END AS usage,
+  format('{{:,.4f}}', score) AS score, retrievers, n.found_by
+FROM r JOIN entries e ON e.entry_id = r.entry_id JOIN norms n ON n.query_id = r.query_id AND n.entry_id = r.entry_id WHERE rank <= 3"""
 )
 def results_rows(spark, sf_dir):
     entries = st.entries(spark, sf_dir)
     known = entries.where("entry_id < 6").withColumn("name", F.concat(F.lit("entry "), "entry_id"))
-    rows = fusion.result_rows(fusion.fuse(st.hits(spark, sf_dir), F.broadcast(entries), 3), known)
-    return rows.select("query_id", "rank", "entry_id", "name", "abstraction", "usage", "score", F.lit(1).cast("long").alias("n_rows"))
+    return fusion.result_rows(fusion.fuse(st.hits(spark, sf_dir), F.broadcast(entries), 3), known)
 
 
 @query(
@@ -336,17 +337,28 @@ def final_reports(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey AS record_id, '## Description' || chr(10) || c_name || chr(10) || chr(10) || '## Keyphrases' || chr(10) || 'weakness: ' || c_mktsegment || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || chr(10) || '## Consensus' || chr(10) || n_name ELSE '' END
- || chr(10) || chr(10) || '## Candidates' || chr(10) || '| 1 |' AS prompt FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"""
+    f"""WITH {GRAPH_SQL}, related AS (
+  SELECT src AS entry_id, 'CHILDOF' AS rel_type, dst FROM hierarchy WHERE src LIKE 'N%' UNION ALL SELECT dst, 'PARENTOF', src FROM hierarchy WHERE dst LIKE 'N%'
+), first AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rel_type, dst) AS n FROM related),
+one AS (SELECT entry_id, '#### ' || entry_id || ' Relationships' || chr(10) || string_agg('- ' || rel_type || ' → ' || dst, chr(10) ORDER BY n) AS t FROM first WHERE n <= 5 GROUP BY entry_id),
+hits AS (SELECT c_custkey, r AS rank, 'N' || (c_nationkey + r) % 25 AS entry_id, (c_nationkey + r) % 25 AS n_nationkey FROM customer, range(1, 10) x(r)),
+relations AS (SELECT c_custkey, string_agg(t, chr(10) ORDER BY rank) AS relations FROM hits JOIN one USING (entry_id) WHERE rank <= 7 GROUP BY c_custkey),
+tables AS (SELECT c_custkey, string_agg('| ' || rank || ' | ' || entry_id || ' | ' || n_name || ' | ' || format('{{:.4f}}', 1.0::DOUBLE / rank) || ' |', chr(10) ORDER BY rank) AS t FROM hits JOIN nation USING (n_nationkey) GROUP BY c_custkey)
+SELECT c.c_custkey AS record_id, concat_ws(chr(10) || chr(10), '## Description' || chr(10) || c_name, '## Keyphrases' || chr(10) || 'weakness: ' || c_mktsegment,
+  CASE WHEN n.n_nationkey % 2 = 0 THEN '## Consensus' || chr(10) || n_name END, CASE WHEN c.c_custkey % 3 = 0 THEN '## References' || chr(10) || 'see ' || c_name END,
+  '## Candidates' || chr(10) || '| rank | id | name | score |' || chr(10) || '|---|---|---|---|' || chr(10) || t.t, '## Relations' || chr(10) || relations) AS prompt
+FROM customer c LEFT JOIN nation n ON c_nationkey = n_nationkey JOIN tables t ON t.c_custkey = c.c_custkey LEFT JOIN relations r ON r.c_custkey = c.c_custkey"""
 )
 def assembled_prompts(spark, sf_dir):
-    customer = st.table(spark, sf_dir, "customer")
+    """Customers with nine nations as candidates; relations of the first seven, five each."""
+    customer, nations = st.table(spark, sf_dir, "customer"), st.table(spark, sf_dir, "nation")
     records = customer.select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("description"), F.create_map(F.lit("weakness"), F.array("c_mktsegment", F.lit(" "))).alias("phrases"))
-    nation = st.table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
-    agreed = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("record_id"), F.col("n_name").alias("consensus"))
-    table = customer.select(F.col("c_custkey").alias("query_id"), F.lit("| 1 |").alias("table"))
-    none = customer.where("c_custkey < 0").select(F.col("c_custkey").alias("record_id"), F.lit("").alias("relations"))
-    return reports.enhanced_query(records, agreed, table, none)
+    agreed = customer.join(F.broadcast(nations.where("n_nationkey % 2 = 0")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("record_id"), F.col("n_name").alias("consensus"))
+    hits = customer.select(F.col("c_custkey").alias("query_id"), "c_nationkey", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("rank")).withColumn("n_nationkey", (F.col("c_nationkey") + F.col("rank")) % 25)
+    hits = hits.join(F.broadcast(nations.select("n_nationkey", F.col("n_name").alias("name"))), "n_nationkey").select("query_id", "rank", F.concat(F.lit("N"), "n_nationkey").alias("entry_id"), "name", (1 / F.col("rank")).alias("score"))
+    references = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("record_id"), F.concat(F.lit("see "), "c_name").alias("text"))
+    edges = graph.with_reciprocals(st.hierarchy(spark, sf_dir))
+    return reports.enhanced_query(records, agreed, reports.result_table(hits), reports.relations_of_first(hits, edges), references)
 
 
 @query(
@@ -415,8 +427,15 @@ def ranked_advice(spark, sf_dir):
 @query(
     f"""WITH {_ADVICE}, roles AS (SELECT seed, string_agg('- ' || role || ': ' || n, chr(10) ORDER BY role) AS roles FROM (SELECT seed, role, count(*) AS n FROM ranked GROUP BY ALL) GROUP BY seed),
 specific AS (SELECT seed, string_agg('- ' || other || ' (' || format('{{:.2f}}', relevance) || ')', chr(10) ORDER BY rank) AS specifics FROM ranked WHERE role = 'child' AND rank <= 3 GROUP BY seed)
-SELECT s.seed, concat_ws(chr(10) || chr(10), '## Relations' || chr(10) || roles, '## More specific' || chr(10) || specifics, '## Chain' || chr(10) || '- ROOT ' || node) AS analysis FROM seeds s LEFT JOIN roles USING (seed) LEFT JOIN specific USING (seed)"""
+SELECT s.seed, concat_ws(chr(10) || chr(10), '## Relations' || chr(10) || roles, '## More specific' || chr(10) || specifics, '## Chain' || chr(10) || '- ROOT ' || node || chr(10) || '- EFFECT ' || dst,
+  '## Diagram' || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || '    ' || node || '["' || a.name || '"]' || chr(10) || '    ' || dst || '["' || b.name || '"]' || chr(10) || '    ' || node || ' -->|canprecede| ' || dst || chr(10) || '```') AS analysis
+FROM seeds s LEFT JOIN roles USING (seed) LEFT JOIN specific USING (seed) JOIN hierarchy h ON h.src = node JOIN nodes a ON a.id = node JOIN nodes b ON b.id = dst"""
 )
 def combined_analysis(spark, sf_dir):
-    advice, seeds, edges = _advice(spark, sf_dir)
-    return reports.combined_analysis(advice, graph.chain_positions(edges, seeds.select("seed", "node")))
+    """Nations with a chain to their region, in words and as a diagram."""
+    advice, seeds, _ = _advice(spark, sf_dir)
+    nodes, starts = st.nodes(spark, sf_dir), seeds.select("seed", "node")
+    follows = st.hierarchy(spark, sf_dir).where("src like 'N%'").withColumn("rel_type", F.lit("CANPRECEDE"))
+    found, inside = graph.neighbourhood(graph.steps(follows), starts, GRAPH.sequence, 1)
+    diagrams = graph.mermaid(found.where("level = 0 or node like 'R%'").join(nodes.withColumnRenamed("id", "node"), "node").select("seed", F.col("node").alias("id"), "name"), inside)
+    return reports.combined_analysis(advice, graph.chain_positions(follows, starts), diagrams=diagrams)
