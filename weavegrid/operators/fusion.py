@@ -108,10 +108,53 @@ def rerank(hits: DataFrame, k: int, model=None) -> DataFrame:
 
 
 def with_mapping(hits: DataFrame, entries: DataFrame) -> DataFrame:
-    """Hits with abstraction, usage and rationale, and defaults where an entry is unknown."""
-    rows = hits.join(entries, "entry_id", "left")
-    defaults = {"abstraction": "Unknown", "usage": "Not specified", "rationale": ""}
-    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in defaults.items() if c in entries.columns})
+    """Hits with abstraction, usage, rationale, comments, reasons and suggestions, as far as ``entries`` has them, and defaults where an entry is unknown.
+
+    Reasons and suggestions are lists, whether entries hold one or many; those
+    of unknown entries are empty.
+    """
+    kinds = dict(entries.dtypes)
+    lists = [F.when(F.col(c).isNotNull(), F.array(c)).alias(c) if not kinds[c].startswith("array") else F.col(c) for c in ("reasons", "suggestions") if c in kinds]
+    own = entries.select(*[c for c in entries.columns if c not in ("reasons", "suggestions")], *lists)
+    rows = hits.join(own, "entry_id", "left")
+    defaults = {"abstraction": "Unknown", "usage": "Not specified", "rationale": "", "comments": ""}
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in defaults.items() if c in kinds})
+    return rows.withColumns({c: F.coalesce(F.col(c), F.slice(F.array(F.lit(None).cast(rows.schema[c].dataType.elementType)), 1, 0)) for c in ("reasons", "suggestions") if c in kinds})
+
+
+def abstraction_fixed(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """query_id, entry_id, abstraction: that of the entry; of an unknown entry that several retrievers found, the type that the dense or else the graph retriever gives; else Unknown.
+
+    hits: query_id, entry_id, retriever, type; entries: entry_id, abstraction.
+    """
+    of = lambda r: F.min(F.when(F.col("retriever") == r, F.col("type")))
+    found = hits.groupBy("query_id", "entry_id").agg(F.countDistinct("retriever").alias("n"), of("dense").alias("dense"), of("graph").alias("graph"))
+    known = found.join(entries.select("entry_id", F.col("abstraction").alias("known")), "entry_id", "left")
+    given = F.when(F.col("n") > 1, F.coalesce("dense", "graph"))
+    return known.select("query_id", "entry_id", F.coalesce("known", given, F.lit("Unknown")).alias("abstraction"))
+
+
+def raw_results(hits: DataFrame, entries: DataFrame, preview: int = 200) -> DataFrame:
+    """query_id, retriever, json: what each retriever found by itself for a query, before fusion: how many, the results by score, and the statistics of their scores.
+
+    entries: entry_id, name, abstraction, usage, description; ids lose their
+    prefix, descriptions are cut to ``preview`` letters and dots, and what isn't
+    known has a default.
+    """
+    rows = best_hits(hits).join(entries, "entry_id", "left")
+    of = lambda c, d: F.coalesce(F.col(c), F.lit(d))
+    text = F.when(of("description", "") != "", F.concat(F.substring("description", 1, preview), F.lit("..."))).otherwise("")
+    shown = F.struct(
+        F.regexp_replace(F.col("entry_id").cast("string"), "^CWE-", "").alias("cwe_id"), of("name", "Unknown").alias("name"), of("abstraction", "unknown").alias("abstraction"),
+        F.format_number("score", 4).alias("score"), text.alias("description"), of("usage", "Not specified").alias("mapping_usage"),
+    )
+    number = lambda x: F.format_number(x, 6)
+    grouped = rows.groupBy("query_id", "retriever").agg(
+        F.count("*").alias("count"),
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("by"), "entry_id", shown.alias("result")))).alias("l"),
+        F.struct(number(F.min("score")).alias("min"), number(F.max("score")).alias("max"), number(F.avg("score")).alias("mean")).alias("statistics"),
+    )
+    return grouped.select("query_id", "retriever", F.to_json(F.struct("count", F.transform("l", lambda x: x["result"]).alias("results"), "statistics")).alias("json"))
 
 
 def result_rows(fused: DataFrame, entries: DataFrame) -> DataFrame:

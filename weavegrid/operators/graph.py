@@ -274,15 +274,28 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, relations=None, depth: int
     return found, rows
 
 
+# How the classes of a diagram's nodes are drawn
+DIAGRAM_CLASSES = {"primary": "fill:#f96,stroke:#333,stroke-width:2px", "secondary": "fill:#69f,stroke:#333", "tertiary": "fill:#9e9,stroke:#333"}
+
+
 def mermaid(nodes: DataFrame, edges: DataFrame, by: str = "seed") -> DataFrame:
-    """A flow chart in text for each group of nodes (by, id, name) and edges (by, src, dst, rel_type)."""
+    """A flow chart in text for each group of nodes (by, id, name, and class where nodes have classes) and edges (by, src, dst, rel_type).
+
+    Hyphens of ids, which charts can't hold, go; a node or edge that repeats
+    stands once; classes (``DIAGRAM_CLASSES``) are defined at the end.
+    """
     from weavegrid.functions.text import shortened
 
-    box = F.concat(F.lit("    "), "id", F.lit('["'), F.regexp_replace(shortened(F.col("name"), 25, 22), '"', "'"), F.lit('"]'))
-    arrow = F.concat(F.lit("    "), "src", F.lit(" -->|"), F.lower("rel_type"), F.lit("| "), "dst")
-    lines = nodes.select(by, F.lit(0).alias("part"), box.alias("line")).union(edges.select(by, F.lit(1), arrow)).distinct()
-    rows = lines.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("part", "line"))).alias("l"))
-    return rows.select(by, F.concat_ws("\n", F.lit("graph TD"), F.transform("l", lambda x: x["line"])).alias("diagram"))
+    plain = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    box = F.concat(F.lit("    "), plain("id"), F.lit('["'), F.regexp_replace(shortened(F.col("name"), 25, 22), '"', "'"), F.lit('"]'))
+    arrow = F.concat(F.lit("    "), plain("src"), F.lit(" -->|"), F.lower("rel_type"), F.lit("| "), plain("dst"))
+    lines = nodes.select(by, F.lit(0).alias("part"), box.alias("line")).union(edges.select(by, F.lit(1), arrow))
+    styled = "class" in nodes.columns
+    if styled:
+        lines = lines.union(nodes.where("class is not null").select(by, F.lit(2), F.concat(F.lit("    class "), plain("id"), F.lit(" "), "class")))
+    rows = lines.distinct().groupBy(by).agg(F.sort_array(F.collect_list(F.struct("part", "line"))).alias("l"))
+    drawn = [F.lit(f"    classDef {c} {style}") for c, style in DIAGRAM_CLASSES.items()] if styled else []
+    return rows.select(by, F.concat_ws("\n", F.lit("graph TD"), F.transform("l", lambda x: x["line"]), *drawn).alias("diagram"))
 
 
 def betweenness(edges: DataFrame, most_edges: int = 2_000_000, sources_at_once: int = 1000) -> DataFrame:

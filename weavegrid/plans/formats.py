@@ -78,12 +78,65 @@ def retrievers_by_themselves(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ENTRIES_SQL}, {HITS_SQL}, known AS (SELECT entry_id, abstraction, usage FROM entries WHERE entry_id < 5)
-SELECT query_id, h.entry_id, count(*) AS n, coalesce(abstraction, 'Unknown') AS abstraction, coalesce(usage, 'Not specified') AS usage FROM hits h LEFT JOIN known USING (entry_id) GROUP BY ALL"""
+    f"""WITH {ENTRIES_SQL}, {HITS_SQL}, known AS (SELECT entry_id, abstraction, usage, 'as ' || usage AS comments, CASE WHEN entry_id % 2 = 0 THEN 'reason ' || entry_id END AS reason FROM entries WHERE entry_id < 5)
+SELECT query_id, h.entry_id, count(*) AS n, coalesce(abstraction, 'Unknown') AS abstraction, coalesce(usage, 'Not specified') AS usage, coalesce(comments, '') AS comments, coalesce(reason, '') AS reasons,
+  CASE WHEN h.entry_id < 5 THEN 'see ' || (h.entry_id + 1) || ',or ' || (h.entry_id + 2) ELSE '' END AS suggestions
+FROM hits h LEFT JOIN known USING (entry_id) GROUP BY ALL"""
 )
 def mapping_defaults(spark, sf_dir):
-    known = st.entries(spark, sf_dir).where("entry_id < 5").select("entry_id", "abstraction", "usage")
-    return fusion.with_mapping(st.hits(spark, sf_dir), known).groupBy("query_id", "entry_id", "abstraction", "usage").agg(F.count("*").alias("n"))
+    """Entries with one reason as text, some without, and two suggestions as a list; two entries are unknown."""
+    e = F.col("entry_id")
+    known = st.entries(spark, sf_dir).where("entry_id < 5").select("entry_id", "abstraction", "usage", F.concat(F.lit("as "), "usage").alias("comments"), F.when(e % 2 == 0, F.concat(F.lit("reason "), e)).alias("reasons"), F.array(F.concat(F.lit("see "), e + 1), F.concat(F.lit("or "), e + 2)).alias("suggestions"))
+    rows = fusion.with_mapping(st.hits(spark, sf_dir), known).withColumns({"reasons": listed("reasons"), "suggestions": listed("suggestions")})
+    return rows.groupBy("query_id", "entry_id", "abstraction", "usage", "comments", "reasons", "suggestions").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, {HITS_SQL}, typed AS (SELECT *, CASE WHEN retriever <> 'sparse' AND query_id % 3 > 0 THEN retriever || ' type' WHEN retriever = 'sparse' THEN 'never' END AS type FROM hits),
+found AS (SELECT query_id, entry_id, count(DISTINCT retriever) AS n, min(type) FILTER (retriever = 'dense') AS d, min(type) FILTER (retriever = 'graph') AS g FROM typed GROUP BY ALL)
+SELECT query_id, entry_id, coalesce(CASE WHEN entry_id < 4 THEN abstraction END, CASE WHEN n > 1 THEN coalesce(d, g) END, 'Unknown') AS abstraction FROM found JOIN entries USING (entry_id)"""
+)
+def abstraction_fixed(spark, sf_dir):
+    kind = F.when((F.col("retriever") != "sparse") & (F.col("query_id") % 3 > 0), F.concat("retriever", F.lit(" type"))).when(F.col("retriever") == "sparse", "never")
+    return fusion.abstraction_fixed(st.hits(spark, sf_dir).withColumn("type", kind), st.entries(spark, sf_dir).where("entry_id < 4"))
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, {HITS_SQL}, best AS (SELECT query_id, entry_id, retriever, max(score) AS score FROM hits GROUP BY ALL),
+shown AS (
+  SELECT *, '{{"cwe_id":"' || entry_id || '","name":"' || CASE WHEN entry_id < 6 THEN 'entry ' || entry_id ELSE 'Unknown' END || '","abstraction":"' || CASE WHEN entry_id < 6 THEN abstraction ELSE 'unknown' END
+    || '","score":"' || format('{{:,.4f}}', score) || '","description":"' || CASE WHEN entry_id < 6 AND entry_id % 2 = 1 THEN repeat('d', least(200, 50 * entry_id)) || '...' ELSE '' END
+    || '","mapping_usage":"' || CASE WHEN entry_id < 6 THEN usage ELSE 'Not specified' END || '"}}' AS j FROM best JOIN entries USING (entry_id)
+)
+SELECT query_id, retriever, '{{"count":' || count(*) || ',"results":[' || string_agg(j, ',' ORDER BY score DESC, entry_id) || '],"statistics":{{"min":"' || format('{{:,.6f}}', min(score)) || '","max":"' || format('{{:,.6f}}', max(score)) || '","mean":"' || format('{{:,.6f}}', avg(score)) || '"}}}}' AS json
+FROM shown GROUP BY query_id, retriever"""
+)
+def raw_retriever_reports(spark, sf_dir):
+    """What each retriever found for each order; one of seven entries is unknown, and every second has a long description."""
+    e = F.col("entry_id")
+    known = st.entries(spark, sf_dir).where("entry_id < 6").select("entry_id", F.concat(F.lit("entry "), e).alias("name"), "abstraction", "usage", F.when(e % 2 == 1, F.repeat(F.lit("d"), (50 * e).cast("int"))).alias("description"))
+    return fusion.raw_results(st.hits(spark, sf_dir), F.broadcast(known))
+
+
+@query(
+    f"""WITH {GRAPH_SQL}, members AS (
+  SELECT id AS seed, id, name, 'primary' AS class FROM nodes WHERE type = 'Class' UNION SELECT src, dst, b.name, 'secondary' FROM hierarchy JOIN nodes b ON b.id = dst WHERE src LIKE 'N%'
+  UNION SELECT dst, src, b.name, 'secondary' FROM hierarchy JOIN nodes b ON b.id = src WHERE dst LIKE 'N%'
+), lines AS (
+  SELECT seed, 0 AS part, '    ' || id || '["' || CASE WHEN length(name) > 25 THEN name[1:22] || '...' ELSE name END || '"]' AS line FROM members
+  UNION SELECT src, 1, '    ' || src || ' -->|childof| ' || dst FROM hierarchy WHERE src LIKE 'N%' UNION SELECT dst, 1, '    ' || src || ' -->|childof| ' || dst FROM hierarchy WHERE dst LIKE 'N%'
+  UNION SELECT seed, 2, '    class ' || id || ' ' || class FROM members
+)
+SELECT seed, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY part, line) || chr(10) || '    classDef primary fill:#f96,stroke:#333,stroke-width:2px' || chr(10) || '    classDef secondary fill:#69f,stroke:#333' || chr(10) || '    classDef tertiary fill:#9e9,stroke:#333' AS diagram
+FROM lines GROUP BY seed"""
+)
+def mermaid_classes(spark, sf_dir):
+    """Nations as primary nodes with the nodes next to them as secondary ones."""
+    nodes, edges = st.nodes(spark, sf_dir), st.hierarchy(spark, sf_dir)
+    seeds = nodes.where("type = 'Class'").select(F.col("id").alias("seed"), F.col("id").alias("node"))
+    found, inside = graph.neighbourhood(edges, seeds, depth=1)
+    members = found.join(nodes.withColumnRenamed("id", "node"), "node").select("seed", F.col("node").alias("id"), "name", F.when(F.col("level") == 0, "primary").otherwise("secondary").alias("class"))
+    return graph.mermaid(members, inside)
 
 
 _SHOWN = "CASE retriever WHEN 'dense' THEN 0 WHEN 'sparse' THEN 1 ELSE 2 END"
