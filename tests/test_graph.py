@@ -102,3 +102,13 @@ def test_mermaid(spark, nodes, edges):
     found, inside = graph.neighbourhood(edges, seed(spark, "C1"), ("CHILDOF",), 1)
     text = graph.mermaid(found.join(nodes.withColumnRenamed("id", "node"), "node").select("seed", F.col("node").alias("id"), "name"), inside).first()["diagram"]
     assert text.splitlines() == ["graph TD", '    B1["name of B1"]', '    C1["name of C1"]', '    P1["name of P1"]', "    B1 -->|childof| C1", "    C1 -->|childof| P1"]
+
+
+def test_every_relation_with_a_reverse_gets_it(spark, sf):
+    from weavegrid.plans import catalogue
+
+    rows = {tuple(r) for r in catalogue.queries()["reciprocal_edges"](spark, sf).collect()}
+    back = {"CHILDOF": "PARENTOF", "CANPRECEDE": "CANFOLLOW"}
+    wanted = {(dst, src, back[rel]) for src, dst, rel in rows if rel in back}
+    assert {rel for _, _, rel in wanted} == set(back.values())  # event types too, which no table of nodes has
+    assert wanted <= rows
