@@ -63,6 +63,21 @@ def test_groups(edges):
     assert {r["node"]: r["group"] for r in graph.groups_of(edges).collect()} == {"V1": "V1", "V2": "V1", "V3": "V1"}
 
 
+def test_groups_of_long_paths_take_few_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    names = [f"P{i}" for i in range(1500)]
+    rng.shuffle(names)
+    paths = [names[:600], names[600:900], *[names[i : i + 2] for i in range(900, 1500, 2)]]
+    rows = [(a, b, "PEEROF") for p in paths for a, b in zip(p, p[1:])] + [("Z", "Z", "PEEROF"), (names[0], names[0], "PEEROF")]
+    tables = []
+    monkeypatch.setattr(graph, "kept", lambda df, kept=graph.kept: tables.append(1) or kept(df))
+    found = graph.groups_of(spark.createDataFrame(rows, "src string, dst string, rel_type string"))
+    assert {r["node"]: r["group"] for r in found.collect()} == {n: min(p) for p in [*paths, ["Z"]] for n in p}
+    assert len(tables) < 50
+
+
 def test_richness_counts_both_ways(edges):
     found = {r["id"]: (r["n_types"], r["n_relations"]) for r in graph.richness(edges).collect()}
     assert found["B2"] == (2, 4)

@@ -181,22 +181,40 @@ def abstraction_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def groups_of(edges: DataFrame, relations=GRAPH.peer) -> DataFrame:
     """node, group: components over the relations, named by their smallest node.
 
-    Smallest labels spread over the edges and jump to their label's label, so
-    rounds are about the logarithm of the longest path; each is a stored table.
+    Every node points to the smallest of itself and its neighbours, pointers
+    jump to their ends, and the links go on between these, until none are
+    left: of a path only nodes smaller than both neighbours go on, so rounds
+    are few and their tables shrink. A node's pointers are then followed from
+    the last round back to the first.
     """
-    moves = kept(steps(edges, relations, "both").select("src", "dst").distinct())
-    labels = kept(moves.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    while True:
-        near = moves.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        least = kept(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = kept(least.join(jump, "label").select("node", F.col("further").alias("label"), "moved"))
-        dropped(labels, least)
-        if not after.where("moved").limit(1).count():
-            dropped(moves)
-            return after.select("node", F.col("label").alias("group"))
-        labels = after.drop("moved")
-        labels.kept_at = after.kept_at
+    moves = kept(steps(edges, relations, "both").select("src", "dst").where("src <> dst").distinct())
+    alone = kept(steps(edges, relations).where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("to")).distinct())
+    rounds = []
+    while moves.limit(1).count():
+        to = kept(moves.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near")).select("node", F.least("node", "near").alias("to"), F.lit(True).alias("moved")))
+        while to.where("moved").limit(1).count():
+            jump = to.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            after = kept(to.join(jump, "to").select("node", F.col("further").alias("to"), (F.col("further") < F.col("to")).alias("moved")))
+            dropped(to)
+            to = after
+        rounds.append(to)
+        of = lambda end: to.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+        links = moves.join(of("src"), "src").join(of("dst"), "dst").where("src_to <> dst_to")
+        after = kept(links.select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct())
+        dropped(moves)
+        moves = after
+    dropped(moves)
+    groups = None
+    for to in reversed(rounds):
+        if groups is None:
+            groups = to
+            continue
+        further = groups.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        after = kept(to.select("node", "to").join(further, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+        dropped(to, groups)
+        groups = after
+    groups = alone if groups is None else groups.select("node", "to").union(alone.join(groups.select("node"), "node", "left_anti"))
+    return groups.select("node", F.col("to").alias("group"))
 
 
 def combined(strategies: DataFrame, nodes: DataFrame, k: int = RETRIEVAL.k) -> DataFrame:
