@@ -140,3 +140,17 @@ def test_searchable_text_leaves_blank_sections_out(spark):
     assert rows.select(tx.searchable_text(entry)).first()[0] == "CWE-79: XSS\n\nAlternative Terms:\n\nt - d"
 
 
+
+
+def test_workers_hold_the_words_of_few_documents_at_once(spark, monkeypatch):
+    from weavegrid.operators import sparse
+
+    def sizes(batches, counted=sparse._counted):
+        for batch in batches:
+            assert batch.num_rows <= 64
+            yield from counted([batch])
+
+    monkeypatch.setattr(sparse, "_counted", sizes)
+    docs = spark.range(0, 500, 1, 1).selectExpr("id as doc_id", "'a b a' as text")
+    held = sparse.postings(docs)
+    assert held.where("term = 'a' and tf = 2 and dl = 3").count() == held.where("term is null").count() == 500

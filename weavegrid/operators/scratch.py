@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -63,3 +64,15 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         p, files = _files(df.sparkSession, df.kept_at)
         files.delete(p, True)
+
+
+@contextlib.contextmanager
+def few_rows_a_batch(spark: SparkSession, n: int):
+    """Jobs that run within it send at most ``n`` rows a batch to Python workers: for large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from weavegrid.functions.config import BM25, RETRIEVAL, SCORING, Bm25
 from weavegrid.functions.text import long_tokens, tokens
-from weavegrid.operators.scratch import dropped, kept, ship
+from weavegrid.operators.scratch import dropped, few_rows_a_batch, kept, ship
 
 #: Estimated bytes up to which query-side tables are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Documents whose words a Python worker holds at once.
+DOCS_A_BATCH = 64
 
 
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
@@ -36,6 +38,7 @@ def _counted(batches):
             [batch.column(0).take(pa.array(rows)), pa.concat_arrays([coded.dictionary.take(pa.array(term)), pa.nulls(len(size), coded.dictionary.type)]), pa.array(np.concatenate([tf, size]).astype(np.float64)), pa.array(size[rows].astype(np.float64))],
             names=["doc_id", "term", "tf", "dl"],
         )
+        pa.default_memory_pool().release_unused()
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -47,7 +50,8 @@ def postings(docs: DataFrame) -> DataFrame:
         return docs
     ship(docs.sparkSession)
     rows = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    return kept(rows.mapInArrow(_counted, f"doc_id {dict(docs.dtypes)['doc_id']}, term string, tf double, dl double"))
+    with few_rows_a_batch(docs.sparkSession, DOCS_A_BATCH):
+        return kept(rows.mapInArrow(_counted, f"doc_id {dict(docs.dtypes)['doc_id']}, term string, tf double, dl double"))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
