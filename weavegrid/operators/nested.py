@@ -76,18 +76,19 @@ def ids_by_source(results: DataFrame) -> DataFrame:
     A retriever's set holds the ids with a normalised score of its own that
     isn't null; an agent's role holds those for which it gives a name.
     """
+    results = kept(results)  # made once for all sources
     at = lambda path: F.try_variant_get("result", path, "variant")
     rows = lambda source, ids: ids.select("record_id", F.lit(source).alias("source"), "entry_id")
     items = lambda path: _exploded(results.select("record_id", at(path).alias("list")).where(_kind(F.col("list")) == "array"), "list")
+    named = lambda ids, names: ids.select("record_id", F.explode(F.array_compact(F.array(*names))).alias("source"), "entry_id")
     out = [rows(c, items(f"$.{c}").select("record_id", _text(F.col("value")).alias("entry_id"))) for c in LISTED]
     out.append(rows("consensus_cwe", results.select("record_id", _text(F.col("result"), "$.consensus_cwe").alias("entry_id"))))
     out.append(rows("top_similar_cwes", ids_at_any_depth(results.select("record_id", at("$.top_similar_cwes").alias("list")), "list")))
     hits = items("$.retrievers").select("record_id", _text(F.col("value"), "$.cwe_id").alias("entry_id"), "value")
-    out.append(rows("retrievers", hits))
-    for r in RETRIEVERS:
-        score = F.try_variant_get("value", f"$.normalized_scores.{r}", "variant")
-        out.append(rows(f"retriever_{r}", hits.where(score.isNotNull() & ~F.is_variant_null(score))))
+    score = lambda r: F.try_variant_get("value", f"$.normalized_scores.{r}", "variant")
+    out.append(named(hits, [F.lit("retrievers"), *[F.when(score(r).isNotNull() & ~F.is_variant_null(score(r)), F.lit(f"retriever_{r}")) for r in RETRIEVERS]]))
     agents = _exploded(results.select("record_id", at("$.agents").alias("object")).where(_kind(F.col("object")) == "object"), "object").select("record_id", F.col("key").alias("entry_id"), "value")
-    for role in ROLES:
-        out.append(rows(f"agents_{role}", agents.where(F.length(F.coalesce(_text(F.col("value"), f"$.{role}.name"), F.lit(""))) > 0)))
-    return reduce(DataFrame.union, out).where("entry_id <> ''").distinct()
+    out.append(named(agents, [F.when(F.length(F.coalesce(_text(F.col("value"), f"$.{role}.name"), F.lit(""))) > 0, F.lit(f"agents_{role}")) for role in ROLES]))
+    found = kept(reduce(DataFrame.union, out).where("entry_id <> ''").distinct())
+    dropped(results)
+    return found
