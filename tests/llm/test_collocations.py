@@ -88,3 +88,12 @@ def test_lists_hold_every_occurrence(spark):
     assert [tuple(r) for r in totals.collect()] == [("en", 7)]
     assert {r.phrase: r.f for r in found.where(F.col("k") == 2).collect()} == {"a b": 3, "b a": 1, "b c": 1}
     assert {r.phrase: (r.heads, r.tails) for r in found.where(F.col("k") == 3).collect()}["a b c"] == ([3, 3, 1], [1, 1, 1])
+
+
+def test_files_of_lists_hold_few_rows(spark):
+    from weavegrid.llm.common import discard, stored
+
+    table = stored(spark.range(0, 100, 1, 1), "few", rows_a_file=32)
+    per_file = table.selectExpr("input_file_name() as f").groupBy("f").count().collect()
+    assert sorted(r["count"] for r in per_file) == [4, 32, 32, 32]
+    discard(table)

@@ -38,6 +38,10 @@ SHARD_WORDS = 1 << 19
 #: Lists whose keys one row holds.
 BLOCK_LISTS = 1 << 15
 CHUNK_BYTES = 1 << 20
+#: Texts that are sent to a worker at once.
+DOCS_A_BATCH = 256
+#: Rows of lists in a file: Parquet's reader holds a batch of rows, which are large, of one file.
+ROWS_A_FILE = 32
 MIN_COUNT = 30
 LONGEST = 4
 FIRST_OF_LANG = 2000
@@ -152,6 +156,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 _ROWS = "shard long, first int, {}, n array<int>, sizes binary, places binary"
 _WORD_LISTS = _ROWS.format("lang array<string>, word array<string>")
 _PHRASE_LISTS = _ROWS.format("head array<long>, tail array<long>")
+_PHRASE_SCHEMA = pa.schema({"shard": pa.int64(), "first": pa.int32(), **{c: pa.list_(pa.int64()) for c in ("head", "tail")}, "n": pa.list_(pa.int32()), "sizes": pa.binary(), "places": pa.binary()})
 
 
 def _rows(shard: int, keys: dict[str, pa.Array], n: np.ndarray, place: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -195,24 +200,25 @@ def _word_lists(shard_words: int):
 def _extended(last: bool):
     """Lists of a shard and the phrases in it that go on to the lists of phrases one word longer; of the last level only lengths are kept."""
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                n = np.frombuffer(batch.column("sizes")[row].as_py(), "<i4")
-                kept, ids = (batch.column(c)[row].values.to_numpy() for c in ("kept", "ids"))
-                place = _unpacked(batch.column("places")[row].as_py())
-                phrase = np.full(len(n), -1, np.int64)
-                phrase[kept] = np.arange(len(kept))
-                phrase = np.repeat(phrase, n)
-                place, phrase = place[phrase >= 0], phrase[phrase >= 0]
-                # both sides in order of position: postings laid out by position are joined with themselves, one place on
-                at = np.full(place.max(initial=0) + 2, -1, np.int64)
-                at[place] = phrase
-                follows = at[place + 1]
-                both = follows >= 0
-                keys, n, place = _lists(phrase[both] * len(kept) + follows[both], place[both])
-                head, tail = np.divmod(keys, max(len(kept), 1))
-                yield from _rows(batch.column("shard")[row].as_py(), {"head": pa.array(ids[head]), "tail": pa.array(ids[tail])}, n, None if last else place)
+    def run(lists: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not lists.num_rows or not frequent.num_rows:
+            return _PHRASE_SCHEMA.empty_table()
+        n = np.frombuffer(lists.column("sizes")[0].as_py(), "<i4")
+        kept, ids = (frequent.column(c).to_numpy() for c in ("number", "id"))
+        place = _unpacked(lists.column("places")[0].as_py())
+        phrase = np.full(len(n), -1, np.int64)
+        phrase[kept] = np.arange(len(kept))
+        phrase = np.repeat(phrase, n)
+        place, phrase = place[phrase >= 0], phrase[phrase >= 0]
+        # both sides in order of position: postings laid out by position are joined with themselves, one place on
+        at = np.full(place.max(initial=0) + 2, -1, np.int64)
+        at[place] = phrase
+        follows = at[place + 1]
+        both = follows >= 0
+        keys, n, place = _lists(phrase[both] * len(kept) + follows[both], place[both])
+        head, tail = np.divmod(keys, len(kept))
+        rows = _rows(lists.column("shard")[0].as_py(), {"head": pa.array(ids[head]), "tail": pa.array(ids[tail])}, n, None if last else place)
+        return pa.Table.from_batches([r.cast(_PHRASE_SCHEMA) for r in rows], _PHRASE_SCHEMA)
 
     return run
 
@@ -230,11 +236,10 @@ def _frequent(lists: DataFrame, key: list[str], min_count: int, name: str) -> Da
 
 
 def _joined_lists(lists: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
-    # two lists in the order of the same rows; half the bytes of one list of structs
-    of_shard = frequent.groupBy("shard").agg(F.collect_list("number").alias("kept"), F.collect_list("id").alias("ids"))
-    with few_rows_a_batch(lists.sparkSession, 1):  # a row is a shard
-        whole = lists.where("places is not null").select("shard", "sizes", "places").join(of_shard.hint("merge"), "shard")
-        return stored(whole.mapInArrow(_extended(last), _PHRASE_LISTS), "phrase-lists", tidy=True)
+    # a group is a shard; both sides are sorted by it, so no task holds the lists of two
+    whole = lists.where("places is not null").select("shard", "sizes", "places").groupBy("shard")
+    own = frequent.select("shard", "number", "id").groupBy("shard")
+    return stored(whole.cogroup(own).applyInArrow(_extended(last), _PHRASE_LISTS), "phrase-lists", tidy=True, rows_a_file=ROWS_A_FILE)
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +247,8 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     lang: lang, k (words), id, phrase, f, heads and tails (frequencies of its first and last 1, 2, .. k words), inside (k, id of the shorter ones of two words or more in it)."""
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    lists = stored(rows.mapInArrow(_word_lists(shard_words), _WORD_LISTS), "word-lists")
+    with few_rows_a_batch(docs.sparkSession, DOCS_A_BATCH):
+        lists = stored(rows.mapInArrow(_word_lists(shard_words), _WORD_LISTS), "word-lists", rows_a_file=ROWS_A_FILE)
     totals = lists.where("places is null").select(F.explode(F.arrays_zip("lang", "n")).alias("own")).groupBy("own.lang").agg(F.sum(F.col("own.n").cast("long")).alias("n"))
     totals = stored(totals, "words")
     frequent = _frequent(lists, ["lang", "word"], min_count, "frequent")

@@ -62,12 +62,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, tidy: bool = False, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later jobs read the files, so a lost executor costs no recomputation of
     what led to them. ``df.stored_path`` is set for ``discard``. With ``tidy``
-    the shuffle files of the job go once it has ended.
+    the shuffle files of the job go once it has ended. ``rows_a_file`` (0: no
+    bound) is for tables of large rows.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -75,7 +76,7 @@ def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     before = spark.conf.get(name, "false")
     try:
         spark.conf.set(name, str(tidy or before == "true").lower())
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     finally:
         spark.conf.set(name, before)
     out = spark.read.schema(df.schema).parquet(path)
