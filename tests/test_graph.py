@@ -113,6 +113,51 @@ def test_betweenness_by_joins_is_the_same(spark):
     assert sum(wanted.values()) > 0.1 and found == pytest.approx(wanted)
 
 
+def brute_betweenness(links):
+    """By the numbers of shortest paths between all pairs."""
+    links = {(a, b) for a, b in links if a != b}
+    nodes = sorted({x for e in links for x in e})
+    far, paths = {}, {}
+    for s in nodes:
+        far[s], paths[s], level = {s: 0}, {s: 1}, [s]
+        while level:
+            after = []
+            for v in level:
+                for w in (b for a, b in links if a == v):
+                    if w not in far[s]:
+                        far[s][w], paths[s][w] = far[s][v] + 1, 0
+                        after.append(w)
+                    if far[s][w] == far[s][v] + 1:
+                        paths[s][w] += paths[s][v]
+            level = after
+    through = lambda s, v, t: v in far[s] and t in far[v] and far[s][v] + far[v][t] == far[s][t]
+    n = len(nodes)
+    return {v: sum(paths[s][v] * paths[v][t] / paths[s][t] for s in nodes for t in far[s] if len({s, v, t}) == 3 and through(s, v, t)) / ((n - 1) * (n - 2) or 1) for v in nodes}
+
+
+@pytest.mark.parametrize("most_edges", [0, 1000])
+def test_betweenness_of_trees_on_a_directed_graph(spark, most_edges):
+    import random
+
+    rng = random.Random(5)
+    links = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(18)} | {("n0", "one-way"), ("other-way", "n1"), ("two", "of two"), ("of two", "two")}
+    for i in range(26):  # trees on it and apart from it, both ways
+        on = rng.choice([f"n{rng.randrange(9)}", f"t{rng.randrange(i + 1)}", f"t{i - 1}", "apart"])
+        links |= {(f"t{i}", on), (on, f"t{i}")}
+    rows = spark.createDataFrame([(a, b, "R") for a, b in sorted(links)], "src string, dst string, rel_type string")
+    found = {r["node"]: r["betweenness"] for r in graph.betweenness(rows, most_edges=most_edges, sources_at_once=5).collect()}
+    assert found == pytest.approx(brute_betweenness(links))
+
+
+def test_betweenness_of_a_forest_has_no_sources(spark, monkeypatch):
+    links = [(f"c{i}", f"s{i % 3}") for i in range(40)] + [(f"s{i}", f"r{i % 2}") for i in range(5)]
+    links += [(b, a) for a, b in links]
+    monkeypatch.setattr(graph, "_shares_by_task", lambda *a: pytest.fail("all nodes of a forest as sources"))
+    rows = spark.createDataFrame([(a, b, "R") for a, b in links], "src string, dst string, rel_type string")
+    found = {r["node"]: r["betweenness"] for r in graph.betweenness(rows).collect()}
+    assert found == pytest.approx(brute_betweenness(links))
+
+
 def test_mermaid(spark, nodes, edges):
     found, inside = graph.neighbourhood(edges, seed(spark, "C1"), ("CHILDOF",), 1)
     text = graph.mermaid(found.join(nodes.withColumnRenamed("id", "node"), "node").select("seed", F.col("node").alias("id"), "name"), inside).first()["diagram"]

@@ -317,34 +317,91 @@ def mermaid(nodes: DataFrame, edges: DataFrame, by: str = "seed") -> DataFrame:
 
 
 def betweenness(edges: DataFrame, most_edges: int = 2_000_000, sources_at_once: int = 1000) -> DataFrame:
-    """node, betweenness: directed and normalised, by Brandes' accumulation from every source.
-
-    Up to ``most_edges`` (counted here) the edge list is sent to every task, and
-    sources are dealt over them. More edges are joined level by level, about
+    """node, betweenness: directed and normalised.
+
+    Trees that hang on the rest by edges of both directions are counted by their
+    sizes (every path into or out of one passes its root), so a forest takes a
+    few joins a level. Of what is left, every node is a source of Brandes'
+    accumulation and counts as often as its tree has nodes. Up to
+    ``most_edges`` of these edges (counted here) are sent to every task, and
+    sources are dealt over them. More are joined level by level, about
     ``sources_at_once`` sources a round; the results are the same but for
-    rounding. Exact betweenness visits all that each source reaches, so either
-    way the work grows with the square of a connected graph.
+    rounding. That part visits all that each source reaches, so its work grows
+    with the square of a connected graph without such trees.
     """
-    pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    n_edges = pairs.count()
-    everyone = ends(pairs.withColumn("rel_type", F.lit(""))).select(F.col("id").alias("node")).distinct()
+    pairs = kept(edges.select("src", "dst").where("src <> dst").distinct())
+    everyone = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     n = everyone.count()
     scale = (n - 1) * (n - 2) or 1
-    sums = _shares_by_task(pairs) if n_edges <= most_edges else _shares_by_joins(pairs, everyone, -(-n // sources_at_once))
-    sums = sums.groupBy("node").agg(F.sum("part").alias("part"))
-    return everyone.join(sums, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) / scale).alias("betweenness"))
+    inner, core, trees = _without_trees(pairs, everyone)
+    n_edges = inner.count()
+    if n_edges:
+        named = inner.select(F.col("src").alias("node")).union(inner.select("dst")).distinct().join(core.select("node", "w"), "node")
+        rounds = -(-named.count() // sources_at_once) if n_edges > most_edges else 0
+        sums = _shares_by_joins(inner, named, rounds) if rounds else _shares_by_task(inner, named)
+        core = core.join(sums.groupBy("node").agg(F.sum("part").alias("part"), F.sum("met").alias("met")), "node", "left")
+    else:
+        core = core.withColumns({"part": F.lit(0.0), "met": F.lit(0.0)})
+    # whole: nodes of the outermost tree; met: nodes beyond it that its root reaches, and those that reach it
+    above = core.select("node", "w", "squares", F.col("w").alias("whole"), F.coalesce("met", F.lit(0.0)).alias("met"), F.coalesce("part", F.lit(0.0)).alias("part"))
+    done = [above]
+    for tree in reversed(trees):
+        over = reduce(DataFrame.union, done).select(F.col("node").alias("parent"), "whole", "met")
+        done.append(kept(tree.join(over, "parent").select("node", "w", "squares", "whole", "met", F.lit(0.0).alias("part"))))
+    below = F.col("w") - 1  # nodes that hang on the node: paths between them and the rest, and between its branches
+    through = F.col("part") + below * (2 * (F.col("whole") - F.col("w")) + F.col("met")) + below * below - F.col("squares")
+    return reduce(DataFrame.union, done).select("node", (through / scale).alias("betweenness"))
+
+
+def _without_trees(pairs: DataFrame, everyone: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """What is left of ``pairs`` (src, dst); the nodes left with w (nodes of their tree, themselves included) and squares (the sum of their branches' w * w);
+    and for each round the nodes that went: node, parent, w, squares.
+
+    A round takes the nodes with one neighbour and edges from and to it. It is the last where it takes less than a quarter of the nodes
+    that have edges: what long paths leave goes to the accumulation, which is as exact.
+    """
+    both = pairs.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("out")).union(pairs.select("dst", "src", F.lit(0)))
+    links = kept(both.groupBy("node", "other").agg(F.sum("out").alias("out"), (F.count("*") == 2).alias("mutual")))
+    weights = kept(everyone.select("node", F.lit(1.0).alias("w"), F.lit(0.0).alias("squares")))
+    trees = []
+    while True:
+        near = links.groupBy("node").agg(F.count("*").alias("n"), F.min("other").alias("parent"), F.min("mutual").alias("mutual"))
+        n_linked, n_single = near.agg(F.count("*"), F.count_if(F.expr("n = 1 and mutual"))).first()
+        if not n_single:
+            break
+        single = near.where("n = 1 and mutual").select("node", "parent")
+        # of two nodes that have only each other, the smaller stays
+        pair = single.select(F.col("parent").alias("node"), F.col("node").alias("parent"))
+        gone = single.join(pair.where("node < parent"), ["node", "parent"], "left_anti")
+        tree = kept(gone.join(weights, "node").select("node", "parent", "w", "squares"))
+        trees.append(tree)
+        grown = tree.groupBy(F.col("parent").alias("node")).agg(F.sum("w").alias("more"), F.sum(F.col("w") * F.col("w")).alias("branches"))
+        left = weights.join(tree, "node", "left_anti").join(grown, "node", "left")
+        left = left.select("node", (F.col("w") + F.coalesce("more", F.lit(0.0))).alias("w"), (F.col("squares") + F.coalesce("branches", F.lit(0.0))).alias("squares"))
+        spent = weights, links
+        weights = kept(left)
+        links = kept(links.join(tree, "node", "left_anti").join(tree.select(F.col("node").alias("other")), "other", "left_anti").select("node", "other", "out", "mutual"))
+        dropped(*spent)
+        if n_single * 4 < n_linked:
+            break
+    return links.where("out > 0").select(F.col("node").alias("src"), F.col("other").alias("dst")), weights, trees
 
 
 def _shares_by_joins(pairs: DataFrame, everyone: DataFrame, rounds: int) -> DataFrame:
-    """node, part: Brandes' accumulation with a table (source, node, paths) for each level of a round's sources; a round's sums join the stored total, and its tables go."""
-    pairs = kept(pairs.select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    """node, part, met: Brandes' accumulation with a table (source, node, paths) for each level of a round's sources; a round's sums join the stored total, and its tables go.
+
+    everyone: node, w (as how many nodes it counts); met: nodes that it reaches, and nodes that reach it.
+    """
+    everyone = kept(everyone.select("node", "w"))
+    pairs = kept(pairs.select(F.col("src").alias("node"), F.col("dst").alias("next")).join(everyone.select(F.col("node").alias("next"), F.col("w").alias("next_w")), "next").select("node", "next", "next_w"))
     total = None
     for i in range(rounds):
         starts = everyone.where(F.pmod(F.xxhash64("node"), F.lit(rounds)) == i)
-        levels = [kept(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+        levels = [kept(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"), "w", F.col("w").alias("source_w")))]
         seen = levels[0].select("source", "node")
         while True:
-            reached = levels[-1].join(pairs, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+            reached = levels[-1].select("source", "node", "paths", "source_w").join(pairs, "node").groupBy("source", F.col("next").alias("node"))
+            reached = reached.agg(F.sum("paths").alias("paths"), F.max("next_w").alias("w"), F.max("source_w").alias("source_w"))
             level = kept(reached.join(seen, ["source", "node"], "left_anti"))
             if not level.limit(1).count():
                 dropped(level)
@@ -355,37 +412,40 @@ def _shares_by_joins(pairs: DataFrame, everyone: DataFrame, rounds: int) -> Data
         done = [shares] if len(levels) > 1 else []
         spent = list(levels)
         for level in reversed(levels[1:-1]):
-            after = shares.select("source", F.col("node").alias("next"), ((1 + F.col("share")) / F.col("paths")).alias("each"))
+            after = shares.select("source", F.col("node").alias("next"), ((F.col("w") + F.col("share")) / F.col("paths")).alias("each"))
             owed = level.join(pairs, "node").join(after, ["source", "next"]).groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("each")).alias("share"))
             shares = kept(level.join(owed, ["source", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
             done.append(shares)
             spent.append(shares)
-        parts = [d.select("node", F.col("share").alias("part")) for d in done] + ([] if total is None else [total])
+        parts = [d.select("node", (F.col("source_w") * F.col("share")).alias("part"), F.col("source_w").alias("met")) for d in done]
+        parts += [d.select(F.col("source").alias("node"), F.lit(0.0).alias("part"), F.col("w").alias("met")) for d in done] + ([] if total is None else [total])
         if parts:
-            before, total = total, kept(reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("part").alias("part")))
+            before, total = total, kept(reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("part").alias("part"), F.sum("met").alias("met")))
             dropped(*([before] if before is not None else []))
         dropped(*spent)
-    dropped(pairs)
-    return total if total is not None else everyone.select("node", F.lit(0.0).alias("part"))
+    found = total if total is not None else kept(everyone.select("node", F.lit(0.0).alias("part"), F.lit(0.0).alias("met")))
+    dropped(pairs, everyone)
+    return found
 
 
-def _shares_by_task(pairs: DataFrame) -> DataFrame:
-    """node, part: Brandes' accumulation for sources dealt over tasks that hold the edge list."""
+def _shares_by_task(pairs: DataFrame, everyone: DataFrame) -> DataFrame:
+    """node, part, met as by joins: Brandes' accumulation for sources dealt over tasks that hold the edge list."""
     spark = pairs.sparkSession
     links = [(r["src"], r["dst"]) for r in pairs.collect()]
-    names = sorted({x for e in links for x in e})
+    counts = {r["node"]: r["w"] for r in everyone.collect()}
+    names = sorted(counts)
     number = {x: i for i, x in enumerate(names)}
     out: list[list[int]] = [[] for _ in names]
     for a, b in links:
         out[number[a]].append(number[b])
-    held = spark.sparkContext.broadcast((names, out))
+    held = spark.sparkContext.broadcast((names, out, [counts[x] for x in names]))
 
     def accumulate(batches):
         import numpy as np
         import pandas as pd
 
-        names, out = held.value
-        total = np.zeros(len(names))
+        names, out, w_of = held.value
+        total, met = np.zeros(len(names)), np.zeros(len(names))
         for batch in batches:
             for s in batch["i"]:
                 order, before, paths, far = [], [[] for _ in names], [0] * len(names), {int(s): 0}
@@ -403,16 +463,18 @@ def _shares_by_task(pairs: DataFrame) -> DataFrame:
                 share = [0.0] * len(names)
                 for w in reversed(order):
                     for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
+                        share[v] += paths[v] / paths[w] * (w_of[w] + share[w])
                     if w != s:
-                        total[w] += share[w]
-        at = np.flatnonzero(total)
+                        total[w] += w_of[s] * share[w]
+                        met[w] += w_of[s]
+                        met[s] += w_of[w]
+        at = np.flatnonzero(total + met)
         if at.size:
-            yield pd.DataFrame({"node": [names[i] for i in at], "part": total[at]})
+            yield pd.DataFrame({"node": [names[i] for i in at], "part": total[at], "met": met[at]})
 
     n = len(names)
     sources = spark.range(n).select(F.col("id").cast("int").alias("i")).repartition(max(1, min(n, spark.sparkContext.defaultParallelism)))
-    return sources.mapInPandas(accumulate, "node string, part double")
+    return sources.mapInPandas(accumulate, "node string, part double, met double")
 
 
 def first_by(rows: DataFrame, keys: list[str], *order) -> DataFrame:
