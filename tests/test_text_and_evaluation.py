@@ -154,3 +154,15 @@ def test_workers_hold_the_words_of_few_documents_at_once(spark, monkeypatch):
     docs = spark.range(0, 500, 1, 1).selectExpr("id as doc_id", "'a b a' as text")
     held = sparse.postings(docs)
     assert held.where("term = 'a' and tf = 2 and dl = 3").count() == held.where("term is null").count() == 500
+
+
+def test_merged_metadata_shuffles_by_record_only_in_tasks_of_bounded_rows(spark, sf):
+    import re
+
+    from weavegrid.plans import catalogue
+
+    rows = spark.range(1000).withColumnRenamed("id", "record_id")
+    assert evaluate.by_record(rows, 100).rdd.getNumPartitions() == 10
+    plan = catalogue.queries()["merged_metadata"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange [a-zA-Z].*?, ([A-Z_]+), \[plan_id", plan)
+    assert dealt and set(dealt) == {"REPARTITION_BY_NUM"}

@@ -11,6 +11,9 @@ CLASSES = ("primary", "secondary", "tertiary", "contributing")
 # The columns that a table of answers may have.
 LABELS = {"id": "cwe id", "name": "cwe name", "confidence": "confidence", "abstraction": "abstraction", "mapping": "mapping label", "notes": "notes"}
 
+#: Rows that a task sorts at once where ``by_record`` deals them.
+ROWS_A_TASK = 500_000
+
 
 def document_kind(name: Column) -> Column:
     return (
@@ -100,8 +103,16 @@ def merged_answers(answers: DataFrame) -> DataFrame:
     return rows.groupBy("record_id").agg(*[of(c) for c in CLASSES])
 
 
+def by_record(rows: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``rows`` (counted here) dealt by record_id, about ``rows_a_task`` to a task whatever their number; groupings by record_id that follow need no further shuffle."""
+    return rows.repartition(max(1, -(-rows.count() // rows_a_task)), "record_id")
+
+
 def merged_metadata(files: DataFrame) -> DataFrame:
-    """record_id, metadata (of each key the first file's value), sources (file names in order); files: record_id, file, name, metadata (map)."""
+    """record_id, metadata (of each key the first file's value), sources (file names in order); files: record_id, file, name, metadata (map).
+
+    Tasks sort what they get, so many files are best dealt ``by_record`` first.
+    """
     pairs = files.select("record_id", "file", F.explode("metadata").alias("key", "value")).where("value is not null")
     first = pairs.groupBy("record_id", "key").agg(F.min_by("value", "file").alias("value"))
     merged = first.groupBy("record_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("metadata"))

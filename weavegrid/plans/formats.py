@@ -315,7 +315,8 @@ def ids_to_sources(spark, sf_dir):
 SELECT record_id, arg_min(flag, file) AS flag, arg_min(CASE WHEN file > 1 THEN status END, CASE WHEN file > 1 THEN file END) AS status, string_agg('f' || file, ',' ORDER BY file) AS sources FROM l GROUP BY record_id"""
 )
 def merged_metadata(spark, sf_dir):
-    rows = st.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("file")).agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    items = st.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("file"), "l_returnflag", "l_linestatus")
+    rows = evaluate.by_record(items).groupBy("record_id", "file").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
     files = rows.select("record_id", "file", F.concat(F.lit("f"), "file").alias("name"), F.create_map(F.lit("flag"), "flag", F.lit("status"), F.when(F.col("file") > 1, F.col("status"))).alias("metadata"))
     found = evaluate.merged_metadata(files)
     return found.select("record_id", F.col("metadata")["flag"].alias("flag"), F.col("metadata")["status"].alias("status"), listed("sources").alias("sources"))
