@@ -97,3 +97,19 @@ def test_files_of_lists_hold_few_rows(spark):
     per_file = table.selectExpr("input_file_name() as f").groupBy("f").count().collect()
     assert sorted(r["count"] for r in per_file) == [4, 32, 32, 32]
     discard(table)
+
+
+def test_frequent_phrases_go_back_to_shards_packed():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    shard = np.repeat(np.array([3, 4096, 8193]), 400)
+    number = np.concatenate([np.sort(rng.choice(500_000, 400, replace=False)) for _ in range(3)]).astype(np.int32)
+    ids = rng.integers(0, 1 << 44, 1200)
+    (rows,) = collocations._packed_frequent([pa.RecordBatch.from_arrays([pa.array(shard), pa.array(number), pa.array(ids)], names=["shard", "number", "id"])])
+    assert rows.column("shard").to_pylist() == [3, 4096, 8193]
+    unpacked = [np.concatenate([f(collocations._from_planes(d.as_py(), k)) for d in rows.column(c)]) for c, k, f in (("numbers", "<i4", np.cumsum), ("ids", "<i8", np.asarray))]
+    assert (unpacked[0] == number).all() and (unpacked[1] == ids).all()
+    sent = sum(len(pa.compress(d.as_py(), "lz4", asbytes=True)) for c in ("numbers", "ids") for d in rows.column(c))
+    assert sent < 10 * len(ids)  # the values of a narrow row are 20 bytes

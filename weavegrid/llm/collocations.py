@@ -153,6 +153,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(step)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second bytes, and so on: shuffles compress bytes that are alike."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 _ROWS = "shard long, first int, {}, n array<int>, sizes binary, places binary"
 _WORD_LISTS = _ROWS.format("lang array<string>, word array<string>")
 _PHRASE_LISTS = _ROWS.format("head array<long>, tail array<long>")
@@ -197,6 +206,19 @@ def _word_lists(shard_words: int):
     return run
 
 
+_FREQUENT = "shard long, numbers binary, ids binary"
+
+
+def _packed_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shard, number, id, sorted by the first two, as a row for each shard of a batch: steps from one number to the next, and ids."""
+    for batch in batches:
+        shard, number, ids = (batch.column(c).to_numpy() for c in ("shard", "number", "id"))
+        at = np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1))
+        parts = [slice(a, b) for a, b in zip(at, [*at[1:], len(shard)])]
+        steps = [_planes(np.diff(number[p], prepend=np.int32(0)).astype("<i4")) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(steps, pa.binary()), pa.array([_planes(ids[p].astype("<i8")) for p in parts], pa.binary())], names=["shard", "numbers", "ids"])
+
+
 def _extended(last: bool):
     """Lists of a shard and the phrases in it that go on to the lists of phrases one word longer; of the last level only lengths are kept."""
 
@@ -204,7 +226,8 @@ def _extended(last: bool):
         if not lists.num_rows or not frequent.num_rows:
             return _PHRASE_SCHEMA.empty_table()
         n = np.frombuffer(lists.column("sizes")[0].as_py(), "<i4")
-        kept, ids = (frequent.column(c).to_numpy() for c in ("number", "id"))
+        kept = np.concatenate([np.cumsum(_from_planes(d.as_py(), "<i4")) for d in frequent.column("numbers")])
+        ids = np.concatenate([_from_planes(d.as_py(), "<i8") for d in frequent.column("ids")])
         place = _unpacked(lists.column("places")[0].as_py())
         phrase = np.full(len(n), -1, np.int64)
         phrase[kept] = np.arange(len(kept))
@@ -238,8 +261,10 @@ def _frequent(lists: DataFrame, key: list[str], min_count: int, name: str) -> Da
 def _joined_lists(lists: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
     # a group is a shard; both sides are sorted by it, so no task holds the lists of two
     whole = lists.where("places is not null").select("shard", "sizes", "places").groupBy("shard")
-    own = frequent.select("shard", "number", "id").groupBy("shard")
-    return stored(whole.cogroup(own).applyInArrow(_extended(last), _PHRASE_LISTS), "phrase-lists", tidy=True, rows_a_file=ROWS_A_FILE)
+    # what goes back to the shards is packed before the shuffle
+    own = frequent.select("shard", "number", "id").sortWithinPartitions("shard", "number").mapInArrow(_packed_frequent, _FREQUENT)
+    joined = whole.cogroup(own.groupBy("shard")).applyInArrow(_extended(last), _PHRASE_LISTS)
+    return stored(joined, "phrase-lists", tidy=True, rows_a_file=ROWS_A_FILE)
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
